@@ -1,0 +1 @@
+"""operators of the declared-versus-observed engine."""

@@ -1,0 +1 @@
+"""plans of the declared-versus-observed engine."""

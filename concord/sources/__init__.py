@@ -1,0 +1 @@
+"""sources of the declared-versus-observed engine."""

@@ -1,0 +1 @@
+"""streaming of the declared-versus-observed engine."""
