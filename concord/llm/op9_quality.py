@@ -110,13 +110,19 @@ def held_out(doc_id: str = "doc_id"):
 def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     """The bounded sample: of each label the SAMPLE_ROWS rows first by hash among labelled texts of at most SAMPLE_CHARS characters, held-out rows left out."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").cast("int").alias("quality"))
-    d = docs.select("doc_id", "text").where(~held_out() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & (F.col("text") != ""))
-    pool = d.join(known, F.col("doc_id") == F.col("id")).select("text", "quality", "doc_id")
-    out: list[tuple[str, int]] = []
+    fit = ~held_out() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & (F.col("text") != "")
+    pool = docs.where(fit).select("doc_id").join(known, F.col("doc_id") == F.col("id")).select("doc_id", "quality").distinct()
+    # the ids are chosen first, so that texts are read for the sample alone
+    chosen: dict[int, int] = {}
     for label in (0, 1):
-        best = pool.where(F.col("quality") == label).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id", F.xxhash64("text")).limit(SAMPLE_ROWS)
-        out += [(r.text, r.quality) for r in best.collect()]
-    return out
+        best = pool.where(F.col("quality") == label).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(SAMPLE_ROWS)
+        chosen |= {r.doc_id: r.quality for r in best.collect()}
+    if not chosen:
+        return []
+    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "id long")  # at most two SAMPLE_ROWS rows
+    rows = docs.where(fit).select("doc_id", "text", F.xxhash64(F.lit(3), "doc_id").alias("h")).join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
+    found = {(r.h, r.doc_id, r.text) for r in rows.collect()}
+    return [(text, chosen[i]) for _, i, text in sorted(found)]
 
 
 def _apply(model: Model):
