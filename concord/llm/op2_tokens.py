@@ -10,6 +10,7 @@ pre-token, so a frequent pre-token weighs no more than a rare one.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,14 +69,24 @@ def pieces(pre_token: str, name: str = VOCABULARY) -> int:
     return len(tokenizer(name).model.tokenize(pre_token))
 
 
-CHUNKS = "chunk long, doc_ids array<long>, n_bytes array<long>, extra array<long>, sizes array<int>, idx array<int>, freq array<int>, bucket int, tokens array<string>, pos array<int>"
-_KINDS = {"chunk": pa.int64(), "doc_ids": pa.list_(pa.int64()), "n_bytes": pa.list_(pa.int64()), "extra": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "idx": pa.list_(pa.int32()), "freq": pa.list_(pa.int32()), "bucket": pa.int32(), "tokens": pa.list_(pa.string()), "pos": pa.list_(pa.int32())}
+CHUNKS = "chunk long, doc_ids array<long>, n_bytes array<long>, extra array<long>, sizes array<int>, idx binary, freq binary, bucket int, start int, tokens binary"
+_KINDS = {"chunk": pa.int64(), "doc_ids": pa.list_(pa.int64()), "n_bytes": pa.list_(pa.int64()), "extra": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "idx": pa.binary(), "freq": pa.binary(), "bucket": pa.int32(), "start": pa.int32(), "tokens": pa.binary()}
 
 
 def _rows(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], t) for k, t in _KINDS.items()], list(_KINDS))
 
 
+def packed(values: np.ndarray) -> bytes:
+    """32-bit integers, the bytes of equal weight together, compressed."""
+    return zstd.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstd.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").reshape(-1).astype(np.int64)
+
+
 class _Chunk:
     def __init__(self) -> None:
         self.plain: dict[str, int] = {}
@@ -100,17 +112,29 @@ class _Chunk:
         self.chars += len(text)
 
     def rows(self, chunk: int, buckets: int) -> Iterator[pa.RecordBatch]:
-        ids, n_bytes, extra, sizes = map(list, zip(*self.docs, strict=True))
-        flat = lambda x: np.concatenate(x) if x else np.empty(0, dtype=np.int32)
-        yield _rows([{"chunk": chunk, "doc_ids": ids, "n_bytes": n_bytes, "extra": extra, "sizes": sizes, "idx": flat(self.idx), "freq": flat(self.freq)}])
-        by: list[tuple[list, list]] = [([], []) for _ in range(buckets)]
+        """The chunk's documents, and its dictionary by bucket; numbers run on from bucket to bucket."""
+        entries = []
         for known, turn in ((self.plain, as_read), (self.read, str)):
             for t, i in known.items():
                 t = turn(t)
-                to = by[zlib.crc32(t.encode()) % buckets]
-                to[0].append(t)
-                to[1].append(i)
-        yield _rows([{"chunk": chunk, "bucket": b, "tokens": t, "pos": i} for b, (t, i) in enumerate(by) if t])
+                entries.append((zlib.crc32(t.encode()) % buckets, t, i))
+        entries.sort()
+        place = np.empty(len(entries), dtype=np.int64)
+        place[[i for *_, i in entries]] = np.arange(len(entries))
+        ids, n_bytes, extra, sizes = map(list, zip(*self.docs, strict=True))
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        idx = place[np.concatenate(self.idx)] if self.idx else np.empty(0, dtype=np.int64)
+        freq = np.concatenate(self.freq) if self.freq else np.empty(0, dtype=np.int32)
+        order = np.lexsort((idx, owner))
+        idx, freq = idx[order], freq[order]
+        yield _rows([{"chunk": chunk, "doc_ids": ids, "n_bytes": n_bytes, "extra": extra, "sizes": sizes, "idx": packed(np.diff(idx, prepend=0)), "freq": packed(freq)}])
+        out, start = [], 0
+        press = zstd.ZstdCompressor(level=3)
+        for b, group in itertools.groupby(entries, key=lambda e: e[0]):
+            tokens = [t for _, t, _ in group]
+            out.append({"chunk": chunk, "bucket": b, "start": start, "tokens": press.compress("\n".join(tokens).encode())})
+            start += len(tokens)
+        yield _rows(out)
 
 
 def _encode(name: str, buckets: int):
@@ -135,32 +159,30 @@ def _count(name: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        bucket = None
+        bucket, press = None, zstd.ZstdDecompressor()
         for batch in batches:
-            chunks, out = [], []
-            for chunk, b, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            out = []
+            for b, tokens in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if b != bucket:
                     bucket, known = b, {}
                 counts = []
-                for t in tokens:
+                for t in press.decompress(tokens).decode().split("\n"):  # a pre-token as the model reads it has no line feed
                     n = known.get(t)
                     if n is None:
                         n = known[t] = pieces(t, name)
                     counts.append(n)
-                chunks.append(chunk)
-                out.append(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), batch.column(3), pa.array(out, pa.list_(pa.int32()))], ["chunk", "pos", "pieces"])
+                out.append(packed(np.array(counts)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["chunk", "start", "pieces"])
 
     return run
 
 
 def _sum(docs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
     row = docs.iloc[0]
-    table = np.zeros(int(max((p.max() for p in counts["pos"] if len(p)), default=-1)) + 1, dtype=np.int64)
-    for pos, n in zip(counts["pos"], counts["pieces"], strict=True):
-        table[pos] = n
+    counts = counts.sort_values("start")
+    table = np.concatenate([np.empty(0, dtype=np.int64), *map(unpacked, counts["pieces"])])
     sizes = np.asarray(row["sizes"], dtype=np.int64)
-    sums = np.concatenate(([0], np.cumsum(table[np.asarray(row["idx"], dtype=np.int64)] * np.asarray(row["freq"], dtype=np.int64))))
+    sums = np.concatenate(([0], np.cumsum(table[np.cumsum(unpacked(row["idx"]))] * unpacked(row["freq"]))))
     ends = np.cumsum(sizes)
     return pd.DataFrame({"doc_id": pd.array([None if x is None or x != x else int(x) for x in row["doc_ids"]], dtype="Int64"), "n_bytes": row["n_bytes"], "n_tokens": sums[ends] - sums[ends - sizes] + row["extra"]})
 
@@ -174,8 +196,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chunks = cut(d.mapInArrow(_encode(name, buckets), CHUNKS), "token-chunks")
-    entries = chunks.where("bucket is not null").select("chunk", "bucket", "tokens", "pos")
-    counted = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(name), "chunk long, pos array<int>, pieces array<int>")
+    entries = chunks.where("bucket is not null").select("chunk", "bucket", "start", "tokens")
+    counted = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(name), "chunk long, start int, pieces binary")
     owners = chunks.where("bucket is null").select("chunk", "doc_ids", "n_bytes", "extra", "sizes", "idx", "freq")
     summed = owners.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInPandas(_sum, "doc_id long, n_bytes long, n_tokens long")
     return summed.withColumn("over_limit", F.col("n_tokens") > limit)
