@@ -16,25 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm.words import mix64, powers, words
+from concord.llm.words import inverse_powers, mix64, powers, words
 from concord.plans.shared import cut
 
 #: Lines of fewer words are compared for equality only.
 MIN_WORDS = 8
 
 
-def _inverse_powers(n: int) -> np.ndarray:
-    global _inverses
-    if len(_inverses) < n:
-        out = np.full(max(n, 2 * len(_inverses)), np.uint64(pow(int(powers(2)[1]), -1, 1 << 64)), dtype=np.uint64)
-        out[0] = 1
-        _inverses = np.multiply.accumulate(out)
-    return _inverses[:n]
-
-
-_inverses = np.ones(1, dtype=np.uint64)
-
-
 class Lines:
     """Hashes of any run of words of a text's lines, in constant time each."""
 
@@ -49,7 +37,7 @@ class Lines:
 
     def value(self, a: np.ndarray, z: np.ndarray) -> np.ndarray:
         """Of the words from a up to z, as if they stood at the beginning."""
-        return (self.run[z] - self.run[a]) * _inverse_powers(len(self.run))[a]
+        return (self.run[z] - self.run[a]) * inverse_powers(len(self.run))[a]
 
     def hash(self, a: np.ndarray, z: np.ndarray) -> np.ndarray:
         return mix64(self.value(a, z) + ((z - a).astype(np.uint64) << np.uint64(32)))
@@ -62,29 +50,44 @@ class Lines:
         return mix64(rest + (np.uint64(z - a - 1) << np.uint64(32)))
 
 
-LINES = "doc_id long, lines array<struct<line:int,h:long,n:int,keys:array<long>>>"
+LINES = "doc_id long, line int, h long, n int, keys array<long>, again boolean"
 
 
-def _lines(min_words: int):
-    item = pa.struct([("line", pa.int32()), ("h", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
+def _slices(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with texts of about that many bytes, or a single row."""
+    text = batch.column(1)
+    ends = np.cumsum([x.as_buffer().size if x.is_valid else 0 for x in text])
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chars)))
+        yield batch.slice(at, to - at)
+        at = to
+
 
+def _lines(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs = []
-            for text in batch.column(1).to_pylist():
-                t = Lines(text)
-                at = np.flatnonzero(t.end > t.first)
-                a, z = t.first[at], t.end[at]
-                n = z - a
-                keys = []
-                for size in (n, n - 1):  # halves of a line of this size, and of one a word shorter
-                    half = np.maximum(size, 0) // 2
-                    salt = size.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
-                    keys += [mix64(t.hash(a, a + half) + salt), mix64(t.hash(z - (np.maximum(size, 0) - half), z) + salt + np.uint64(1))]
-                keys = np.stack(keys, axis=1).view(np.int64) if len(at) else np.empty((0, 4), dtype=np.int64)
-                h = t.hash(a, z).view(np.int64)
-                docs.append([{"line": int(i), "h": int(x), "n": int(m), "keys": k if m >= min_words else None} for i, x, m, k in zip(at, h, n, keys.tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(docs, pa.list_(item))], ["doc_id", "lines"])
+        for part in (x for batch in batches for x in _slices(batch)):
+            texts = [x or "" for x in part.column(1).to_pylist()]
+            t = Lines("\n".join(texts))  # the documents' lines one after another
+            counts = np.array([x.count("\n") + 1 for x in texts])
+            doc = np.repeat(np.arange(len(texts)), counts)
+            line = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+            at = np.flatnonzero(t.end > t.first)
+            a, z, doc, line = t.first[at], t.end[at], doc[at], line[at]
+            n, h = z - a, t.hash(a, z).view(np.int64)
+            keys = []
+            for size in (n, n - 1):  # halves of a line of this size, and of one a word shorter
+                half = size // 2
+                salt = size.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
+                keys += [mix64(t.hash(a, a + half) + salt), mix64(t.hash(z - (size - half), z) + salt + np.uint64(1))]
+            keys = np.stack(keys, axis=1).view(np.int64)
+            order = np.lexsort((line, h, doc))
+            again = np.zeros(len(at), dtype=bool)
+            again[order[1:]] = (doc[order[1:]] == doc[order[:-1]]) & (h[order[1:]] == h[order[:-1]])
+            use = (n >= min_words) & ~again
+            offsets = pa.array(np.concatenate(([0], np.cumsum(use * 4))), pa.int32())
+            columns = [part.column(0).take(pa.array(doc)), pa.array(line, pa.int32()), pa.array(h), pa.array(n, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(keys[use].reshape(-1))), pa.array(again)]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in LINES.split(", ")])
 
     return run
 
@@ -121,12 +124,18 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, line, near) of the lines to drop: an equal or near line stands earlier, by doc_id and line number."""
-    lines = cut(docs.where("doc_id is not null").mapInArrow(_lines(min_words), LINES).select("doc_id", F.inline("lines")), "lines")
-    first = cut(lines.groupBy("h", "n").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("keys").alias("keys")), "lines-first")
-    keyed = first.where("keys is not null").select("h", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("key")
-    some = keyed.join(shared, "key", "left_semi").select("h").distinct()
-    wanted = first.join(some, "h", "left_semi").groupBy(F.col("at.doc_id").alias("id")).agg(F.collect_list("at.line").alias("at"))
+    lines = cut(docs.where("doc_id is not null").mapInArrow(_lines(min_words), LINES), "lines")
+    once = lines.where("not again")
+    # a common line's rows are counted down before they are shuffled, and split where they meet its first document
+    firsts = once.groupBy("h", "n").agg(F.min("doc_id").alias("owner"))
+    owned = cut(once.join(firsts, ["h", "n"]).withColumn("is_first", F.col("doc_id") == F.col("owner")).drop("owner", "again"), "lines-owned")
+    first = owned.where("is_first")
+    keyed = first.select("h", F.explode("keys").alias("key"))
+    shared = cut(keyed.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.count("*").alias("n")).where("x <> y"), "lines-shared")
+    two = shared.where("n = 2").select(F.explode(F.array("x", "y")).alias("h"))
+    many = cut(shared.where("n > 2").select("key"), "lines-many")
+    some = two.unionByName(keyed.join(many, "key", "left_semi").select("h")).distinct()
+    wanted = first.join(some, "h", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("line").alias("at"))
     found = docs.join(wanted, docs.doc_id == wanted.id).select("doc_id", "text", "at").mapInArrow(_suspects, SUSPECTS)
     suspects = cut(found.withColumn("at", F.struct("doc_id", "line")).drop("doc_id", "line"), "lines-suspects")
     variants = suspects.select("at", "n", "h", F.posexplode("variants").alias("word", "key"))
@@ -143,10 +152,9 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     other = suspects.select(F.col("at").alias("earlier"), F.col("words").alias("y"))
     near = pairs.join(own, "later").join(other, "earlier").select("h", "x", "y").mapInArrow(_check, "h long").distinct()
     near = cut(near.withColumn("near", F.lit(True)), "lines-near")
-    # two joins by a line's hash: a common line's rows are split where they fill a partition
-    all_lines = lines.select("doc_id", "line", "h", "n").join(first.select("h", "n", "at"), ["h", "n"]).join(near, "h", "left")
-    gone = (F.struct("doc_id", "line") > F.col("at")) | F.coalesce("near", F.lit(False))
-    return all_lines.where(gone).select("doc_id", "line", F.coalesce("near", F.lit(False)).alias("near"))
+    # a near line's other occurrences all stand later than the one compared
+    gone = owned.join(near, "h", "left").where(~F.col("is_first") | F.col("near")).select("doc_id", "line", F.coalesce("near", F.lit(False)).alias("near"))
+    return gone.unionByName(lines.where("again").select("doc_id", "line", F.lit(False).alias("near")))
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,18 +37,33 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
+_inverses = np.ones(1, dtype=np.uint64)
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    """Their inverses, modulo 2 to the 64."""
+    global _inverses
+    if len(_inverses) < n:
+        out = np.full(max(n, 2 * len(_inverses)), np.uint64(pow(int(_BASE), -1, 1 << 64)), dtype=np.uint64)
+        out[0] = 1
+        _inverses = np.multiply.accumulate(out)
+    return _inverses[:n]
+
+
 def _hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    word = ~_SPACE[data]
-    edge = np.diff(word.astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    space = np.ones(len(data) + 2, dtype=bool)
+    space[1:-1] = _SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return np.empty(0, dtype=np.uint64), starts
-    lens = ends - starts
-    at = np.flatnonzero(word)
-    values = data[at].astype(np.uint64) + np.uint64(1)
-    offsets = np.concatenate(([0], np.cumsum(lens)[:-1]))
-    values *= powers(int(lens.max()))[np.arange(len(at)) - np.repeat(offsets, lens)]
-    return mix64(np.add.reduceat(values, offsets) ^ (lens.astype(np.uint64) << np.uint64(48))), starts
+    run = np.zeros(len(data) + 1, dtype=np.uint64)
+    values = data.astype(np.uint64)
+    values += np.uint64(1)
+    values *= powers(len(data))
+    np.cumsum(values, out=run[1:])
+    value = (run[ends] - run[starts]) * inverse_powers(len(data))[starts]  # as if each word stood at the beginning
+    return mix64(value ^ ((ends - starts).astype(np.uint64) << np.uint64(48))), starts
 
 
 def words(text: str | None, lower: bool = True) -> tuple[np.ndarray, np.ndarray, bytes]:
