@@ -7,9 +7,13 @@ hash into more blocks than linked sets can differ in, hence one block at least i
 in both. The boundary is the size up to which subsets cost less than lists. Sets equal as a
 whole are joined once, by their smallest document.
 
-In a list all sets are compared with the smallest document's; lists whose sets do not end
-in one component then compare those of different components. Every pair is verified on the
-exact sets, so no link between components is lost and copies are never paired off.
+In a list all sets are compared with the smallest document's. Lists whose sets do not end in
+one component compare those of different components, in tiles of bounded size and by parity
+sketches: the bits in which two sketches differ are at most the shingles in which the sets
+do, so a pair with too many is no link. Of the rest a tile hands on a few pairs for each two
+components they would join, and again until nothing is left to join. Every pair handed on is
+verified on the exact sets, so no link between components is lost and copies are never
+paired off.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ from concord.plans.shared import cut
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 #: Ratio of the sizes at a class's ends. A block with fewer shingles says little, and is left out where enough others remain.
 RATIO, WEAK = 1.5, 2
+#: 64-bit words of a parity sketch, members of one side of a tile, pairs tried at once for each join of a tile.
+SKETCH, TILE, FORESTS = 16, 2048, 16
 
 
 def differ(total: int, percent: int) -> int:
@@ -106,7 +112,13 @@ def signatures(shingle_set: np.ndarray, bound: int, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, dtype=np.int64)
 
 
-SETS = "doc_id long, n long, k1 long, k2 long, sigs array<long>"
+def sketch(shingle_set: np.ndarray) -> np.ndarray:
+    """A bit for each of its hash values, set if an odd number of shingles have it."""
+    odd = np.bincount((mix64(shingle_set + _B) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+SETS = "doc_id long, n long, k1 long, k2 long, sigs array<long>, sketch array<long>"
 
 
 def _sets(n: int, percent: int):
@@ -118,9 +130,9 @@ def _sets(n: int, percent: int):
             for text in batch.column(1).to_pylist():
                 s = shingles(text, n)
                 m = mix64(s + _A)
-                rows.append((len(s), int(m.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix64(s * _B)).view(np.int64)) if len(s) else 0, signatures(s, bound, percent)))
-            cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.list_(pa.int64()))], [x.split()[0] for x in SETS.split(", ")])
+                rows.append((len(s), int(m.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix64(s * _B)).view(np.int64)) if len(s) else 0, signatures(s, bound, percent), sketch(s)))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.list_(pa.int64())) for c in cols[3:])], [x.split()[0] for x in SETS.split(", ")])
 
     return run
 
@@ -149,12 +161,91 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Of pairs(a, b) those whose sets are linked; sets are made only for documents in a pair."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.join(wanted, docs.doc_id == wanted.id, "left_semi").dropDuplicates(["doc_id"])
+    texts = docs.join(wanted, docs.doc_id == wanted.id, "left_semi")
     arrays = cut(texts.select("doc_id", "text").mapInArrow(_arrays(n), "id long, items array<long>"), "jaccard-sets")
     both = pairs.join(arrays.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(arrays.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     return cut(both.select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, percent), "a long, b long"), "jaccard-links")
 
 
+def _join_tiles(percent: int):
+    """Sorted rows of tiles -> pairs, a few for each two components of a tile that pairs seem to link."""
+
+    def pairs(rows: dict[str, np.ndarray]) -> list[tuple[int, int, int]]:
+        own, i, j = rows["salt"], rows["i"][0], rows["j"][0]
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        n, part, bits = rows["n"], rows["part"], rows["bits"]
+        known = {(int(x), int(y)) for x, refuted in zip(rows["a"], rows["not_b"], strict=True) if refuted is not None for y in refuted}
+        found: list[tuple[int, int, int]] = []
+        forests: list[dict[int, int]] = [{} for _ in range(FORESTS)]
+
+        def joins(q: int, r: int) -> bool:
+            """True if the first forest in which q and r are apart now joins them."""
+            for root in forests:
+                x, y = q, r
+                while x in root:
+                    x = root[x]
+                while y in root:
+                    y = root[y]
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    return True
+            return False
+
+        for at in range(0, len(left), 64):
+            p = left[at : at + 64]
+            apart = part[p][:, None] != part[right][None, :]
+            low, high = np.minimum(n[p][:, None], n[right][None, :]), np.maximum(n[p][:, None], n[right][None, :])
+            apart &= (100 * low >= percent * high) & ~(rows["pivot"][p][:, None] | rows["pivot"][right][None, :])
+            x, y = np.nonzero(apart)
+            for lo in range(0, len(x), 1 << 16):
+                u, v = p[x[lo : lo + (1 << 16)]], right[y[lo : lo + (1 << 16)]]
+                far = np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1, dtype=np.int64)
+                ok = far <= (n[u] + n[v]) * (100 - percent) // (100 + percent)
+                for s, t in zip(u[ok].tolist(), v[ok].tolist(), strict=True):
+                    a, b = int(rows["a"][s]), int(rows["a"][t])
+                    a, b = min(a, b), max(a, b)
+                    if (a, b) not in known and joins(int(part[s]), int(part[t])):
+                        found.append((int(rows["sig"][s]), a, b))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
+
+        def out(groups: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+            rows = [x for g in groups for x in pairs(g)]
+            cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["sig", "a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("sig", "i", "j", "salt", "a", "n", "part", "pivot")}
+            rows["not_b"] = np.empty(batch.num_rows, dtype=object)
+            rows["not_b"][:] = batch.column("not_b").to_pylist()
+            rows["bits"] = batch.column("sketch").flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCH)
+            if held is not None:
+                rows = {k: np.concatenate((held[k], rows[k])) for k in rows}
+            edge = np.flatnonzero((np.diff(rows["sig"]) != 0) | (np.diff(rows["i"]) != 0) | (np.diff(rows["j"]) != 0)) + 1
+            ends = [0, *edge.tolist()]
+            groups = [{k: v[s:e] for k, v in rows.items()} for s, e in zip(ends[:-1], ends[1:], strict=True)]
+            held = {k: v[ends[-1] :] for k, v in rows.items()}
+            yield out(groups)
+        if held is not None:
+            yield out([held])
+
+    return run
+
+
+def sketched(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """pairs(a, b) whose sizes and sketches allow a link."""
+    x = reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+    y = reps.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+    both = pairs.join(x, "a").join(y, "b")
+    far = F.aggregate(F.zip_with("s_a", "s_b", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda m, v: m + v)
+    close = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)") & (far <= F.expr(f"((n_a + n_b) * {100 - percent}) div {100 + percent}"))
+    return both.where(close).select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -168,34 +259,52 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     base = cut(d.mapInArrow(_sets(n, percent), SETS), "jaccard-base")
     some = base.where("n > 0 and doc_id is not null")
     same = some.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    members = cut(some.select("doc_id", "n", "k1", "k2").join(same, ["n", "k1", "k2"]).select("doc_id", "rep").distinct(), "jaccard-members")
+    members = cut(some.select("doc_id", "n", "k1", "k2").join(same, ["n", "k1", "k2"]).select("doc_id", "rep", "n").distinct(), "jaccard-members")
+    reps = some.select(F.col("doc_id").alias("rep"), "n", "sketch")
 
     keyed = some.select("doc_id", F.explode("sigs").alias("sig"))
     lists = keyed.groupBy("sig").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").drop("last")
     hits = cut(keyed.join(lists, "sig"), "jaccard-hits")
     star = hits.where("doc_id <> pivot").select("doc_id", "pivot").distinct()
-    a = members.select(F.col("doc_id"), F.col("rep").alias("a"))
+    a = members.select("doc_id", F.col("rep").alias("a"))
     b = members.select(F.col("doc_id").alias("pivot"), F.col("rep").alias("b"))
     star = cut(star.join(a, "doc_id").join(b, "pivot").where("a <> b"), "jaccard-star")
-    pairs = cut(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
-    links = verified(pairs, d, n, percent)
+    pairs = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = verified(cut(sketched(pairs, reps, percent).distinct(), "jaccard-pairs"), d, n, percent)
     parts = connected_components(links)
 
-    # lists whose sets lie in several components: compare the sets of different components
+    # lists whose sets lie in several components: look for links between those
     def part(col: str) -> DataFrame:
         return parts.select(F.col("node").alias(col), F.col("component").alias(f"{col}_part"))
 
     apart = star.join(part("a"), "a", "left").join(part("b"), "b", "left").where(F.coalesce("a_part", "a") != F.coalesce("b_part", "b"))
     open_lists = hits.join(apart.select("doc_id", "pivot").distinct(), ["doc_id", "pivot"], "left_semi").select("sig").distinct()
-    left = hits.join(open_lists, "sig", "left_semi").select("sig", "doc_id").join(a, "doc_id").join(part("a"), "a", "left")
-    left = left.select("sig", "a", F.coalesce("a_part", "a").alias("part")).distinct()
-    left = cut(left, "jaccard-open")
-    if not left.isEmpty():
-        right = left.select("sig", F.col("a").alias("b"), F.col("part").alias("other"))
-        more = left.join(right, "sig").where("a < b and part <> other").select("a", "b").distinct()
-        more = cut(more.join(pairs, ["a", "b"], "left_anti"), "jaccard-pairs")
-        links = links.unionByName(verified(more, d, n, percent))
-        parts = connected_components(links)
+    left = hits.join(open_lists, "sig", "left_semi").join(a, "doc_id")
+    pivot = members.select(F.col("doc_id").alias("pivot"), F.col("rep").alias("first"))
+    left = left.join(pivot, "pivot").groupBy("sig", "a").agg(F.max(F.col("a") == F.col("first")).alias("pivot"))
+    size = left.groupBy("sig").agg(F.count("*").alias("members")).where("members > 2").select("sig", F.ceil(F.col("members") / TILE).cast("int").alias("salts"))
+    left = left.join(size, "sig").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda t: F.struct(F.least("salt", t).alias("i"), F.greatest("salt", t).alias("j")))
+    left = cut(left.withColumn("tile", F.explode(tiles)).select("sig", "a", "pivot", "salt", "tile.*"), "jaccard-open")
+    refuted: DataFrame | None = None
+    while not left.isEmpty():
+        rows = left.join(part("a"), "a", "left").withColumn("part", F.coalesce("a_part", "a")).drop("a_part")
+        rows = rows.join(reps.withColumnRenamed("rep", "a"), "a")
+        if refuted is None:
+            rows = rows.withColumn("not_b", F.lit(None).cast("array<long>"))
+        else:
+            rows = rows.join(refuted.groupBy("sig", "a").agg(F.collect_set("not_b").alias("not_b")), ["sig", "a"], "left")
+        rows = rows.select("sig", "i", "j", "salt", "a", "n", "part", "pivot", "not_b", "sketch")
+        rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "a")
+        found = cut(rows.mapInArrow(_join_tiles(percent), "sig long, a long, b long"), "jaccard-found")
+        if found.isEmpty():
+            break
+        good = verified(found.select("a", "b").distinct(), d, n, percent)
+        bad = found.join(good, ["a", "b"], "left_anti").select("sig", "a", F.col("b").alias("not_b"))
+        refuted = cut(bad if refuted is None else refuted.unionByName(bad).distinct(), "jaccard-refuted")
+        if not good.isEmpty():
+            links = links.unionByName(good)
+            parts = connected_components(links)
     of = members.join(parts, members.rep == parts.node, "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component"))
     of = of.groupBy("id").agg(F.min("component").alias("component"))
     joined = base.select("doc_id", "n").join(of, base.doc_id == of.id, "left")
