@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm.words import inverse_powers, mix64, powers, words
+from concord.llm.words import inverse_powers, mix64, powers, slices, words
 from concord.plans.shared import cut
 
 #: Lines of fewer words are compared for equality only.
@@ -53,20 +53,9 @@ class Lines:
 LINES = "doc_id long, line int, h long, n int, keys array<long>, again boolean"
 
 
-def _slices(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with texts of about that many bytes, or a single row."""
-    text = batch.column(1)
-    ends = np.cumsum([x.as_buffer().size if x.is_valid else 0 for x in text])
-    at = 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chars)))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def _lines(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (x for batch in batches for x in _slices(batch)):
+        for part in (x for batch in batches for x in slices(batch)):
             texts = [x or "" for x in part.column(1).to_pylist()]
             t = Lines("\n".join(texts))  # the documents' lines one after another
             counts = np.array([x.count("\n") + 1 for x in texts])

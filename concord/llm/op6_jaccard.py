@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm.words import mix64, shingles
+from concord.llm.words import mix64, shingles, slices
 from concord.operators.components import connected_components
 from concord.plans.shared import cut
 
@@ -35,7 +35,7 @@ _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 #: Ratio of the sizes at a class's ends. A block with fewer shingles says little, and is left out where enough others remain.
 RATIO, WEAK = 1.5, 2
 #: 64-bit words of a parity sketch, members of one side of a tile, pairs tried at once for each join of a tile.
-SKETCH, TILE, FORESTS = 16, 2048, 16
+SKETCH, TILE, FORESTS = 16, 2048, 8
 
 
 def differ(total: int, percent: int) -> int:
@@ -112,27 +112,39 @@ def signatures(shingle_set: np.ndarray, bound: int, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, dtype=np.int64)
 
 
-def sketch(shingle_set: np.ndarray) -> np.ndarray:
-    """A bit for each of its hash values, set if an odd number of shingles have it."""
-    odd = np.bincount((mix64(shingle_set + _B) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+def sketch(shingle_set: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    """A bit for each of its hash values, set if an odd number of shingles have it; words is a power of two."""
+    odd = np.bincount((mix64(shingle_set + _B) & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-SETS = "doc_id long, n long, k1 long, k2 long, sigs array<long>, sketch array<long>"
+def long_sketch(shingle_set: np.ndarray) -> bytes | None:
+    """For sets that a sketch of SKETCH words is too short for: one with two bits or more for each shingle."""
+    words = 1 << max(0, (2 * len(shingle_set) - 1).bit_length() - 6)
+    return sketch(shingle_set, words).tobytes() if words > SKETCH else None
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ; the longer one is folded to the shorter one's length."""
+    u, v = sorted((np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(v.reshape(-1, len(u)), axis=0) ^ u).sum(dtype=np.int64))
+
+
+SETS = "doc_id long, n long, k1 long, k2 long, sigs array<long>, sketch array<long>, long binary"
 
 
 def _sets(n: int, percent: int):
     bound = boundary(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole)):
             rows = []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, n)
                 m = mix64(s + _A)
-                rows.append((len(s), int(m.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix64(s * _B)).view(np.int64)) if len(s) else 0, signatures(s, bound, percent), sketch(s)))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.list_(pa.int64())) for c in cols[3:])], [x.split()[0] for x in SETS.split(", ")])
+                rows.append((len(s), int(m.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix64(s * _B)).view(np.int64)) if len(s) else 0, signatures(s, bound, percent), sketch(s), long_sketch(s)))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.list_(pa.int64())) for c in cols[3:5]), pa.array(cols[5], pa.binary())], [x.split()[0] for x in SETS.split(", ")])
 
     return run
 
@@ -140,8 +152,7 @@ def _sets(n: int, percent: int):
 def _arrays(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, n).view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "items"])
 
     return run
@@ -236,14 +247,26 @@ def _join_tiles(percent: int):
     return run
 
 
+def _near(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [x is None or y is None or apart(x, y) <= most for most, x, y in zip(*(batch.column(k).to_pylist() for k in ("most", "l_a", "l_b")), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def sketched(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b) whose sizes and sketches allow a link."""
+    """Of pairs(a, b) those whose sizes and sketches allow a link: the short sketches first, then the long ones."""
     x = reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     y = reps.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-    both = pairs.join(x, "a").join(y, "b")
+    both = pairs.join(x, "a").join(y, "b").withColumn("most", F.expr(f"((n_a + n_b) * {100 - percent}) div {100 + percent}"))
     far = F.aggregate(F.zip_with("s_a", "s_b", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda m, v: m + v)
-    close = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)") & (far <= F.expr(f"((n_a + n_b) * {100 - percent}) div {100 + percent}"))
-    return both.where(close).select("a", "b")
+    close = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)") & (far <= F.col("most"))
+    left = cut(both.where(close).select("a", "b", "most").distinct(), "jaccard-close")
+    longs = reps.where("long is not null")
+    left = left.join(longs.select(F.col("rep").alias("a"), F.col("long").alias("l_a")), "a", "left").join(longs.select(F.col("rep").alias("b"), F.col("long").alias("l_b")), "b", "left")
+    return left.mapInArrow(_near(percent), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,7 +283,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     some = base.where("n > 0 and doc_id is not null")
     same = some.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     members = cut(some.select("doc_id", "n", "k1", "k2").join(same, ["n", "k1", "k2"]).select("doc_id", "rep", "n").distinct(), "jaccard-members")
-    reps = some.select(F.col("doc_id").alias("rep"), "n", "sketch")
+    reps = some.select(F.col("doc_id").alias("rep"), "n", "sketch", "long")
 
     keyed = some.select("doc_id", F.explode("sigs").alias("sig"))
     lists = keyed.groupBy("sig").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").drop("last")
@@ -270,15 +293,15 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     b = members.select(F.col("doc_id").alias("pivot"), F.col("rep").alias("b"))
     star = cut(star.join(a, "doc_id").join(b, "pivot").where("a <> b"), "jaccard-star")
     pairs = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = verified(cut(sketched(pairs, reps, percent).distinct(), "jaccard-pairs"), d, n, percent)
+    links = verified(cut(sketched(pairs, reps, percent), "jaccard-pairs"), d, n, percent)
     parts = connected_components(links)
 
     # lists whose sets lie in several components: look for links between those
     def part(col: str) -> DataFrame:
         return parts.select(F.col("node").alias(col), F.col("component").alias(f"{col}_part"))
 
-    apart = star.join(part("a"), "a", "left").join(part("b"), "b", "left").where(F.coalesce("a_part", "a") != F.coalesce("b_part", "b"))
-    open_lists = hits.join(apart.select("doc_id", "pivot").distinct(), ["doc_id", "pivot"], "left_semi").select("sig").distinct()
+    split = star.join(part("a"), "a", "left").join(part("b"), "b", "left").where(F.coalesce("a_part", "a") != F.coalesce("b_part", "b"))
+    open_lists = hits.join(split.select("doc_id", "pivot").distinct(), ["doc_id", "pivot"], "left_semi").select("sig").distinct()
     left = hits.join(open_lists, "sig", "left_semi").join(a, "doc_id")
     pivot = members.select(F.col("doc_id").alias("pivot"), F.col("rep").alias("first"))
     left = left.join(pivot, "pivot").groupBy("sig", "a").agg(F.max(F.col("a") == F.col("first")).alias("pivot"))
@@ -289,7 +312,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     refuted: DataFrame | None = None
     while not left.isEmpty():
         rows = left.join(part("a"), "a", "left").withColumn("part", F.coalesce("a_part", "a")).drop("a_part")
-        rows = rows.join(reps.withColumnRenamed("rep", "a"), "a")
+        rows = rows.join(reps.select(F.col("rep").alias("a"), "n", "sketch"), "a")
         if refuted is None:
             rows = rows.withColumn("not_b", F.lit(None).cast("array<long>"))
         else:
@@ -299,7 +322,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
         found = cut(rows.mapInArrow(_join_tiles(percent), "sig long, a long, b long"), "jaccard-found")
         if found.isEmpty():
             break
-        good = verified(found.select("a", "b").distinct(), d, n, percent)
+        good = verified(cut(sketched(found.select("a", "b").distinct(), reps, percent), "jaccard-pairs"), d, n, percent)
         bad = found.join(good, ["a", "b"], "left_anti").select("sig", "a", F.col("b").alias("not_b"))
         refuted = cut(bad if refuted is None else refuted.unionByName(bad).distinct(), "jaccard-refuted")
         if not good.isEmpty():
