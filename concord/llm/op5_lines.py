@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm.words import inverse_powers, mix64, powers, slices, words
+from concord.llm.batches import slices, small_batches, tidy
+from concord.llm.words import inverse_powers, mix64, powers, words
 from concord.plans.shared import cut
 
 #: Lines of fewer words are compared for equality only.
@@ -113,7 +114,8 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, line, near) of the lines to drop: an equal or near line stands earlier, by doc_id and line number."""
-    lines = cut(docs.where("doc_id is not null").mapInArrow(_lines(min_words), LINES), "lines")
+    small_batches(docs.sparkSession)
+    lines = cut(docs.where("doc_id is not null").mapInArrow(tidy(_lines(min_words)), LINES), "lines")
     once = lines.where("not again")
     # a common line's rows are counted down before they are shuffled, and split where they meet its first document
     firsts = once.groupBy("h", "n").agg(F.min("doc_id").alias("owner"))
@@ -125,7 +127,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     many = cut(shared.where("n > 2").select("key"), "lines-many")
     some = two.unionByName(keyed.join(many, "key", "left_semi").select("h")).distinct()
     wanted = first.join(some, "h", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("line").alias("at"))
-    found = docs.join(wanted, docs.doc_id == wanted.id).select("doc_id", "text", "at").mapInArrow(_suspects, SUSPECTS)
+    found = docs.join(wanted, docs.doc_id == wanted.id).select("doc_id", "text", "at").mapInArrow(tidy(_suspects), SUSPECTS)
     suspects = cut(found.withColumn("at", F.struct("doc_id", "line")).drop("doc_id", "line"), "lines-suspects")
     variants = suspects.select("at", "n", "h", F.posexplode("variants").alias("word", "key"))
     # one word replaced: equal without the word at the same place; one word more: equal to the shorter line itself
@@ -147,7 +149,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (x for whole in batches for x in slices(whole)):
         rows = []
         for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             if text is None:
@@ -171,7 +173,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     gone = repeated_lines(d, min_words).groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_set("line")).alias("dropped"))
     joined = d.join(gone, d.doc_id == gone.id, "left").select("doc_id", "text", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
-    return joined.mapInArrow(_rest, "doc_id long, n_lines long, n_dropped long, text string, dropped array<int>")
+    return joined.mapInArrow(tidy(_rest), "doc_id long, n_lines long, n_dropped long, text string, dropped array<int>")
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -182,7 +184,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     joined = docs.join(gone, docs.doc_id == gone["__id"], "left").select("doc_id", "text", "__dropped", *others)
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = "doc_id long, n_lines long, n_dropped long, text string, dropped array<int>" + "".join(f", `{c}` {types[c]}" for c in others)
-    out = joined.withColumn("__dropped", F.coalesce("__dropped", F.array().cast("array<int>"))).mapInArrow(_rest, schema)
+    out = joined.withColumn("__dropped", F.coalesce("__dropped", F.array().cast("array<int>"))).mapInArrow(tidy(_rest), schema)
     out = out.where("n_dropped = 0 or text rlike '[^ \\\\t-\\\\r]'")
     return out.withColumn("n_chars", F.length("text").cast(types.get("n_chars", "long"))).select(*docs.columns)
 

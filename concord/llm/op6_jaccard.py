@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm.words import mix64, shingles, slices
+from concord.llm.batches import slices, small_batches, tidy
+from concord.llm.words import mix64, shingles
 from concord.operators.components import connected_components
 from concord.plans.shared import cut
 
@@ -36,6 +37,8 @@ _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 RATIO, WEAK = 1.5, 2
 #: 64-bit words of a parity sketch, members of one side of a tile, pairs tried at once for each join of a tile.
 SKETCH, TILE, FORESTS = 16, 2048, 8
+#: Keys of a part of a task, whose documents meet before the shuffle, and of a row that carries them.
+PART_KEYS, ROW_KEYS = 1 << 19, 1 << 12
 
 
 def differ(total: int, percent: int) -> int:
@@ -130,25 +133,82 @@ def apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(np.bitwise_xor.reduce(v.reshape(-1, len(u)), axis=0) ^ u).sum(dtype=np.int64))
 
 
-SETS = "doc_id long, n long, k1 long, k2 long, sigs array<long>, sketch array<long>, long binary"
+SETS = "doc_id long, n long, k1 long, k2 long, sketch array<long>, long binary, sigs array<long>, docs array<long>, met_sigs array<long>, met_docs array<long>, met_pivots array<long>"
+_LONGS = pa.list_(pa.int64())
+_KINDS = dict(zip([x.split()[0] for x in SETS.split(", ")], [pa.int64()] * 4 + [_LONGS, pa.binary()] + [_LONGS] * 5, strict=True))
 
 
 def _sets(n: int, percent: int):
+    """A row per document, and rows of keys: of a part of a task each distinct key once, with its smallest document.
+
+    Documents of one part that share a key meet there; so a key that many documents share
+    is shuffled once per part.
+    """
     bound = boundary(percent)
 
+    def rows(columns: dict[str, list]) -> pa.RecordBatch:
+        size = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns.get(k, [None] * size), t) for k, t in _KINDS.items()], list(_KINDS))
+
+    def keys(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        sig, doc = np.concatenate([x for _, x in held]), np.repeat([i for i, _ in held], [len(x) for _, x in held])
+        order = np.lexsort((doc, sig))
+        sig, doc = sig[order], doc[order]
+        first = np.flatnonzero(np.diff(sig, prepend=~sig[:1]) != 0) if len(sig) else np.empty(0, dtype=np.int64)
+        counts = np.diff(np.append(first, len(sig)))
+        met = np.repeat(counts > 1, counts)
+        pivots = np.repeat(doc[first], counts)
+        columns = {"sigs": sig[first], "docs": doc[first], "met_sigs": sig[met], "met_docs": doc[met], "met_pivots": pivots[met]}
+        longest = max(len(first), int(met.sum()))
+        return rows({k: [v[i : i + ROW_KEYS] for i in range(0, longest, ROW_KEYS)] for k, v in columns.items()})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
         for batch in (x for whole in batches for x in slices(whole)):
-            rows = []
-            for text in batch.column(1).to_pylist():
+            out: dict[str, list] = {k: [] for k in ("doc_id", "n", "k1", "k2", "sketch", "long")}
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingles(text, n)
-                m = mix64(s + _A)
-                rows.append((len(s), int(m.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix64(s * _B)).view(np.int64)) if len(s) else 0, signatures(s, bound, percent), sketch(s), long_sketch(s)))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.list_(pa.int64())) for c in cols[3:5]), pa.array(cols[5], pa.binary())], [x.split()[0] for x in SETS.split(", ")])
+                row = (doc_id, len(s), int(mix64(s + _A).sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix64(s * _B)).view(np.int64)) if len(s) else 0, sketch(s), long_sketch(s))
+                for column, x in zip(out.values(), row, strict=True):
+                    column.append(x)
+                if doc_id is not None and len(s):
+                    held.append((doc_id, signatures(s, bound, percent)))
+                    size += len(held[-1][1])
+            yield rows(out)
+            if size >= PART_KEYS:
+                yield keys(held)
+                held, size = [], 0
+        if held:
+            yield keys(held)
 
     return run
 
 
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (sig, doc_id) -> (sig, doc_id, pivot) of keys that several documents have; one batch in memory."""
+    open_sig, pivot, count = None, None, 0  # the last key, which may go on, its pivot and rows so far
+
+    def out(sig: np.ndarray, doc: np.ndarray, pivots: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(doc, pa.int64()), pa.array(pivots, pa.int64())], ["sig", "doc_id", "pivot"])
+
+    for batch in batches:
+        sig, doc = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        if not len(sig):
+            continue
+        first = np.flatnonzero(np.diff(sig, prepend=~sig[:1]) != 0)
+        counts = np.diff(np.append(first, len(sig)))
+        pivots, many = np.repeat(doc[first], counts), np.repeat(counts > 1, counts)
+        if open_sig is not None and sig[0] == open_sig:  # the batch goes on with the last one's key
+            n = int(counts[0])
+            pivots[:n], many[:n] = pivot, True
+            if count == 1:
+                yield out(np.array([open_sig]), np.array([pivot]), np.array([pivot]))
+            counts[0] += count
+        yield out(sig[many], doc[many], pivots[many])
+        open_sig, pivot, count = int(sig[-1]), int(pivots[-1]), int(counts[-1])
+
+
 def _arrays(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,9 +233,9 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     """Of pairs(a, b) those whose sets are linked; sets are made only for documents in a pair."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = docs.join(wanted, docs.doc_id == wanted.id, "left_semi")
-    arrays = cut(texts.select("doc_id", "text").mapInArrow(_arrays(n), "id long, items array<long>"), "jaccard-sets")
+    arrays = cut(texts.select("doc_id", "text").mapInArrow(tidy(_arrays(n)), "id long, items array<long>"), "jaccard-sets")
     both = pairs.join(arrays.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(arrays.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    return cut(both.select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, percent), "a long, b long"), "jaccard-links")
+    return cut(both.select("a", "b", "x", "y").mapInArrow(tidy(lambda it: _verify(it, percent)), "a long, b long"), "jaccard-links")
 
 
 def _join_tiles(percent: int):
@@ -206,7 +266,8 @@ def _join_tiles(percent: int):
             p = left[at : at + 64]
             apart = part[p][:, None] != part[right][None, :]
             low, high = np.minimum(n[p][:, None], n[right][None, :]), np.maximum(n[p][:, None], n[right][None, :])
-            apart &= (100 * low >= percent * high) & ~(rows["pivot"][p][:, None] | rows["pivot"][right][None, :])
+            apart &= (100 * low >= percent * high) & (rows["a"][p][:, None] != rows["pivot"][right][None, :])
+            apart &= rows["pivot"][p][:, None] != rows["a"][right][None, :]  # those have been compared
             x, y = np.nonzero(apart)
             for lo in range(0, len(x), 1 << 16):
                 u, v = p[x[lo : lo + (1 << 16)]], right[y[lo : lo + (1 << 16)]]
@@ -266,7 +327,7 @@ def sketched(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     left = cut(both.where(close).select("a", "b", "most").distinct(), "jaccard-close")
     longs = reps.where("long is not null")
     left = left.join(longs.select(F.col("rep").alias("a"), F.col("long").alias("l_a")), "a", "left").join(longs.select(F.col("rep").alias("b"), F.col("long").alias("l_b")), "b", "left")
-    return left.mapInArrow(_near(percent), "a long, b long").distinct()
+    return left.mapInArrow(tidy(_near(percent)), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,15 +340,18 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     columns are not read.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = cut(d.mapInArrow(_sets(n, percent), SETS), "jaccard-base")
+    small_batches(docs.sparkSession)
+    base = cut(d.mapInArrow(tidy(_sets(n, percent)), SETS), "jaccard-base")
     some = base.where("n > 0 and doc_id is not null")
     same = some.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     members = cut(some.select("doc_id", "n", "k1", "k2").join(same, ["n", "k1", "k2"]).select("doc_id", "rep", "n").distinct(), "jaccard-members")
     reps = some.select(F.col("doc_id").alias("rep"), "n", "sketch", "long")
 
-    keyed = some.select("doc_id", F.explode("sigs").alias("sig"))
-    lists = keyed.groupBy("sig").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").drop("last")
-    hits = cut(keyed.join(lists, "sig"), "jaccard-hits")
+    keyed = base.where("sigs is not null").select(F.inline(F.arrays_zip("sigs", "docs"))).toDF("sig", "doc_id")
+    met = base.where("sigs is not null").select(F.inline(F.arrays_zip("met_sigs", "met_docs", "met_pivots"))).toDF("sig", "doc_id", "pivot")
+    # one exchange: at most a row per key and part of a task, sorted and read as a stream
+    lists = keyed.repartition("sig").sortWithinPartitions("sig", "doc_id").mapInArrow(tidy(_meet), "sig long, doc_id long, pivot long")
+    hits = cut(lists.unionByName(met), "jaccard-hits")
     star = hits.where("doc_id <> pivot").select("doc_id", "pivot").distinct()
     a = members.select("doc_id", F.col("rep").alias("a"))
     b = members.select(F.col("doc_id").alias("pivot"), F.col("rep").alias("b"))
@@ -304,7 +368,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     open_lists = hits.join(split.select("doc_id", "pivot").distinct(), ["doc_id", "pivot"], "left_semi").select("sig").distinct()
     left = hits.join(open_lists, "sig", "left_semi").join(a, "doc_id")
     pivot = members.select(F.col("doc_id").alias("pivot"), F.col("rep").alias("first"))
-    left = left.join(pivot, "pivot").groupBy("sig", "a").agg(F.max(F.col("a") == F.col("first")).alias("pivot"))
+    left = left.join(pivot, "pivot").groupBy("sig", "a").agg(F.min("first").alias("pivot"))
     size = left.groupBy("sig").agg(F.count("*").alias("members")).where("members > 2").select("sig", F.ceil(F.col("members") / TILE).cast("int").alias("salts"))
     left = left.join(size, "sig").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
     tiles = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda t: F.struct(F.least("salt", t).alias("i"), F.greatest("salt", t).alias("j")))
@@ -319,7 +383,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
             rows = rows.join(refuted.groupBy("sig", "a").agg(F.collect_set("not_b").alias("not_b")), ["sig", "a"], "left")
         rows = rows.select("sig", "i", "j", "salt", "a", "n", "part", "pivot", "not_b", "sketch")
         rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "a")
-        found = cut(rows.mapInArrow(_join_tiles(percent), "sig long, a long, b long"), "jaccard-found")
+        found = cut(rows.mapInArrow(tidy(_join_tiles(percent)), "sig long, a long, b long"), "jaccard-found")
         if found.isEmpty():
             break
         good = verified(cut(sketched(found.select("a", "b").distinct(), reps, percent), "jaccard-pairs"), d, n, percent)
@@ -330,7 +394,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
             parts = connected_components(links)
     of = members.join(parts, members.rep == parts.node, "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component"))
     of = of.groupBy("id").agg(F.min("component").alias("component"))
-    joined = base.select("doc_id", "n").join(of, base.doc_id == of.id, "left")
+    joined = base.where("n is not null").select("doc_id", "n").join(of, base.doc_id == of.id, "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concord.llm.batches import small_batches, tidy
 from concord.llm.tokens import encode_ids
 from concord.plans.shared import cut
 
@@ -185,7 +186,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Shards hold pieces, not documents, so neither a long document nor many copies fill one.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = cut(d.mapInArrow(_pieces(capacity, name), PIECES), "pieces")
+    small_batches(docs.sparkSession)
+    pieces = cut(d.mapInArrow(tidy(_pieces(capacity, name)), PIECES), "pieces")
     total = pieces.agg(F.sum("length")).first()[0] or 0
     shards = max(1, -(-total // SHARD_TOKENS))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "copy"), F.lit(shards)).cast("int"))

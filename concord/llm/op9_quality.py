@@ -17,6 +17,8 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concord.llm.batches import slices, small_batches, tidy
+
 #: Bytes of a block, of a dictionary, and the compression level.
 BLOCK, DICT_BYTES, LEVEL = 2048, 128 << 10, 3
 #: Bounds of the labelled sample: rows of each label, and characters of a sampled text.
@@ -137,7 +139,7 @@ def _apply(model: Model):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, score. A map without shuffle; null text scores as empty text."""
-    return docs.select("doc_id", "text").mapInArrow(_apply(model), "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(_apply(model)), "doc_id long, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -147,6 +149,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     0.5. Null doc_ids are not held out. Repeated rows are repeated; a doc_id labelled more
     than once takes its highest label. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     model = fit(training_rows(docs, labels))
     scored = score(docs.withColumn("doc_id", F.col("doc_id").cast("long")), model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -154,15 +157,16 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score reaches the threshold, all columns kept."""
-    model = fit(training_rows(docs, labels))
+    small_batches(docs.sparkSession)
+    model, docs_columns = fit(training_rows(docs, labels)), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for b in batches:
-            at = b.schema.get_field_index("text")
+        at = docs_columns.index("text")
+        for b in (x for whole in batches for x in slices(whole, column=at)):
             yield b.filter(pa.array([scorer.score(t) >= THRESHOLD for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

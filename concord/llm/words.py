@@ -6,10 +6,7 @@ Equal words have equal hashes; unequal ones collide with the chance of random 64
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -98,14 +95,3 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     for j in range(1, k):
         acc = mix64(acc * _BASE + w[j : len(w) - k + 1 + j])
     return np.unique(mix64(acc + np.uint64(k)))
-
-
-def slices(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about that many bytes of text in column 1, or a single row."""
-    text = batch.column(1)
-    ends = np.cumsum([x.as_buffer().size if x.is_valid else 0 for x in text])
-    at = 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)))
-        yield batch.slice(at, to - at)
-        at = to

@@ -306,6 +306,20 @@ def test_jaccard(spark, docs, n, percent):
             assert r.component_id is None
 
 
+def test_jaccard_lists_run_over_batches():
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    for size in (1, 2, 5, 1000):
+        rows = sorted({(int(s), int(d)) for s, d in zip(r.geometric(0.05, 300), r.integers(0, 60, 300), strict=True)})
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + size], strict=True)], ["sig", "doc_id"]) for i in range(0, len(rows), size)]
+        got = sorted(x for b in op6_jaccard._meet(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        docs = {}
+        for s, d in rows:
+            docs.setdefault(s, []).append(d)
+        assert got == sorted((s, d, min(v)) for s, v in docs.items() if len(v) > 1 for d in v)
+
+
 def test_jaccard_signatures_meet():
     r = np.random.default_rng(3)
     for percent in (60, 80, 90):
