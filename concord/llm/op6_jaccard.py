@@ -36,7 +36,7 @@ _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 #: Ratio of the sizes at a class's ends. A block with fewer shingles says little, and is left out where enough others remain.
 RATIO, WEAK = 1.5, 2
 #: 64-bit words of a parity sketch, members of one side of a tile, pairs tried at once for each join of a tile.
-SKETCH, TILE, FORESTS = 16, 2048, 8
+SKETCH, TILE, FORESTS = 16, 2048, 32
 #: Keys of a part of a task, whose documents meet before the shuffle, and of a row that carries them.
 PART_KEYS, ROW_KEYS = 1 << 19, 1 << 12
 
@@ -389,6 +389,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
         good = verified(cut(sketched(found.select("a", "b").distinct(), reps, percent), "jaccard-pairs"), d, n, percent)
         bad = found.join(good, ["a", "b"], "left_anti").select("sig", "a", F.col("b").alias("not_b"))
         refuted = cut(bad if refuted is None else refuted.unionByName(bad).distinct(), "jaccard-refuted")
+        # components only merge and refuted pairs only grow: a list that found nothing stays done
+        left = cut(left.join(found.select("sig").distinct(), "sig", "left_semi"), "jaccard-open")
         if not good.isEmpty():
             links = links.unionByName(good)
             parts = connected_components(links)
