@@ -8,10 +8,11 @@ in both. The boundary is the size up to which subsets cost less than lists. Sets
 whole are joined once, by their smallest document.
 
 In a list all sets are compared with the smallest document's. Lists whose sets do not end in
-one component compare those of different components, in tiles of bounded size and by parity
-sketches: the bits in which two sketches differ are at most the shingles in which the sets
-do, so a pair with too many is no link. Of the rest a tile hands on a few pairs for each two
-components they would join, and again until nothing is left to join. Every pair handed on is
+one component compare those of different components, one list for each distinct collection of
+sets, in tiles of bounded size and by parity sketches: the bits in which two sketches differ
+are at most the shingles in which the sets do, so a pair with too many is no link. Sketches
+grow with their sets, up to a bound that keeps a tile in memory. Of the rest a tile hands on a
+few pairs for each two components they would join, and again until nothing is left to join. Every pair handed on is
 verified on the exact sets, so no link between components is lost and copies are never
 paired off.
 """
@@ -37,6 +38,8 @@ _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 RATIO, WEAK = 1.5, 2
 #: 64-bit words of a parity sketch, members of one side of a tile, pairs tried at once for each join of a tile.
 SKETCH, TILE, FORESTS = 16, 2048, 32
+#: Bytes of a long sketch that go to a tile; longer ones are folded. Bytes of sketches compared at once there.
+CARRY, COMPARED = 8192, 1 << 23
 #: Keys of a part of a task, whose documents meet before the shuffle, and of a row that carries them.
 PART_KEYS, ROW_KEYS = 1 << 19, 1 << 12
 
@@ -127,15 +130,20 @@ def long_sketch(shingle_set: np.ndarray) -> bytes | None:
     return sketch(shingle_set, words).tobytes() if words > SKETCH else None
 
 
+def folded(x: bytes) -> bytes:
+    """A long sketch of at most CARRY bytes."""
+    return np.bitwise_xor.reduce(np.frombuffer(x, dtype=np.uint64).reshape(-1, min(len(x), CARRY) // 8), axis=0).tobytes()
+
+
 def apart(x: bytes, y: bytes) -> int:
     """Bits in which two sketches differ; the longer one is folded to the shorter one's length."""
     u, v = sorted((np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)), key=len)
     return int(np.bitwise_count(np.bitwise_xor.reduce(v.reshape(-1, len(u)), axis=0) ^ u).sum(dtype=np.int64))
 
 
-SETS = "doc_id long, n long, k1 long, k2 long, sketch array<long>, long binary, sigs array<long>, docs array<long>, met_sigs array<long>, met_docs array<long>, met_pivots array<long>"
+SETS = "doc_id long, n long, k1 long, k2 long, sketch array<long>, long binary, mid binary, sigs array<long>, docs array<long>, met_sigs array<long>, met_docs array<long>, met_pivots array<long>"
 _LONGS = pa.list_(pa.int64())
-_KINDS = dict(zip([x.split()[0] for x in SETS.split(", ")], [pa.int64()] * 4 + [_LONGS, pa.binary()] + [_LONGS] * 5, strict=True))
+_KINDS = dict(zip([x.split()[0] for x in SETS.split(", ")], [pa.int64()] * 4 + [_LONGS, pa.binary(), pa.binary()] + [_LONGS] * 5, strict=True))
 
 
 def _sets(n: int, percent: int):
@@ -166,10 +174,11 @@ def _sets(n: int, percent: int):
         held: list[tuple[int, np.ndarray]] = []
         size = 0
         for batch in (x for whole in batches for x in slices(whole)):
-            out: dict[str, list] = {k: [] for k in ("doc_id", "n", "k1", "k2", "sketch", "long")}
+            out: dict[str, list] = {k: [] for k in ("doc_id", "n", "k1", "k2", "sketch", "long", "mid")}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingles(text, n)
-                row = (doc_id, len(s), int(mix64(s + _A).sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix64(s * _B)).view(np.int64)) if len(s) else 0, sketch(s), long_sketch(s))
+                long = long_sketch(s)
+                row = (doc_id, len(s), int(mix64(s + _A).sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix64(s * _B)).view(np.int64)) if len(s) else 0, sketch(s), long, folded(long) if long else None)
                 for column, x in zip(out.values(), row, strict=True):
                     column.append(x)
                 if doc_id is not None and len(s):
@@ -238,6 +247,32 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     return cut(both.select("a", "b", "x", "y").mapInArrow(tidy(lambda it: _verify(it, percent)), "a long, b long"), "jaccard-links")
 
 
+class _Longs:
+    """The long sketches of a tile's rows, stacked by length."""
+
+    def __init__(self, sketches: np.ndarray) -> None:
+        self.size = np.array([0 if x is None else len(x) for x in sketches], dtype=np.int64)
+        self.place = np.zeros(len(sketches), dtype=np.int64)
+        self.stacks: dict[int, np.ndarray] = {}
+        for size in np.unique(self.size[self.size > 0]).tolist():
+            at = np.flatnonzero(self.size == size)
+            self.place[at] = np.arange(len(at))
+            self.stacks[size] = np.frombuffer(b"".join(sketches[at]), dtype=np.uint64).reshape(len(at), -1)
+
+    def allow(self, u: np.ndarray, v: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Of pairs of rows those that differ in at most so many bits; a row without a long sketch refutes nothing."""
+        ok = np.ones(len(u), dtype=bool)
+        for x in self.stacks:
+            for y in self.stacks:
+                which = np.flatnonzero((self.size[u] == x) & (self.size[v] == y))
+                step, width = max(1, COMPARED // max(x, y)), min(x, y) // 8
+                for at in range(0, len(which), step):
+                    w = which[at : at + step]
+                    p, q = (np.bitwise_xor.reduce(self.stacks[z][self.place[r[w]]].reshape(len(w), -1, width), axis=1) for z, r in ((x, u), (y, v)))
+                    ok[w] = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64) <= most[w]
+        return ok
+
+
 def _join_tiles(percent: int):
     """Sorted rows of tiles -> pairs, a few for each two components of a tile that pairs seem to link."""
 
@@ -247,6 +282,7 @@ def _join_tiles(percent: int):
         n, part, bits = rows["n"], rows["part"], rows["bits"]
         known = {(int(x), int(y)) for x, refuted in zip(rows["a"], rows["not_b"], strict=True) if refuted is not None for y in refuted}
         found: list[tuple[int, int, int]] = []
+        longs = _Longs(rows["long"])
         forests: list[dict[int, int]] = [{} for _ in range(FORESTS)]
 
         def joins(q: int, r: int) -> bool:
@@ -272,7 +308,9 @@ def _join_tiles(percent: int):
             for lo in range(0, len(x), 1 << 16):
                 u, v = p[x[lo : lo + (1 << 16)]], right[y[lo : lo + (1 << 16)]]
                 far = np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1, dtype=np.int64)
-                ok = far <= (n[u] + n[v]) * (100 - percent) // (100 + percent)
+                most = (n[u] + n[v]) * (100 - percent) // (100 + percent)
+                u, v, most = (z[far <= most] for z in (u, v, most))
+                ok = longs.allow(u, v, most)
                 for s, t in zip(u[ok].tolist(), v[ok].tolist(), strict=True):
                     a, b = int(rows["a"][s]), int(rows["a"][t])
                     a, b = min(a, b), max(a, b)
@@ -294,6 +332,8 @@ def _join_tiles(percent: int):
             rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("sig", "i", "j", "salt", "a", "n", "part", "pivot")}
             rows["not_b"] = np.empty(batch.num_rows, dtype=object)
             rows["not_b"][:] = batch.column("not_b").to_pylist()
+            rows["long"] = np.empty(batch.num_rows, dtype=object)
+            rows["long"][:] = batch.column("long").to_pylist()
             rows["bits"] = batch.column("sketch").flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCH)
             if held is not None:
                 rows = {k: np.concatenate((held[k], rows[k])) for k in rows}
@@ -345,7 +385,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     some = base.where("n > 0 and doc_id is not null")
     same = some.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     members = cut(some.select("doc_id", "n", "k1", "k2").join(same, ["n", "k1", "k2"]).select("doc_id", "rep", "n").distinct(), "jaccard-members")
-    reps = some.select(F.col("doc_id").alias("rep"), "n", "sketch", "long")
+    reps = some.select(F.col("doc_id").alias("rep"), "n", "sketch", "long", "mid")
 
     keyed = base.where("sigs is not null").select(F.inline(F.arrays_zip("sigs", "docs"))).toDF("sig", "doc_id")
     met = base.where("sigs is not null").select(F.inline(F.arrays_zip("met_sigs", "met_docs", "met_pivots"))).toDF("sig", "doc_id", "pivot")
@@ -369,19 +409,22 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     left = hits.join(open_lists, "sig", "left_semi").join(a, "doc_id")
     pivot = members.select(F.col("doc_id").alias("pivot"), F.col("rep").alias("first"))
     left = left.join(pivot, "pivot").groupBy("sig", "a").agg(F.min("first").alias("pivot"))
-    size = left.groupBy("sig").agg(F.count("*").alias("members")).where("members > 2").select("sig", F.ceil(F.col("members") / TILE).cast("int").alias("salts"))
+    # lists of the same sets hold the same pairs: one of them is enough
+    held = [F.sum(F.xxhash64("a", F.lit(x)).cast("decimal(20,0)")).alias(f"held{x}") for x in (0, 1)]
+    size = left.groupBy("sig").agg(F.count("*").alias("members"), *held).where("members > 2")
+    size = size.groupBy("members", "held0", "held1").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("members") / TILE).cast("int").alias("salts"))
     left = left.join(size, "sig").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
     tiles = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda t: F.struct(F.least("salt", t).alias("i"), F.greatest("salt", t).alias("j")))
     left = cut(left.withColumn("tile", F.explode(tiles)).select("sig", "a", "pivot", "salt", "tile.*"), "jaccard-open")
     refuted: DataFrame | None = None
     while not left.isEmpty():
         rows = left.join(part("a"), "a", "left").withColumn("part", F.coalesce("a_part", "a")).drop("a_part")
-        rows = rows.join(reps.select(F.col("rep").alias("a"), "n", "sketch"), "a")
+        rows = rows.join(reps.select(F.col("rep").alias("a"), "n", "sketch", F.col("mid").alias("long")), "a")
         if refuted is None:
             rows = rows.withColumn("not_b", F.lit(None).cast("array<long>"))
         else:
             rows = rows.join(refuted.groupBy("sig", "a").agg(F.collect_set("not_b").alias("not_b")), ["sig", "a"], "left")
-        rows = rows.select("sig", "i", "j", "salt", "a", "n", "part", "pivot", "not_b", "sketch")
+        rows = rows.select("sig", "i", "j", "salt", "a", "n", "part", "pivot", "not_b", "sketch", "long")
         rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "a")
         found = cut(rows.mapInArrow(tidy(_join_tiles(percent)), "sig long, a long, b long"), "jaccard-found")
         if found.isEmpty():
