@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.functions import paths as P
-from concord.operators import components, diff, graph, ownership, relations, reports, rollup, stats
+from concord.operators import components, diff, graph, ownership, relations, reports, resolve, rollup, stats
 from concord.sources import tables as T
 from concord.streaming import changes
 
@@ -104,6 +104,42 @@ def export_unused(spark, sf):
     return relations.unused_exports(exports, T.edges(spark, sf))
 
 
+MODULES = "m AS (SELECT p_partkey AS k, 'src/g' || (p_partkey % 10) || '/m' || p_partkey || CASE p_partkey % 6 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' WHEN 2 THEN '.d.ts' WHEN 3 THEN '.js' WHEN 4 THEN '.jsx' ELSE '/index.ts' END AS path FROM part)"
+
+
+@query(f"""WITH {MODULES}, i AS (SELECT DISTINCT l_partkey, 'src/g' || (l_partkey % 10) || '/m' || l_partkey || '.ts' AS file, l_suppkey * 3 + l_linenumber AS t FROM lineitem WHERE l_quantity >= 45),
+w AS (SELECT DISTINCT file, 'src/g' || (t % 10) || '/m' || t AS stem, CASE t % 4 WHEN 0 THEN '.js' WHEN 1 THEN '' WHEN 2 THEN '.ts' ELSE '.jsx' END AS written, '../g' || (t % 10) || '/m' || t || CASE t % 4 WHEN 0 THEN '.js' WHEN 1 THEN '' WHEN 2 THEN '.ts' ELSE '.jsx' END AS specifier FROM i),
+c AS (SELECT * FROM (VALUES ('.js', '.ts', 0), ('.js', '.tsx', 1), ('.js', '.d.ts', 2), ('.js', '.js', 3), ('.jsx', '.tsx', 0), ('.jsx', '.d.ts', 1), ('.jsx', '.jsx', 2), ('.ts', '.ts', 0), ('', '.ts', 0), ('', '.tsx', 1), ('', '.d.ts', 2), ('', '.js', 3), ('', '.jsx', 4), ('', '/index.ts', 5)) AS v(written, ending, place)),
+h AS (SELECT file, specifier, min_by(path, place) AS target FROM w JOIN c USING (written) JOIN m ON path = stem || ending GROUP BY ALL)
+SELECT w.file, w.specifier, h.target FROM w LEFT JOIN h ON w.file = h.file AND w.specifier = h.specifier""")
+def resolved_imports(spark, sf):
+    l = T.table(spark, sf, "lineitem").where("l_quantity >= 45").selectExpr("l_partkey", "l_suppkey * 3 + l_linenumber AS t")
+    imports = l.selectExpr(
+        "concat('src/g', l_partkey % 10, '/m', l_partkey, '.ts') AS file",
+        "concat('../g', t % 10, '/m', t, CASE t % 4 WHEN 0 THEN '.js' WHEN 1 THEN '' WHEN 2 THEN '.ts' ELSE '.jsx' END) AS specifier",
+    ).distinct()
+    return resolve.resolve_relative(imports, T.modules(spark, sf))
+
+
+@query(f"WITH {MODULES}, d AS (SELECT 'src/g' || n_nationkey AS folder FROM nation WHERE n_nationkey % 3 = 0 UNION SELECT 'src' UNION SELECT path[:-10] FROM m WHERE path LIKE '%/index.ts' AND k % 5 = 0) SELECT path, (SELECT max_by(folder, length(folder)) FROM d WHERE starts_with(path, folder || '/')) AS folder FROM m")
+def nearest_settings(spark, sf):
+    m = T.modules(spark, sf)
+    of_groups = T.table(spark, sf, "nation").where("n_nationkey % 3 = 0").selectExpr("concat('src/g', n_nationkey) AS folder")
+    of_modules = m.where("path like '%/index.ts' and k % 5 = 0").selectExpr("substring(path, 1, length(path) - 9) AS folder")
+    return resolve.nearest_folder(m.select("path"), of_groups.unionByName(of_modules).unionByName(spark.createDataFrame([("src",)], "folder string")))
+
+
+@query(f"WITH {MODULES} SELECT substr(path, 5) AS path FROM m WHERE path NOT LIKE 'src/g3/%' AND path NOT LIKE 'src/g7/%'")
+def sub_listing(spark, sf):
+    return resolve.sub_listing(T.modules(spark, sf).select("path"), "src", ("g3", "g7"))
+
+
+@query("WITH s AS (SELECT DISTINCT '@' || lower(p_brand) || '/' || replace(p_name, ' ', '/') AS specifier FROM part), p AS (SELECT pattern, split_part(pattern, '*', 1) AS a, CASE WHEN contains(pattern, '*') THEN split_part(pattern, '*', 2) END AS b FROM (VALUES ('@*'), ('@brand#1*'), ('@brand#12/*'), ('@brand#2*1'), ('*')) AS v(pattern)), r AS (SELECT specifier, pattern, a, b, row_number() OVER (PARTITION BY specifier ORDER BY b IS NULL DESC, length(a) DESC, length(b) DESC) AS k FROM s JOIN p ON CASE WHEN b IS NULL THEN specifier = pattern ELSE starts_with(specifier, a) AND suffix(specifier, b) AND length(specifier) >= length(a) + length(b) END) SELECT specifier, pattern, substr(specifier, length(a) + 1, length(specifier) - length(a) - length(b)) AS star FROM r WHERE k = 1")
+def path_patterns(spark, sf):
+    s = T.table(spark, sf, "part").selectExpr("concat('@', lower(p_brand), '/', replace(p_name, ' ', '/')) AS specifier")
+    return resolve.best_pattern(s, spark.createDataFrame([("@*",), ("@brand#1*",), ("@brand#12/*",), ("@brand#2*1",), ("*",)], "pattern string"))
+
+
 @query("WITH l AS (SELECT s_suppkey AS file, n_nationkey AS owner, (n_nationkey * 7 + s_suppkey) % 25 AS pos FROM supplier, nation WHERE (s_suppkey + n_nationkey) % 4 = 0), o AS (SELECT s_suppkey AS file, s_nationkey AS a, (s_nationkey + 4) % 25 AS b FROM supplier), r AS (SELECT l.file, owner, row_number() OVER (PARTITION BY l.file ORDER BY pos) AS k FROM l JOIN o ON l.file = o.file AND owner IN (a, b)) SELECT file, owner FROM r WHERE k = 1")
 def public_first_owner(spark, sf):
     s = T.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("file"), "s_nationkey")

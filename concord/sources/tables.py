@@ -42,3 +42,9 @@ def acyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path: host and path of each page's address, without query and fragment."""
     return table(spark, sf_dir, "pages").select(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "").alias("path")).distinct()
+
+
+def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k, path: a source file for each part."""
+    ending = "CASE p_partkey % 6 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' WHEN 2 THEN '.d.ts' WHEN 3 THEN '.js' WHEN 4 THEN '.jsx' ELSE '/index.ts' END"
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS k", f"concat('src/g', p_partkey % 10, '/m', p_partkey, {ending}) AS path")

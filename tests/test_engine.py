@@ -104,3 +104,32 @@ def test_merge_conflict(spark):
     kv = lambda d: spark.createDataFrame(list(d.items()), "key string, value string")
     got = {r.key: (r.value, r.conflict) for r in diff.three_way_merge(kv({"a": "1", "b": "1", "c": "1", "d": "1"}), kv({"a": "2", "b": "1", "d": "5", "n": "x"}), kv({"a": "1", "b": "3", "c": "9", "d": "1"})).collect()}
     assert got == {"a": ("2", False), "b": ("3", False), "c": (None, True), "d": ("5", False), "n": ("x", False)}
+
+
+def test_resolve(spark):
+    from concord.operators import resolve
+
+    files = spark.createDataFrame([("a/x.ts",), ("a/x.js",), ("b/index.tsx",), ("index.ts",), ("b/y.mts",), ("b/.js",), (None,)], "path string")
+    asked = {
+        ("a/q.ts", "./x"): "a/x.ts",
+        ("a/q.ts", "./x.js"): "a/x.ts",
+        ("a/q.ts", "./x.tsx"): None,
+        ("a/q.ts", "../b"): "b/index.tsx",
+        ("a/q.ts", "../b/"): "b/index.tsx",
+        ("a/q.ts", ".."): "index.ts",
+        ("a/q.ts", "../.."): None,
+        ("b/q.ts", "./y.mjs"): "b/y.mts",
+        ("q.ts", "./a/x"): "a/x.ts",
+        ("q.ts", "a/x"): None,
+        ("q.ts", None): None,
+        (None, "./a/x"): None,
+    }
+    got = resolve.resolve_relative(spark.createDataFrame(list(asked), "file string, specifier string"), files).collect()
+    assert {(r.file, r.specifier): r.target for r in got} == asked
+    folders = spark.createDataFrame([("a",), ("",), ("a",)], "folder string")
+    got = resolve.nearest_folder(files.where("path in ('a/x.ts', 'b/y.mts')"), folders).collect()
+    assert {r.path: r.folder for r in got} == {"a/x.ts": "a", "b/y.mts": ""}
+    got = resolve.best_pattern(spark.createDataFrame([("@a",), ("@a/b.css",), ("@a/b",), (None,), ("z",)], "specifier string"), spark.createDataFrame([("@a",), ("@*",), ("@a/*",), ("@a/*.css",)], "pattern string")).collect()
+    assert {r.specifier: (r.pattern, r.star) for r in got} == {"@a": ("@a", None), "@a/b.css": ("@a/*.css", "b"), "@a/b": ("@a/*", "b")}
+    kept = files.where(resolve.is_source(F.col("path"))).count()
+    assert kept == 6
