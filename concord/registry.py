@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,43 +43,43 @@ def query(sql: str | None = None):
 
 
 @query(f"WITH {EDGES}, {DECLARED} SELECT src, dst, count(*) AS imports, min((file, line))[1] AS first_file, min((file, line))[2] AS first_line FROM e WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM d WHERE d.src = e.src AND d.dst = e.dst) GROUP BY src, dst")
-def undeclared_pairs(spark, sf):
-    return relations.undeclared(T.edges(spark, sf), T.declared(spark, sf))
+def undeclared_pairs(spark, sf, edges=T.edges):
+    return relations.undeclared(edges(spark, sf), T.declared(spark, sf))
 
 
 @query(f"WITH {EDGES}, {DECLARED} SELECT src, dst FROM d EXCEPT SELECT src, dst FROM e")
-def unused_declared(spark, sf):
-    return relations.unused(T.edges(spark, sf), T.declared(spark, sf))
+def unused_declared(spark, sf, edges=T.edges):
+    return relations.unused(edges(spark, sf), T.declared(spark, sf))
 
 
 @query(f"WITH {EDGES}, {DECLARED} SELECT src, dst FROM d WHERE src NOT IN (SELECT src FROM e WHERE line = 7) EXCEPT SELECT src, dst FROM e")
-def unused_declared_held(spark, sf):
-    e = T.edges(spark, sf)
+def unused_declared_held(spark, sf, edges=T.edges):
+    e = edges(spark, sf)
     return relations.unused(e, T.declared(spark, sf), e.where("line = 7").select("src").distinct())
 
 
 @query(f"WITH {EDGES}, {DECLARED}, c AS (SELECT src, dst, count(*) AS n FROM e WHERE src <> dst GROUP BY ALL) SELECT src, dst, CASE WHEN c.n IS NULL THEN 'unused' WHEN d.src IS NULL THEN 'undeclared' ELSE 'used' END AS state, coalesce(n, 0) AS imports FROM d FULL JOIN c USING (src, dst)".replace("d.src IS NULL", "NOT EXISTS (SELECT 1 FROM d x WHERE x.src = src AND x.dst = dst)").replace("SELECT src, dst, CASE", "SELECT coalesce(d.src, c.src) AS src, coalesce(d.dst, c.dst) AS dst, CASE").replace("NOT EXISTS (SELECT 1 FROM d x WHERE x.src = src AND x.dst = dst)", "d.src IS NULL").replace("USING (src, dst)", "ON d.src = c.src AND d.dst = c.dst"))
-def edge_state(spark, sf):
-    return relations.edge_state(T.edges(spark, sf), T.declared(spark, sf))
+def edge_state(spark, sf, edges=T.edges):
+    return relations.edge_state(edges(spark, sf), T.declared(spark, sf))
 
 
 @query(f"WITH {EDGES} SELECT src, dst, count(*) AS imports, min((file, line))[1] AS first_file, min((file, line))[2] AS first_line FROM e WHERE src <> dst GROUP BY src, dst")
-def pair_counts(spark, sf):
-    return relations.pair_counts(T.edges(spark, sf))
+def pair_counts(spark, sf, edges=T.edges):
+    return relations.pair_counts(edges(spark, sf))
 
 
 @query(f"WITH {EDGES} SELECT src AS grp, name AS package, count(*) AS uses FROM e WHERE (src * 3 + CAST(regexp_extract(name, '[0-9]+') AS INT)) % 4 >= 2 GROUP BY ALL")
-def package_undeclared(spark, sf):
-    e = T.edges(spark, sf).select(F.col("src").alias("grp"), F.col("name").alias("package"))
+def package_undeclared(spark, sf, edges=T.edges):
+    e = edges(spark, sf).select(F.col("src").alias("grp"), F.col("name").alias("package"))
     listed = e.distinct().where("(grp * 3 + cast(regexp_extract(package, '[0-9]+', 0) as int)) % 4 < 2")
     return relations.undeclared_keys(e, listed, ["grp", "package"])
 
 
 @query(f"WITH {EDGES}, l AS (SELECT n_nationkey AS grp, p_brand AS package FROM nation, (SELECT DISTINCT p_brand FROM part) WHERE (n_nationkey * 3 + CAST(regexp_extract(p_brand, '[0-9]+') AS INT)) % 4 < 2) SELECT * FROM l EXCEPT SELECT src, name FROM e")
-def package_unused(spark, sf):
+def package_unused(spark, sf, edges=T.edges):
     brands = T.table(spark, sf, "part").select(F.col("p_brand").alias("package")).distinct()
     listed = brands.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(24)))).where("(grp * 3 + cast(regexp_extract(package, '[0-9]+', 0) as int)) % 4 < 2")
-    return listed.join(T.edges(spark, sf).select(F.col("src").alias("grp"), F.col("name").alias("package")).distinct(), ["grp", "package"], "left_anti").select("grp", "package")
+    return listed.join(edges(spark, sf).select(F.col("src").alias("grp"), F.col("name").alias("package")).distinct(), ["grp", "package"], "left_anti").select("grp", "package")
 
 
 @query(f"WITH {DECLARED}, r AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src) AS k FROM d) SELECT dst, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) AS dependents FROM r WHERE k <= 3 GROUP BY dst")
@@ -87,21 +88,21 @@ def top3_dependents(spark, sf):
 
 
 @query(f"WITH {EDGES}, {DECLARED}, s AS (SELECT DISTINCT src, dst, file, line, target, min(name) OVER (PARTITION BY src, dst, file, line, target) AS name FROM e WHERE src <> dst AND (src, dst) NOT IN (SELECT (src, dst) FROM d)) SELECT src, dst, count(*) AS statements, count(DISTINCT target) AS targets, min(name) AS least_name FROM s GROUP BY src, dst")
-def imports_grouped(spark, sf):
-    return relations.grouped_imports(T.edges(spark, sf), T.declared(spark, sf))
+def imports_grouped(spark, sf, edges=T.edges):
+    return relations.grouped_imports(edges(spark, sf), T.declared(spark, sf))
 
 
 @query(f"WITH {EDGES}, {DECLARED} SELECT src, dst, target, count(*) AS imports, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM e WHERE src <> dst AND (src, dst) IN (SELECT (src, dst) FROM d) AND target % 3 <> 0 GROUP BY src, dst, target")
-def private_imports(spark, sf):
+def private_imports(spark, sf, edges=T.edges):
     public = T.table(spark, sf, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("target"))
-    return relations.private_imports(T.edges(spark, sf), T.declared(spark, sf), public)
+    return relations.private_imports(edges(spark, sf), T.declared(spark, sf), public)
 
 
 @query(f"WITH {EDGES} SELECT s_suppkey AS target, p_brand AS name FROM supplier, (SELECT DISTINCT p_brand FROM part) WHERE s_suppkey % 3 = 0 EXCEPT SELECT target, name FROM e WHERE src <> dst")
-def export_unused(spark, sf):
+def export_unused(spark, sf, edges=T.edges):
     brands = F.broadcast(T.table(spark, sf, "part").agg(F.collect_set("p_brand").alias("names")))  # one row: the brands are 25 at most
     exports = T.table(spark, sf, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("target")).join(brands).select("target", F.explode("names").alias("name"))
-    return relations.unused_exports(exports, T.edges(spark, sf))
+    return relations.unused_exports(exports, edges(spark, sf))
 
 
 MODULES = "m AS (SELECT p_partkey AS k, 'src/g' || (p_partkey % 10) || '/m' || p_partkey || CASE p_partkey % 6 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' WHEN 2 THEN '.d.ts' WHEN 3 THEN '.js' WHEN 4 THEN '.jsx' ELSE '/index.ts' END AS path FROM part)"
@@ -261,8 +262,8 @@ def crossing_count(spark, sf):
 
 
 @query()
-def split_groups(spark, sf):
-    e = T.edges(spark, sf).where("src <> dst").select(F.col("dst").alias("file"), F.col("src").alias("dependent"), "name")
+def split_groups(spark, sf, edges=T.edges):
+    e = edges(spark, sf).where("src <> dst").select(F.col("dst").alias("file"), F.col("src").alias("dependent"), "name")
     return graph.split_groups(e)
 
 
@@ -311,34 +312,34 @@ def reason_advice(spark, sf):
 OVER = "e2 AS (SELECT src, dst, file, line FROM e WHERE file % 10 <> 0 UNION ALL SELECT src, CASE WHEN file % 20 = 0 THEN src ELSE (dst + 1) % 25 END, file, line FROM e WHERE file % 10 = 0 AND file % 30 <> 0)"
 
 
-def _edited(spark, sf):
-    e = T.edges(spark, sf).select("src", "dst", "file", "line")
+def _edited(spark, sf, edges=T.edges):
+    e = edges(spark, sf).select("src", "dst", "file", "line")
     keyed = e.withColumn("id", F.concat_ws(":", "file", "line"))
     edits = keyed.where("file % 10 = 0").withColumn("deleted", F.expr("file % 30 = 0")).withColumn("dst", F.expr("case when file % 20 = 0 then src else (dst + 1) % 25 end"))
     return diff.overlay(keyed, edits, "id")
 
 
 @query(f"WITH {EDGES}, {DECLARED}, {OVER} SELECT src, dst, count(*) AS imports, min((file, line))[1] AS first_file, min((file, line))[2] AS first_line FROM e2 WHERE src <> dst AND (src, dst) NOT IN (SELECT (src, dst) FROM d) GROUP BY src, dst")
-def overlay_edit(spark, sf):
-    return relations.undeclared(_edited(spark, sf), T.declared(spark, sf))
+def overlay_edit(spark, sf, edges=T.edges):
+    return relations.undeclared(_edited(spark, sf, edges), T.declared(spark, sf))
 
 
 @query(f"WITH {EDGES}, {DECLARED}, {OVER} SELECT DISTINCT src, dst FROM e WHERE src <> dst AND (src, dst) NOT IN (SELECT (src, dst) FROM d) AND (src, dst) IN (SELECT (src, dst) FROM e2)")
-def recheck_semi(spark, sf):
-    before = relations.undeclared(T.edges(spark, sf), T.declared(spark, sf)).select("src", "dst")
-    return diff.still_there(before, relations.undeclared(_edited(spark, sf), T.declared(spark, sf)), ["src", "dst"])
+def recheck_semi(spark, sf, edges=T.edges):
+    before = relations.undeclared(edges(spark, sf), T.declared(spark, sf)).select("src", "dst")
+    return diff.still_there(before, relations.undeclared(_edited(spark, sf, edges), T.declared(spark, sf)), ["src", "dst"])
 
 
 @query(f"WITH {EDGES}, {DECLARED}, {OVER}, x AS (SELECT DISTINCT src || '>' || dst AS key FROM e WHERE src <> dst), y AS (SELECT DISTINCT src || '>' || dst AS key FROM e2 WHERE src <> dst) SELECT coalesce(x.key, y.key) AS key, CASE WHEN x.key IS NULL THEN 'fresh' WHEN y.key IS NULL THEN 'resolved' ELSE 'old' END AS status FROM x FULL JOIN y ON x.key = y.key")
-def snapshot_diff(spark, sf):
+def snapshot_diff(spark, sf, edges=T.edges):
     key = lambda e: e.where("src <> dst").select(F.concat_ws(">", "src", "dst").alias("key"))
-    return diff.split_keys(key(T.edges(spark, sf)), key(_edited(spark, sf)))
+    return diff.split_keys(key(edges(spark, sf)), key(_edited(spark, sf, edges)))
 
 
 @query(f"WITH {EDGES}, {DECLARED}, v AS (SELECT DISTINCT 'undeclared' AS rule, src, dst FROM e WHERE src <> dst AND (src, dst) NOT IN (SELECT (src, dst) FROM d)), g AS (SELECT rule, src AS n FROM v UNION ALL SELECT rule, dst FROM v) SELECT rule, n_name AS grp, count(*) AS n FROM g JOIN nation ON n = n_nationkey GROUP BY ALL")
-def summary_by_group(spark, sf):
+def summary_by_group(spark, sf, edges=T.edges):
     names = T.table(spark, sf, "nation").select("n_nationkey", "n_name")
-    v = relations.undeclared(T.edges(spark, sf), T.declared(spark, sf)).join(names.toDF("src", "a"), "src").join(names.toDF("dst", "b"), "dst")
+    v = relations.undeclared(edges(spark, sf), T.declared(spark, sf)).join(names.toDF("src", "a"), "src").join(names.toDF("dst", "b"), "dst")
     return stats.per_group(v.select(F.lit("undeclared").alias("rule"), F.array("a", "b").alias("groups")))
 
 
@@ -367,9 +368,9 @@ def package_keys(spark, sf):
 
 
 @query(f"WITH {EDGES}, {DECLARED}, c AS (SELECT src, dst, count(*) AS n FROM e WHERE src <> dst GROUP BY ALL), s AS (SELECT coalesce(d.src, c.src) AS src, coalesce(d.dst, c.dst) AS dst, CASE WHEN n IS NULL THEN 'unused' WHEN d.src IS NULL THEN 'undeclared' ELSE 'used' END AS state FROM d FULL JOIN c ON d.src = c.src AND d.dst = c.dst), i AS (SELECT n_nationkey, 'b' || (row_number() OVER (ORDER BY n_name) - 1) AS id FROM nation) SELECT x.id || CASE state WHEN 'unused' THEN ' -.-> ' WHEN 'undeclared' THEN ' ==> ' ELSE ' --> ' END || y.id AS text FROM s JOIN i x ON x.n_nationkey = src JOIN i y ON y.n_nationkey = dst")
-def mermaid_export(spark, sf):
+def mermaid_export(spark, sf, edges=T.edges):
     names = T.table(spark, sf, "nation").select("n_nationkey", "n_name")
-    e = edge_state(spark, sf).join(names.toDF("src", "a"), "src").join(names.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"), "state")
+    e = edge_state(spark, sf, edges).join(names.toDF("src", "a"), "src").join(names.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"), "state")
     return reports.mermaid_edges(names.select(F.col("n_name").alias("name")), e)
 
 
@@ -380,8 +381,8 @@ def annotations(spark, sf):
 
 
 @query()
-def sarif_results(spark, sf):
-    u = relations.undeclared(T.edges(spark, sf), T.declared(spark, sf))
+def sarif_results(spark, sf, edges=T.edges):
+    u = relations.undeclared(edges(spark, sf), T.declared(spark, sf))
     return reports.sarif_results(u.select(F.lit("undeclared").alias("rule"), F.col("first_file").cast("string").alias("file"), F.col("first_line").alias("line"), F.concat_ws(" to ", "src", "dst").alias("text")))
 
 
@@ -398,6 +399,16 @@ def session_decisions(spark, sf):
     return changes.fold_sessions(e.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), phase.alias("phase"), keys.alias("keys")))
 
 
+#: The same queries over the lines that EDGES leaves out too. unused_declared_held and export_unused are not among them: over all lines nothing is left unused.
+ALL_EDGES = EDGES[: EDGES.index("\nWHERE")] + ")"
+OVER_ALL = (undeclared_pairs, unused_declared, edge_state, pair_counts, package_undeclared, package_unused, imports_grouped, private_imports, split_groups, overlay_edit, recheck_semi, snapshot_diff, summary_by_group, mermaid_export, sarif_results)
+
+for _f in OVER_ALL:
+    QUERIES[f"{_f.__name__}_all"] = partial(_f, edges=T.all_edges)
+    if _f.__name__ in SQL:
+        SQL[f"{_f.__name__}_all"] = SQL[_f.__name__].replace(EDGES, ALL_EDGES)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

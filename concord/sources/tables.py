@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -11,9 +11,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str, quantity: float = 50, discount: float = 0.1) -> DataFrame:
-    """src, dst (nations), file (order), line, target (supplier), name (brand of the part)."""
+    """src, dst (nations), file (order), line, target (supplier), name (brand of the part), of the lines that reach both bounds."""
+    return _edges(spark, sf_dir, (F.col("l_quantity") >= quantity) & (F.col("l_discount") >= discount))
+
+
+def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of edges(), of every line."""
+    return _edges(spark, sf_dir, F.lit(True))
+
+
+def _edges(spark: SparkSession, sf_dir: str, wanted: Column) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
-    l = t("lineitem").where((F.col("l_quantity") >= quantity) & (F.col("l_discount") >= discount)).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    l = t("lineitem").where(wanted).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
     j = l.join(t("orders").select("o_orderkey", "o_custkey"), l.l_orderkey == F.col("o_orderkey"))
     j = j.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     j = j.join(t("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))

@@ -133,3 +133,13 @@ def test_resolve(spark):
     assert {r.specifier: (r.pattern, r.star) for r in got} == {"@a": ("@a", None), "@a/b.css": ("@a/*.css", "b"), "@a/b": ("@a/*", "b")}
     kept = files.where(resolve.is_source(F.col("path"))).count()
     assert kept == 6
+
+
+def test_all_edges_are_all_lines(spark):
+    from concord import registry
+    from concord.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    assert tables.all_edges(spark, sf).count() == tables.table(spark, sf, "lineitem").count() > tables.edges(spark, sf).count()
+    pairs = registry.queries()["pair_counts_all"](spark, sf).agg(F.sum("imports")).first()[0]
+    assert pairs == tables.all_edges(spark, sf).where("src <> dst").count()
