@@ -73,15 +73,15 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"".join(blocks)[:DICT_BYTES]
 
 
-def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], tuple[float, ...]]:
-    """Monotone calibration: pooled adjacent violators on quantile bins, smoothed towards the base rate."""
+def calibrate(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """Monotone calibration: pooled adjacent violators on quantile bins of rows with weights w, smoothed towards a half."""
     if not len(x):
         return (), ()
     order = np.argsort(x, kind="stable")
     bins = np.array_split(order, max(1, min(60, len(x) // 15)))
     pools: list[list[float]] = []
     for b in bins:
-        pools.append([float(y[b].sum()), float(len(b)), float(x[b].sum())])
+        pools.append([float((w * y)[b].sum()), float(w[b].sum()), float((w * x)[b].sum())])
         while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
             top = pools.pop()
             pools[-1] = [a + c for a, c in zip(pools[-1], top, strict=True)]
@@ -90,10 +90,17 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], tuple[fl
     return tuple(xs), tuple(float(p) for p in np.maximum.accumulate(ps))
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """rows: (text, label) in a fixed order; each label's first share trains, its rest calibrates."""
+def fit(rows: list[tuple[str, int]], in_all: dict[int, int]) -> Model:
+    """rows: (text, label) in a fixed order; each label's first share trains, its rest calibrates.
+
+    in_all: eligible documents of each label, sampled or not. Calibration rows stand for
+    them, so that the prior is that of all labelled documents whatever the sample's is.
+    """
     train: dict[int, list[str]] = {0: [], 1: []}
     rest: list[tuple[str, int]] = []
+    sampled = {label: min(n, SAMPLE_ROWS) for label, n in in_all.items()}
+    # 1 for every row where nothing was left out; the weights of a sample add up to about its rows
+    weight = {label: n * sum(sampled.values()) / (sampled[label] * sum(in_all.values())) for label, n in in_all.items()}
     for label in (0, 1):
         own = [t for t, q in rows if q == label]
         n = math.ceil(len(own) * TRAIN_SHARE)
@@ -101,7 +108,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         rest += [(t, label) for t in own[n:]]
     model = Model(_dictionary(train[1]), _dictionary(train[0]), (), ())
     s = Scorer(model)
-    xs, ps = calibrate(np.array([s.difference(t) for t, _ in rest]), np.array([q for _, q in rest], dtype=float))
+    xs, ps = calibrate(np.array([s.difference(t) for t, _ in rest]), np.array([q for _, q in rest], dtype=float), np.array([weight[q] for _, q in rest]))
     return Model(model.good, model.bad, xs, ps)
 
 
@@ -109,22 +116,27 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """The bounded sample: of each label the SAMPLE_ROWS rows first by hash among labelled texts of at most SAMPLE_CHARS characters, held-out rows left out."""
+def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """The bounded sample, and the documents of each label that it is drawn from.
+
+    The sample: of each label the SAMPLE_ROWS rows first by hash among labelled texts of at
+    most SAMPLE_CHARS characters, held-out rows left out.
+    """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").cast("int").alias("quality"))
     fit = ~held_out() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & (F.col("text") != "")
     pool = docs.where(fit).select("doc_id").join(known, F.col("doc_id") == F.col("id")).select("doc_id", "quality").distinct()
+    in_all = {r.quality: r["count"] for r in pool.groupBy("quality").count().collect()}
     # the ids are chosen first, so that texts are read for the sample alone
     chosen: dict[int, int] = {}
     for label in (0, 1):
         best = pool.where(F.col("quality") == label).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(SAMPLE_ROWS)
         chosen |= {r.doc_id: r.quality for r in best.collect()}
     if not chosen:
-        return []
+        return [], {}
     ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "id long")  # at most two SAMPLE_ROWS rows
     rows = docs.where(fit).select("doc_id", "text", F.xxhash64(F.lit(3), "doc_id").alias("h")).join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
     found = {(r.h, r.doc_id, r.text) for r in rows.collect()}
-    return [(text, chosen[i]) for _, i, text in sorted(found)]
+    return [(text, chosen[i]) for _, i, text in sorted(found)], in_all
 
 
 def _apply(model: Model):
@@ -150,7 +162,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     than once takes its highest label. Other columns are not read.
     """
     small_batches(docs.sparkSession)
-    model = fit(training_rows(docs, labels))
+    model = fit(*training_rows(docs, labels))
     scored = score(docs.withColumn("doc_id", F.col("doc_id").cast("long")), model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -158,7 +170,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score reaches the threshold, all columns kept."""
     small_batches(docs.sparkSession)
-    model, docs_columns = fit(training_rows(docs, labels)), docs.columns
+    model, docs_columns = fit(*training_rows(docs, labels)), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)

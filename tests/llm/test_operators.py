@@ -404,6 +404,19 @@ def test_quality(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
 
 
+def test_quality_prior_holds_under_the_cap(spark, monkeypatch):
+    texts = rand_texts(600, 21, 20, 40)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 > 0), 0) for i in range(600)], "doc_id long, quality int, toxic int")  # 9 good to 1 bad, whatever the text
+    monkeypatch.setattr(op9_quality, "SAMPLE_ROWS", 40)
+    rows, in_all = op9_quality.training_rows(docs, labels)
+    assert sum(q for _, q in rows) == 40 and sum(1 - q for _, q in rows) == 40
+    eligible = [i for i in range(600) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert in_all == {1: sum(i % 10 > 0 for i in eligible), 0: sum(i % 10 == 0 for i in eligible)}
+    scores = [r.score for r in op9_quality.quality(docs, labels).collect()]
+    assert np.mean(scores) == pytest.approx(in_all[1] / len(eligible), abs=0.07)  # a half if the sample's own ratio were the prior
+
+
 def test_quality_odd_rows(spark, docs, none):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     got = op9_quality.quality(docs, labels)
