@@ -34,21 +34,23 @@ def strong_components(reach: DataFrame) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
-    """starts(start) -> (start, dst, path): the shortest path to every node, ties by the smaller nodes."""
+    """starts(start) -> (start, dst, path): the shortest path to every node, ties by the smaller nodes; an error if one has more than most steps."""
     now = starts.select("start", F.col("start").alias("dst"), F.array("start").alias("path"))
     seen = now.where("false")
-    for _ in range(most):
+    for steps in range(1, most + 2):
         step = now.join(edges.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst")
         step = step.select("start", F.col("next").alias("dst"), F.concat("path", F.array("next")).alias("path")).groupBy("start", "dst").agg(F.min("path").alias("path"))
         now = cut(step.join(seen.select("start", "dst"), ["start", "dst"], "left_anti"), "paths")
         if now.isEmpty():
             break
+        if steps > most:
+            raise ValueError(f"there are shortest paths of more than {most} steps")
         seen = seen.unionByName(now)
     return seen
 
 
 def representative_cycles(edges: DataFrame, most: int) -> DataFrame:
-    """Per strong component the shortest cycle through its smallest node."""
+    """Per strong component the shortest cycle through its smallest node; an error if a shortest path in one has more than most steps."""
     comps = strong_components(closure(edges))
     inside = edges.join(comps.select(F.col("node").alias("src"), "component"), "src").join(comps.select(F.col("node").alias("dst"), F.col("component").alias("other")), "dst").where("component = other").select("src", "dst")
     paths = shortest_paths(inside, comps.select(F.col("component").alias("start")).distinct(), most)
@@ -74,25 +76,35 @@ def between(reach: DataFrame, a: int, b: int) -> DataFrame:
     return to.join(back, "node", "left_semi").unionByName(ends).distinct()
 
 
-def simple_paths(edges: DataFrame, a: int, b: int, most: int) -> DataFrame:
-    """Paths without repeated nodes from a to b of at most `most` steps."""
-    now = edges.where(F.col("src") == a).select("dst", F.array("src", "dst").alias("path"))
-    done = now.where(F.col("dst") == b)
-    for _ in range(most - 1):
-        now = now.where(F.col("dst") != b).join(edges.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst")
-        now = now.where(~F.array_contains("path", F.col("next"))).select(F.col("next").alias("dst"), F.concat("path", F.array("next")).alias("path"))
-        done = done.unionByName(now.where(F.col("dst") == b))
+def simple_paths(edges: DataFrame, a: int, b: int, most: int | None = None) -> DataFrame:
+    """(path): all paths without repeated nodes from a to b, or those of at most `most` steps.
+
+    Only edges into nodes that reach b are followed. The number of paths may grow
+    exponentially with the edges; all are returned.
+    """
+    reach = closure(edges).where(F.col("dst") == b).select("src").unionByName(edges.sparkSession.createDataFrame([(b,)], "src int")).distinct()
+    useful = cut(edges.select("src", "dst").distinct().join(reach.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst"), "simple")
+    now = useful.where((F.col("src") == a) & (F.col("dst") != a)).select("dst", F.array("src", "dst").alias("path"))
+    done, steps = now.where(F.col("dst") == b), 1
+    while most is None or steps < most:
+        now = now.where(F.col("dst") != b).join(useful.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst")
+        now = cut(now.where(~F.array_contains("path", F.col("next"))).select(F.col("next").alias("dst"), F.concat("path", F.array("next")).alias("path")), "simple")
+        if now.isEmpty():
+            break
+        done, steps = done.unionByName(now.where(F.col("dst") == b)), steps + 1
     return done.select("path")
 
 
 def layers(edges: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """(node, height): 0 without dependencies, else one more than the highest dependency; edges must be acyclic."""
+    """(node, height): 0 without dependencies, else one more than the highest dependency; edges must be acyclic, an error if a height is over most."""
     rows = nodes.select("node", F.lit(0).alias("height"))
     front = rows
-    for level in range(1, most + 1):
+    for level in range(1, most + 2):
         front = cut(edges.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct(), "layers")
         if front.isEmpty():
             break
+        if level > most:
+            raise ValueError(f"there are heights over {most}, or a cycle")
         rows = rows.unionByName(front.withColumn("height", F.lit(level)))
     return rows.groupBy("node").agg(F.max("height").alias("height"))
 

@@ -76,6 +76,31 @@ def test_closure(spark):
     assert got[1, 4] == 3 and got[1, 1] == 3 and (4, 1) not in got
 
 
+def test_paths_to_the_end(spark):
+    pairs = [(i, i + 1) for i in range(1, 9)] + [(1, 3), (4, 2), (5, 99), (5, 5), (1, 3), (9, 1)]
+    e = spark.createDataFrame(pairs, "src int, dst int")
+
+    def brute(path, b):
+        if path[-1] == b:
+            return [path]
+        return [p for x, y in set(pairs) if x == path[-1] and y not in path for p in brute([*path, y], b)]
+
+    assert sorted(r.path for r in graph.simple_paths(e, 1, 9).collect()) == sorted(brute([1], 9))  # 7 and 8 steps
+    assert sorted(r.path for r in graph.simple_paths(e, 1, 9, 7).collect()) == sorted(p for p in brute([1], 9) if len(p) <= 8)
+    assert graph.simple_paths(e, 99, 1).count() == 0
+
+
+def test_bounds_are_errors(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(8)], "src int, dst int")
+    start, nodes = spark.createDataFrame([(0,)], "start int"), spark.createDataFrame([(i,) for i in range(9)], "node int")
+    assert graph.shortest_paths(chain, start, 8).count() == 8 and graph.layers(chain, nodes, 8).agg(F.max("height")).first()[0] == 8
+    ring = chain.unionByName(spark.createDataFrame([(8, 0)], "src int, dst int"))
+    assert graph.representative_cycles(ring, 9).first().path == [*range(9), 0]
+    for cut_short in (lambda: graph.shortest_paths(chain, start, 7), lambda: graph.layers(chain, nodes, 7), lambda: graph.layers(ring, nodes, 30), lambda: graph.representative_cycles(ring, 6)):
+        with pytest.raises(ValueError):
+            cut_short()
+
+
 EVENTS = [(s, i, ["edit", "edit", "stop", "edit", "reset", "edit"][i % 6], ["a,b", "b", "", "a", "", "b,c"][(i * s) % 6]) for s in (1, 2, 3) for i in range(12)]
 
 
