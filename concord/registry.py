@@ -113,8 +113,8 @@ w AS (SELECT DISTINCT file, 'src/g' || (t % 10) || '/m' || t AS stem, CASE t % 4
 c AS (SELECT * FROM (VALUES ('.js', '.ts', 0), ('.js', '.tsx', 1), ('.js', '.d.ts', 2), ('.js', '.js', 3), ('.jsx', '.tsx', 0), ('.jsx', '.d.ts', 1), ('.jsx', '.jsx', 2), ('.ts', '.ts', 0), ('', '.ts', 0), ('', '.tsx', 1), ('', '.d.ts', 2), ('', '.js', 3), ('', '.jsx', 4), ('', '/index.ts', 5)) AS v(written, ending, place)),
 h AS (SELECT file, specifier, min_by(path, place) AS target FROM w JOIN c USING (written) JOIN m ON path = stem || ending GROUP BY ALL)
 SELECT w.file, w.specifier, h.target FROM w LEFT JOIN h ON w.file = h.file AND w.specifier = h.specifier""")
-def resolved_imports(spark, sf):
-    l = T.table(spark, sf, "lineitem").where("l_quantity >= 45").selectExpr("l_partkey", "l_suppkey * 3 + l_linenumber AS t")
+def resolved_imports(spark, sf, wanted="l_quantity >= 45"):
+    l = T.table(spark, sf, "lineitem").where(wanted).selectExpr("l_partkey", "l_suppkey * 3 + l_linenumber AS t")
     imports = l.selectExpr(
         "concat('src/g', l_partkey % 10, '/m', l_partkey, '.ts') AS file",
         "concat('../g', t % 10, '/m', t, CASE t % 4 WHEN 0 THEN '.js' WHEN 1 THEN '' WHEN 2 THEN '.ts' ELSE '.jsx' END) AS specifier",
@@ -122,6 +122,11 @@ def resolved_imports(spark, sf):
     return resolve.resolve_relative(imports, T.modules(spark, sf))
 
 
+#: The same over every line.
+QUERIES["resolved_imports_all"] = partial(resolved_imports, wanted="true")
+SQL["resolved_imports_all"] = SQL["resolved_imports"].replace(" WHERE l_quantity >= 45", "")
+
+
 @query(f"WITH {MODULES}, d AS (SELECT 'src/g' || n_nationkey AS folder FROM nation WHERE n_nationkey % 3 = 0 UNION SELECT 'src' UNION SELECT path[:-10] FROM m WHERE path LIKE '%/index.ts' AND k % 5 = 0) SELECT path, (SELECT max_by(folder, length(folder)) FROM d WHERE starts_with(path, folder || '/')) AS folder FROM m")
 def nearest_settings(spark, sf):
     m = T.modules(spark, sf)

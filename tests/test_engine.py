@@ -168,3 +168,15 @@ def test_all_edges_are_all_lines(spark):
     assert tables.all_edges(spark, sf).count() == tables.table(spark, sf, "lineitem").count() > tables.edges(spark, sf).count()
     pairs = registry.queries()["pair_counts_all"](spark, sf).agg(F.sum("imports")).first()[0]
     assert pairs == tables.all_edges(spark, sf).where("src <> dst").count()
+
+
+def test_all_lines_are_resolved(spark):
+    from concord import registry
+    from concord.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    got = registry.queries()["resolved_imports_all"](spark, sf)
+    assert "WHERE l_quantity" not in registry.oracle_sql()["resolved_imports_all"]
+    l = tables.table(spark, sf, "lineitem")
+    assert got.select("file").distinct().count() == l.select("l_partkey").distinct().count()
+    assert got.count() == l.selectExpr("l_partkey", "l_suppkey * 3 + l_linenumber").distinct().count()
