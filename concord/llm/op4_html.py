@@ -1,8 +1,9 @@
 """Main text of web pages by two-pass block rules.
 
 Pass one splits a page into blocks and classifies each by its stop-word density, length and
-link density, with the element it stands in. Pass two gives each ambiguous short block the
-label of its nearest decided neighbours.
+link density, with the element it stands in. Where the page as a whole has few stop words it
+is in a language that STOP does not hold, and length and link density decide alone. Pass two
+gives each undecided block the label of its nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ _PIECE = re.compile(r"[A-Za-z]+")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _WORDS = re.compile(r"[^\W\d_]+")
+#: Letters of scripts that put no spaces between words (Thai to Khmer, kana, Han); two count as a word.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title")}
 
 NEUTRAL, ARTICLE, SURROUND, REPLY = 0, 1, 2, 3
@@ -147,38 +150,56 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def classify(text: str, kind: int, linked: int) -> int:
-    """Pass one: 1 text, -1 surroundings, 0 short and undecided."""
+def size(text: str) -> int:
+    """Number of words; in scripts without spaces half the letters."""
+    unspaced = len(_UNSPACED.findall(text))
+    return len(_WORDS.findall(_UNSPACED.sub(" ", text) if unspaced else text)) + unspaced // 2
+
+
+def served(page: list[tuple[str, int, int]]) -> bool:
+    """Whether the blocks that are not surroundings or links have the stop words of a language in STOP."""
+    words = [w for text, kind, linked in page if kind < SURROUND and linked <= LINKS * len(text) for w in _WORDS.findall(text.lower())]
+    return sum(w in STOP for w in words) >= STOP_LOW * len(words)
+
+
+def classify(text: str, kind: int, linked: int, known: bool = True) -> int:
+    """Pass one: 1 text, -1 surroundings, 0 undecided; known: the page's language is served."""
     if kind >= SURROUND:
         return -1
     density = min(1.0, linked / len(text))
     words = _WORDS.findall(text.lower())
-    n = len(words) or 1
-    stop = sum(w in STOP for w in words) / n
+    n = (len(words) if known else size(text)) or 1
     if kind == ARTICLE:  # the element already says text; only a block of links is left in doubt
         return 1 if density <= LINKS else (0 if n < LONG else -1)
     if density > LINKS:
         return -1
     if n < SHORT:
         return 0
-    if stop >= STOP_HIGH or (n >= LONG and stop >= STOP_LOW):
+    stop = sum(w in STOP for w in words) / (len(words) or 1)
+    if stop >= STOP_HIGH or (n >= LONG and (stop >= STOP_LOW or not known)):
         return 1
-    return -1 if n >= LONG or stop < STOP_LOW else 0
+    return 0
 
 
 def main_text(page: str | None) -> str:
     """Blocks labelled text, joined by one space in page order; empty for null or empty pages.
 
     Pass two: an undecided block takes the label of its nearest decided neighbours; where
-    they differ, the nearer one's, and on a tie that of the one before it. Undecided blocks
-    of a page without a decided one count as text if any such block has a stop word.
+    they differ, the nearer one's, and on a tie that of the one before it. On a page without
+    a block of text the undecided ones count as text if they have SHORT words or more and
+    the page's language is not served, or if no block is decided and one has a stop word.
     """
     if not page:
         return ""
     b = blocks(page)
-    first = [classify(*x) for x in b]
-    if first and not any(first):
-        return " ".join(x[0] for x in b) if any(w in STOP for x in b for w in _WORDS.findall(x[0].lower())) else ""
+    known = served(b)
+    first = [classify(*x, known) for x in b]
+    if 1 not in first:
+        left_open = [x[0] for x, label in zip(b, first, strict=True) if not label]
+        if not known and sum(map(size, left_open)) >= SHORT:
+            return " ".join(left_open)
+        if first and not any(first):
+            return " ".join(left_open) if any(w in STOP for x in left_open for w in _WORDS.findall(x.lower())) else ""
     n, left, right = len(b), [0] * len(b), [0] * len(b)
     for seq, near in ((range(n), left), (range(n - 1, -1, -1), right)):
         at = None

@@ -176,6 +176,21 @@ def test_html():
     assert op4_html.main_text("<article><p>cut in a tag <b") == "cut in a tag"
 
 
+def test_html_languages():
+    page = lambda *x: "<nav><ul><li><a href=x>" + "Home " * 3 + "</a></li></ul></nav>" + "".join(f"<div><p>{t}</p></div>" for t in x) + "<div><a href=y>more of the same</a></div><footer>2024</footer>"
+    polish = "Wczoraj wieczorem mieszkańcy małego miasteczka zebrali się przed ratuszem, aby wspólnie omówić plany budowy nowego mostu nad rzeką, który ma połączyć obie dzielnice jeszcze przed końcem przyszłego roku."
+    chinese, thai = "昨天晚上小镇的居民聚集在市政厅前讨论新桥的建设计划这座桥将在明年年底之前连接两个城区居民们对此表示欢迎并提出了许多建议。", "เมื่อวานนี้ชาวเมืองได้รวมตัวกันที่หน้าศาลากลางเพื่อหารือเกี่ยวกับแผนการสร้างสะพานแห่งใหม่ข้ามแม่น้ำ"
+    for text in (polish, chinese, thai):
+        assert op4_html.main_text(page(text)) == text
+        assert op4_html.main_text(page(text, text)) == f"{text} {text}"
+        short = text[: len(text) // 3]
+        assert op4_html.main_text(page(short, short)) == f"{short} {short}"
+    english = "It is the story of a man and of the sea that was by the town and it was not far from there, as you know."
+    names = "Ada Byron, Alan Turing, Grace Hopper, Edsger Dijkstra, Barbara Liskov, Donald Knuth, Tony Hoare"
+    assert op4_html.main_text(page(english, names, english)) == f"{english} {names} {english}"
+    assert op4_html.main_text("<div>Menu</div><div><a href=x>link one</a></div>") == ""
+
+
 def test_html_table(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None), (None, "u", "", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
