@@ -156,6 +156,21 @@ def test_bm25(spark, monkeypatch):
         assert sure <= {i for _, i, _ in found}
 
 
+def test_bm25_repeated_ids(spark):
+    rows = [(i, t) for i, t in enumerate(rand_texts(200, 13, 5, 30))]
+    query = rows[0][1]
+    copies = [(1000, query)] * 40 + [(1001, query + " w1 w2")] * 40 + [(1002, t) for _, t in rows[1:30]]
+    df = spark.createDataFrame(rows + copies, "doc_id long, text string").repartition(2)
+    got = op3_bm25.top_k(df, spark.createDataFrame([(0, query)], "query_id long, text string")).orderBy("rank").collect()
+    best = {}
+    for s, d in brute_bm25([*rows, *copies], [(0, query)], 10_000)[0]:
+        best[d] = min(s, best.get(d, 0.0))
+    want = sorted((s, d) for d, s in best.items())[:10]
+    assert [r.rank for r in got] == list(range(1, 11)) and len({r.doc_id for r in got}) == 10
+    assert np.allclose([r.score for r in got], [-s for s, _ in want], rtol=1e-9)
+    assert {r.doc_id for r in got} >= {d for s, d in want if s < want[-1][0] * (1 + 1e-9)}
+
+
 # 4 ---------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>no</p>";</script></head><body>
