@@ -168,9 +168,11 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose score reaches the threshold, all columns kept."""
+    """The documents whose score reaches the threshold, all columns kept; every document where no labelled rows are left to calibrate on."""
     small_batches(docs.sparkSession)
     model, docs_columns = fit(*training_rows(docs, labels)), docs.columns
+    if not model.xs:
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)

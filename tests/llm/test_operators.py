@@ -456,6 +456,13 @@ def test_quality_odd_rows(spark, docs, none):
     assert op9_quality.keep_good(docs, labels).columns == docs.columns
 
 
+def test_quality_keeps_all_without_calibration(spark, docs):
+    kind = "doc_id long, quality int, toxic int"
+    for labels in ([], [(None, 1, 0)], [(10_000, 1, 0)], [(3, None, 0)], [(7, 1, 0)]):  # the last one trains, and none is left to calibrate
+        kept = op9_quality.keep_good(docs, spark.createDataFrame(labels, kind))
+        assert sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+
+
 # 10 --------------------------------------------------------------------------
 
 
