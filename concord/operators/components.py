@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.plans.shared import cut
+from concord.plans.shared import cut, free, scratch
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -19,7 +19,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     Only nodes with a link to another node are returned; null ends and self-links are
     ignored; repeated links count once; no links give no rows.
     """
-    e = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    with scratch() as made:
+        return made.keep(_components(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v"), max_rounds))
+
+
+def _components(e: DataFrame, max_rounds: int) -> DataFrame:
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = None
     for _ in range(max_rounds):
@@ -30,9 +34,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = cut(small.where("u <> v").distinct(), "links")
+        last, e = e, cut(small.where("u <> v").distinct(), "links")
+        free(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            return cut(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
         before = now
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
