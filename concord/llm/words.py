@@ -1,12 +1,14 @@
 """Words of a text as 64-bit hashes, computed over whole arrays.
 
 A word is a run of characters other than ASCII white space; A-Z are lowered on request.
-Equal words have equal hashes; unequal ones collide with the chance of random 64-bit values.
+Equal words have equal hashes. Every eight bytes are mixed in turn, not summed as a polynomial, so unequal
+words collide no more often than random 64-bit values, whatever they repeat.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -50,6 +52,11 @@ def inverse_powers(n: int) -> np.ndarray:
     return _inverses[:n]
 
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Bytes of a word that are hashed for all words at once; longer words are hashed one by one.
+_LANES = 64
+
+
 def _hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     space = np.ones(len(data) + 2, dtype=bool)
     space[1:-1] = _SPACE[data]
@@ -57,13 +64,19 @@ def _hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return np.empty(0, dtype=np.uint64), starts
-    run = np.zeros(len(data) + 1, dtype=np.uint64)
-    values = data.astype(np.uint64)
-    values += np.uint64(1)
-    values *= powers(len(data))
-    np.cumsum(values, out=run[1:])
-    value = (run[ends] - run[starts]) * inverse_powers(len(data))[starts]  # as if each word stood at the beginning
-    return mix64(value ^ ((ends - starts).astype(np.uint64) << np.uint64(48))), starts
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    n = ends - starts
+    h = mix64((eight[starts] & _MASKS[np.minimum(n, 8)]) ^ (n.astype(np.uint64) * _BASE))
+    more = np.flatnonzero((n > 8) & (n <= _LANES))
+    for k in range(8, _LANES, 8):
+        if not len(more):
+            break
+        h[more] = mix64(h[more] * _BASE + (eight[starts[more] + k] & _MASKS[np.minimum(n[more] - k, 8)]))
+        more = more[n[more] > k + 8]
+    for i in np.flatnonzero(n > _LANES).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return h, starts
 
 
 def words(text: str | None, lower: bool = True) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -85,6 +98,13 @@ def words(text: str | None, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(hashes), np.concatenate(starts), raw
 
 
+def words_of(texts: list[str | None], lower: bool = True) -> list[np.ndarray]:
+    """The hashes of each text's words; the texts are hashed together."""
+    sizes = np.array([len((t or "").encode()) + 1 for t in texts], dtype=np.int64)
+    h, starts, _ = words("\n".join(t or "" for t in texts), lower)
+    return np.split(h, np.searchsorted(starts, np.cumsum(sizes)[:-1])) if len(texts) else []
+
+
 def shingles(text: str | None, n: int) -> np.ndarray:
     """The distinct n-word shingles of a text, ascending; with fewer words the whole sequence is one; none without words."""
     w, _, _ = words(text)
