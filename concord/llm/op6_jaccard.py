@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from concord.llm.batches import slices, small_batches, tidy
 from concord.llm.words import mix64, shingles
 from concord.operators.components import connected_components
-from concord.plans.shared import cut
+from concord.plans.shared import cut, free, reclaim, scratch
 
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 #: Ratio of the sizes at a class's ends. A block with fewer shingles says little, and is left out where enough others remain.
@@ -244,7 +244,9 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     texts = docs.join(wanted, docs.doc_id == wanted.id, "left_semi")
     arrays = cut(texts.select("doc_id", "text").mapInArrow(tidy(_arrays(n)), "id long, items array<long>"), "jaccard-sets")
     both = pairs.join(arrays.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(arrays.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    return cut(both.select("a", "b", "x", "y").mapInArrow(tidy(lambda it: _verify(it, percent)), "a long, b long"), "jaccard-links")
+    out = cut(both.select("a", "b", "x", "y").mapInArrow(tidy(lambda it: _verify(it, percent)), "a long, b long"), "jaccard-links")
+    free(arrays)
+    return out
 
 
 class _Longs:
@@ -334,7 +336,8 @@ def _join_tiles(percent: int):
             rows["not_b"][:] = batch.column("not_b").to_pylist()
             rows["long"] = np.empty(batch.num_rows, dtype=object)
             rows["long"][:] = batch.column("long").to_pylist()
-            rows["bits"] = batch.column("sketch").flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCH)
+            # unsigned, as numpy counts the bits of a negative number's absolute value
+            rows["bits"] = batch.column("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH)
             if held is not None:
                 rows = {k: np.concatenate((held[k], rows[k])) for k in rows}
             edge = np.flatnonzero((np.diff(rows["sig"]) != 0) | (np.diff(rows["i"]) != 0) | (np.diff(rows["j"]) != 0)) + 1
@@ -364,10 +367,12 @@ def sketched(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(x, "a").join(y, "b").withColumn("most", F.expr(f"((n_a + n_b) * {100 - percent}) div {100 + percent}"))
     far = F.aggregate(F.zip_with("s_a", "s_b", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda m, v: m + v)
     close = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)") & (far <= F.col("most"))
-    left = cut(both.where(close).select("a", "b", "most").distinct(), "jaccard-close")
+    some = cut(both.where(close).select("a", "b", "most").distinct(), "jaccard-close")
     longs = reps.where("long is not null")
-    left = left.join(longs.select(F.col("rep").alias("a"), F.col("long").alias("l_a")), "a", "left").join(longs.select(F.col("rep").alias("b"), F.col("long").alias("l_b")), "b", "left")
-    return left.mapInArrow(tidy(_near(percent)), "a long, b long").distinct()
+    left = some.join(longs.select(F.col("rep").alias("a"), F.col("long").alias("l_a")), "a", "left").join(longs.select(F.col("rep").alias("b"), F.col("long").alias("l_b")), "b", "left")
+    out = cut(left.mapInArrow(tidy(_near(percent)), "a long, b long").distinct(), "jaccard-pairs")
+    free(some)
+    return out
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -379,8 +384,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     component and link nobody; rows of one id with different texts pool their links. Other
     columns are not read.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     small_batches(docs.sparkSession)
+    with scratch() as made:
+        return made.keep(_components_of(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), n, percent))
+
+
+def _components_of(d: DataFrame, n: int, percent: int) -> DataFrame:
     base = cut(d.mapInArrow(tidy(_sets(n, percent)), SETS), "jaccard-base")
     some = base.where("n > 0 and doc_id is not null")
     same = some.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
@@ -392,12 +401,15 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     # one exchange: at most a row per key and part of a task, sorted and read as a stream
     lists = keyed.repartition("sig").sortWithinPartitions("sig", "doc_id").mapInArrow(tidy(_meet), "sig long, doc_id long, pivot long")
     hits = cut(lists.unionByName(met), "jaccard-hits")
+    reclaim(d.sparkSession)
     star = hits.where("doc_id <> pivot").select("doc_id", "pivot").distinct()
     a = members.select("doc_id", F.col("rep").alias("a"))
     b = members.select(F.col("doc_id").alias("pivot"), F.col("rep").alias("b"))
     star = cut(star.join(a, "doc_id").join(b, "pivot").where("a <> b"), "jaccard-star")
     pairs = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = verified(cut(sketched(pairs, reps, percent), "jaccard-pairs"), d, n, percent)
+    pairs = sketched(pairs, reps, percent)
+    links = verified(pairs, d, n, percent)
+    free(pairs)
     parts = connected_components(links)
 
     # lists whose sets lie in several components: look for links between those
@@ -416,6 +428,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     left = left.join(size, "sig").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
     tiles = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda t: F.struct(F.least("salt", t).alias("i"), F.greatest("salt", t).alias("j")))
     left = cut(left.withColumn("tile", F.explode(tiles)).select("sig", "a", "pivot", "salt", "tile.*"), "jaccard-open")
+    free(hits, star)
+    reclaim(d.sparkSession)
     refuted: DataFrame | None = None
     while not left.isEmpty():
         rows = left.join(part("a"), "a", "left").withColumn("part", F.coalesce("a_part", "a")).drop("a_part")
@@ -429,18 +443,24 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
         found = cut(rows.mapInArrow(tidy(_join_tiles(percent)), "sig long, a long, b long"), "jaccard-found")
         if found.isEmpty():
             break
-        good = verified(cut(sketched(found.select("a", "b").distinct(), reps, percent), "jaccard-pairs"), d, n, percent)
+        pairs = sketched(found.select("a", "b").distinct(), reps, percent)
+        good = verified(pairs, d, n, percent)
         bad = found.join(good, ["a", "b"], "left_anti").select("sig", "a", F.col("b").alias("not_b"))
-        refuted = cut(bad if refuted is None else refuted.unionByName(bad).distinct(), "jaccard-refuted")
+        before, refuted = refuted, cut(bad if refuted is None else refuted.unionByName(bad).distinct(), "jaccard-refuted")
         # components only merge and refuted pairs only grow: a list that found nothing stays done
-        left = cut(left.join(found.select("sig").distinct(), "sig", "left_semi"), "jaccard-open")
-        if not good.isEmpty():
-            links = links.unionByName(good)
-            parts = connected_components(links)
+        old, left = left, cut(left.join(found.select("sig").distinct(), "sig", "left_semi"), "jaccard-open")
+        free(pairs, found, old, *([before] if before is not None else []))
+        if good.isEmpty():
+            free(good)
+        else:
+            both, links = (links, good), cut(links.unionByName(good), "jaccard-links")
+            free(*both)
+            last, parts = parts, connected_components(links)
+            free(last)
     of = members.join(parts, members.rep == parts.node, "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component"))
     of = of.groupBy("id").agg(F.min("component").alias("component"))
     joined = base.where("n is not null").select("doc_id", "n").join(of, base.doc_id == of.id, "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return cut(joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")), "jaccard-components")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
