@@ -1,15 +1,18 @@
 """Main text of web pages by two-pass block rules.
 
 Pass one splits a page into blocks and classifies each by its stop-word density, length and
-link density, with the element it stands in. Where the page as a whole has few stop words it
-is in a language that STOP does not hold, and length and link density decide alone. Pass two
-gives each undecided block the label of its nearest decided neighbours.
+link density. Where the page as a whole has few stop words it is in a language that STOP does
+not hold, and length and link density decide alone. Pass two gives each undecided block, a
+short one or one of few stop words, the label of its nearest decided neighbours. The element a
+block stands in is a feature: blocks of navigation, forms and the like are left out before,
+and blocks of an article have only each other as neighbours.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,10 +27,11 @@ STOP = frozenset(
     "el los las una y por con no su para al lo como más del se o pero sus".split()
 )
 #: Elements whose content is never text of the page.
-DROPPED = frozenset("head title script style noscript template textarea select option button svg math iframe object embed canvas audio video map datalist".split())
+DROPPED = frozenset("head title script style noscript template textarea select option button svg iframe object embed canvas audio video map datalist".split())
 #: Elements that hold a page's surroundings.
 AROUND = frozenset("nav footer aside form menu dialog".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class, id and role that mark surroundings, and those that mark reader comments.
 MARKS = frozenset("ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs cookie cookies consent copyright disclaimer footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related recommended search share sharing sidebar sitemap skip social sponsor sponsored subscribe subscription signup login toolbar topbar widget alert complementary contentinfo".split())
@@ -37,8 +41,10 @@ SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 12, 25, 0.10, 0.20, 0.4
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|[^<]+|<", re.S)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Elements that hold text themselves, on which only the words of NOTES mark surroundings.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption span b i em strong code q cite mark small sub sup".split())
+NOTES = frozenset("ad ads adbox advert adverts advertisement advertising cookie cookies consent copyright disclaimer gdpr newsletter notice notices promo promoted sponsor sponsored".split())
 _PIECE = re.compile(r"[A-Za-z]+")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Letters of scripts that put no spaces between words (Thai to Khmer, kana, Han); two count as a word.
@@ -58,23 +64,25 @@ def _kind(tag: str, attrs: str, now: int) -> int:
             for x in re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").split():
                 marks.update(_PIECE.findall(x.lower()))
     if tag != "body" and tag != "html":
+        if tag in TEXTUAL:
+            marks &= NOTES
         if marks & REPLIES:
             return REPLY
         if tag in ("article", "main"):
             return SURROUND if now == SURROUND and marks & MARKS else ARTICLE
-        if tag in AROUND or (marks & MARKS and tag != "h1"):
+        if tag in AROUND or marks & MARKS:
             return SURROUND
         if tag == "header" and now != ARTICLE:
             return SURROUND
-        if attrs and _HIDDEN.search(attrs):
-            return SURROUND
     return now
 
 
-def blocks(page: str) -> list[tuple[str, int, int]]:
-    """(text, kind, characters inside links) of each block in page order; white space made one space."""
-    out: list[tuple[str, int, int]] = []
+def blocks(page: str) -> list[tuple[str, int, int, bool]]:
+    """(text, kind, characters inside links, whether it is a heading) of each block in page order; white space made one space."""
+    out: list[tuple[str, int, int, bool]] = []
     stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()  # elements on the stack by tag
+    inline: list[Counter[str]] = [Counter()]  # inline ones above each open block
     kind, links, buf, linked = NEUTRAL, 0, [], 0
 
     def flush() -> None:
@@ -82,9 +90,33 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
         if buf:
             text = " ".join(_html.unescape("".join(buf)).split())
             if text:
-                out.append((text, kind, linked))
+                out.append((text, kind, linked, any(opened[h] for h in HEADINGS)))
             buf, linked = [], 0
 
+    def push(tag: str, inner: int) -> None:
+        nonlocal kind, links
+        stack.append((tag, inner))
+        opened[tag] += 1
+        if tag in BLOCK:
+            inline.append(Counter())
+        else:
+            inline[-1][tag] += 1
+        kind, links = inner, links + (tag == "a")
+
+    def close(tag: str) -> None:
+        """Take elements off the stack until one of this tag has gone."""
+        nonlocal kind, links
+        gone = ""
+        while gone != tag:
+            gone, _ = stack.pop()
+            opened[gone] -= 1
+            if gone in BLOCK:
+                inline.pop()
+            else:
+                inline[-1][gone] -= 1
+            links -= gone == "a"
+        kind = stack[-1][1] if stack else NEUTRAL
+
     pos, n = 0, len(page)
     while pos < n:
         m = _TOKEN.match(page, pos)
@@ -104,15 +136,9 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
         if m[1]:
             if tag in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    for t, _ in stack[k:]:
-                        links -= t == "a"
-                    del stack[k:]
-                    kind = stack[-1][1] if stack else NEUTRAL
-                    break
-                if tag not in BLOCK and stack[k][0] in BLOCK:
-                    break  # an inline end tag does not close a block
+            # an inline end tag does not close a block
+            if (opened if tag in BLOCK else inline[-1])[tag]:
+                close(tag)
             continue
         if tag in DROPPED:
             if tag in BLOCK or tag == "title":
@@ -124,28 +150,22 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
                 continue  # never closed: what follows still counts
             if end is None:
                 break
-            close = page.find(">", end.end())
-            pos = n if close < 0 else close + 1
+            after = page.find(">", end.end())
+            pos = n if after < 0 else after + 1
             buf.append(" ")
             continue
         if tag in BLOCK:
             flush()
-            drop = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 4), -1) if stack[k][0] == "p"), None)
-            if drop is not None:
-                for t, _ in stack[drop:]:
-                    links -= t == "a"
-                del stack[drop:]
+            if any(t == "p" for t, _ in stack[-4:]):
+                close("p")
             elif stack and stack[-1][0] in _CLOSES.get(tag, ()):
-                stack.pop()
-            kind = stack[-1][1] if stack else NEUTRAL
+                close(stack[-1][0])
         if tag in VOID or m[3].endswith("/"):
             continue
         inner = _kind(tag, m[3], kind)
         if inner != kind and tag not in BLOCK:
             flush()
-        stack.append((tag, inner))
-        kind = inner
-        links += tag == "a"
+        push(tag, inner)
     flush()
     return out
 
@@ -156,65 +176,62 @@ def size(text: str) -> int:
     return len(_WORDS.findall(_UNSPACED.sub(" ", text) if unspaced else text)) + unspaced // 2
 
 
-def served(page: list[tuple[str, int, int]]) -> bool:
+def served(page: list[tuple[str, int, int, bool]]) -> bool:
     """Whether the blocks that are not surroundings or links have the stop words of a language in STOP."""
-    words = [w for text, kind, linked in page if kind < SURROUND and linked <= LINKS * len(text) for w in _WORDS.findall(text.lower())]
+    words = [w for text, kind, linked, _ in page if kind < SURROUND and linked <= LINKS * len(text) for w in _WORDS.findall(text.lower())]
     return sum(w in STOP for w in words) >= STOP_LOW * len(words)
 
 
 def classify(text: str, kind: int, linked: int, known: bool = True) -> int:
     """Pass one: 1 text, -1 surroundings, 0 undecided; known: the page's language is served."""
-    if kind >= SURROUND:
-        return -1
     density = min(1.0, linked / len(text))
     words = _WORDS.findall(text.lower())
     n = (len(words) if known else size(text)) or 1
-    if kind == ARTICLE:  # the element already says text; only a block of links is left in doubt
-        return 1 if density <= LINKS else (0 if n < LONG else -1)
     if density > LINKS:
-        return -1
+        return 0 if kind == ARTICLE and n < LONG else -1
     if n < SHORT:
         return 0
     stop = sum(w in STOP for w in words) / (len(words) or 1)
-    if stop >= STOP_HIGH or (n >= LONG and (stop >= STOP_LOW or not known)):
-        return 1
-    return 0
+    return int(stop >= STOP_HIGH or (n >= LONG and (stop >= STOP_LOW or not known)))
 
 
-def main_text(page: str | None) -> str:
-    """Blocks labelled text, joined by one space in page order; empty for null or empty pages.
+def inherit(first: list[int], default: int, leads: list[bool] | None = None) -> list[int]:
+    """Pass two: an undecided label becomes that of the nearest decided one; default where none is decided.
 
-    Pass two: an undecided block takes the label of its nearest decided neighbours; where
-    they differ, the nearer one's, and on a tie that of the one before it. On a page without
-    a block of text the undecided ones count as text if they have SHORT words or more and
-    the page's language is not served, or if no block is decided and one has a stop word.
+    On a tie that of the one before, or after for a block that leads what follows.
     """
-    if not page:
-        return ""
-    b = blocks(page)
-    known = served(b)
-    first = [classify(*x, known) for x in b]
-    if 1 not in first:
-        left_open = [x[0] for x, label in zip(b, first, strict=True) if not label]
-        if not known and sum(map(size, left_open)) >= SHORT:
-            return " ".join(left_open)
-        if first and not any(first):
-            return " ".join(left_open) if any(w in STOP for x in left_open for w in _WORDS.findall(x.lower())) else ""
-    n, left, right = len(b), [0] * len(b), [0] * len(b)
-    for seq, near in ((range(n), left), (range(n - 1, -1, -1), right)):
+    n, near = len(first), []
+    for seq in (range(n), range(n - 1, -1, -1)):
+        side: list[tuple[int, int]] = [(n, 0)] * n  # distance and label
         at = None
         for i in seq:
             at = i if first[i] else at
-            near[i] = n * 2 if at is None else abs(i - at)
-    keep = []
-    for i, label in enumerate(first):
-        if not label:
-            lo, hi = left[i], right[i]
-            a, z = (first[i - lo] if lo < n else 0), (first[i + hi] if hi < n else 0)
-            label = a if a and (not z or lo <= hi) else z
-        if label > 0:
-            keep.append(b[i][0])
-    return " ".join(keep)
+            side[i] = side[i] if at is None else (abs(i - at), first[at])
+        near.append(side)
+    leads = leads or [False] * n
+    return [label or (z if after < before + lead and z else a or z) or default for label, (before, a), (after, z), lead in zip(first, *near, leads, strict=True)]
+
+
+def main_text(page: str | None) -> str:
+    """Blocks labelled text, joined by one space in page order; empty for null or empty pages.
+
+    Blocks of surroundings are no neighbours of others; those in an article element and those
+    outside are two sequences. In an article without a decided block all count as text. On a
+    page without a block of text the undecided ones do, if no block is decided, or if they
+    have SHORT words or more in a language that is not served.
+    """
+    b = [x for x in blocks(page) if x[1] < SURROUND] if page else []
+    known = served(b)
+    first = [classify(*x[:3], known) for x in b]
+    label = list(first)
+    for kind, default in ((ARTICLE, 1), (NEUTRAL, -1)):
+        at = [i for i, x in enumerate(b) if x[1] == kind]
+        for i, x in zip(at, inherit([first[i] for i in at], default, [b[i][3] for i in at]), strict=True):
+            label[i] = x
+    if not any(x > 0 for x in label):
+        left_open = [x[0] for x, decided in zip(b, first, strict=True) if not decided]
+        return " ".join(left_open) if not any(first) or not known and sum(map(size, left_open)) >= SHORT else ""
+    return " ".join(x[0] for x, keep in zip(b, label, strict=True) if keep > 0)
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
