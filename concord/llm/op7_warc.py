@@ -222,8 +222,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """A row per response or revisit record of the manifest's archives, payloads checked against their digests."""
-    return manifest.select("archive").repartition("archive").mapInArrow(_read, RECORDS)
+    """A row per response or revisit record of the manifest's archives, payloads checked against their digests; a task for each archive."""
+    n = manifest.count()
+    return manifest.select("archive").repartitionByRange(max(1, n), "archive").mapInArrow(_read, RECORDS)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
