@@ -26,8 +26,8 @@ from concord.plans.shared import cut
 CAPACITY, END_ID = 2048, 1
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-#: Tokens of a packing shard, and the step at which pieces can be cut.
-SHARD_TOKENS, STEP = 1 << 24, 16
+#: Tokens and pieces of a packing shard, and the step at which pieces can be cut.
+SHARD_TOKENS, SHARD_PIECES, STEP = 1 << 24, 1 << 17, 16
 _POLY = 0xEDB88320
 
 
@@ -188,8 +188,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     small_batches(docs.sparkSession)
     pieces = cut(d.mapInArrow(tidy(_pieces(capacity, name)), PIECES), "pieces")
-    total = pieces.agg(F.sum("length")).first()[0] or 0
-    shards = max(1, -(-total // SHARD_TOKENS))
+    total, rows = pieces.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    shards = max(1, -(-total // SHARD_TOKENS), -(-rows // SHARD_PIECES))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "copy"), F.lit(shards)).cast("int"))
     kinds = {x.split()[0]: x for x in PIECES.split(", ")}
     out = ", ".join(kinds[c] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")) + ", sequence_id long, offset long"
