@@ -8,6 +8,7 @@ dictionary has seen, is the score.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,8 +22,8 @@ from concord.llm.batches import slices, small_batches, tidy
 
 #: Bytes of a block, of a dictionary, and the compression level.
 BLOCK, DICT_BYTES, LEVEL = 2048, 128 << 10, 3
-#: Bounds of the labelled sample: rows of each label, and characters of a sampled text.
-SAMPLE_ROWS, SAMPLE_CHARS = 2000, 16_000
+#: Bounds of the labelled sample: rows of each label, and characters of all its texts.
+SAMPLE_ROWS, SAMPLE_CHARS = 2000, 24_000_000
 #: Share of the sample that the dictionaries are trained on; the rest calibrates.
 TRAIN_SHARE = 0.6
 THRESHOLD = 0.7
@@ -98,9 +99,9 @@ def fit(rows: list[tuple[str, int]], in_all: dict[int, int]) -> Model:
     """
     train: dict[int, list[str]] = {0: [], 1: []}
     rest: list[tuple[str, int]] = []
-    sampled = {label: min(n, SAMPLE_ROWS) for label, n in in_all.items()}
+    sampled = Counter(q for _, q in rows)
     # 1 for every row where nothing was left out; the weights of a sample add up to about its rows
-    weight = {label: n * sum(sampled.values()) / (sampled[label] * sum(in_all.values())) for label, n in in_all.items()}
+    weight = {label: n * sum(sampled.values()) / (sampled[label] * sum(in_all.values())) for label, n in in_all.items() if sampled[label]}
     for label in (0, 1):
         own = [t for t, q in rows if q == label]
         n = math.ceil(len(own) * TRAIN_SHARE)
@@ -119,24 +120,28 @@ def held_out(doc_id: str = "doc_id"):
 def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, int]], dict[int, int]]:
     """The bounded sample, and the documents of each label that it is drawn from.
 
-    The sample: of each label the SAMPLE_ROWS rows first by hash among labelled texts of at
-    most SAMPLE_CHARS characters, held-out rows left out.
+    The sample: of each label the SAMPLE_ROWS documents first by hash, whole texts, held-out
+    rows left out; one whose text is longer than what SAMPLE_CHARS has left is passed over.
+    Of the rows of one id the first text in order counts.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").cast("int").alias("quality"))
-    fit = ~held_out() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & (F.col("text") != "")
-    pool = docs.where(fit).select("doc_id").join(known, F.col("doc_id") == F.col("id")).select("doc_id", "quality").distinct()
+    fit = ~held_out() & F.col("text").isNotNull() & (F.col("text") != "")
+    pool = docs.where(fit).select("doc_id", F.length("text").alias("size")).join(known, F.col("doc_id") == F.col("id"))
+    pool = pool.groupBy("doc_id", "quality").agg(F.max("size").alias("size"))
     in_all = {r.quality: r["count"] for r in pool.groupBy("quality").count().collect()}
     # the ids are chosen first, so that texts are read for the sample alone
     chosen: dict[int, int] = {}
     for label in (0, 1):
-        best = pool.where(F.col("quality") == label).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(SAMPLE_ROWS)
-        chosen |= {r.doc_id: r.quality for r in best.collect()}
+        room = SAMPLE_CHARS
+        for r in pool.where(F.col("quality") == label).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(SAMPLE_ROWS).collect():
+            if r.size <= room:
+                chosen[r.doc_id], room = label, room - r.size
     if not chosen:
         return [], {}
     ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "id long")  # at most two SAMPLE_ROWS rows
-    rows = docs.where(fit).select("doc_id", "text", F.xxhash64(F.lit(3), "doc_id").alias("h")).join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
-    found = {(r.h, r.doc_id, r.text) for r in rows.collect()}
-    return [(text, chosen[i]) for _, i, text in sorted(found)], in_all
+    rows = docs.where(fit).select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
+    found = rows.groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", F.xxhash64(F.lit(3), "doc_id").alias("h")).collect()
+    return [(r.text, chosen[r.doc_id]) for r in sorted(found, key=lambda r: (r.h, r.doc_id))], in_all
 
 
 def _apply(model: Model):
