@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 import re
 import zlib
 from collections import Counter
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from concord.llm.tokens import added, tokenizer
 from concord.plans.shared import cut
 
-#: Characters of a chunk of documents, buckets that pre-tokens are dealt to, the limit of over_limit.
+#: Characters of a chunk of documents, the fewest buckets that pre-tokens are dealt to, the limit of over_limit.
 CHUNK_CHARS, BUCKETS, LIMIT = 24_000_000, 512, 2048
 VOCABULARY = "word_bpe_49k.json"
 #: Texts of these characters only take the fast route: Latin letters in every Unicode version, unchanged by NFC, lowered one to one.
@@ -187,7 +188,12 @@ def _sum(docs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": pd.array([None if x is None or x != x else int(x) for x in row["doc_ids"]], dtype="Int64"), "n_bytes": row["n_bytes"], "n_tokens": sums[ends] - sums[ends - sizes] + row["extra"]})
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = VOCABULARY, limit: int = LIMIT, buckets: int = BUCKETS) -> DataFrame:
+def buckets_of(partitions: int) -> int:
+    """Buckets for an input of so many partitions: as its root, as distinct pre-tokens grow slower than text and each chunk has a row per bucket."""
+    return max(BUCKETS, 1 << math.ceil(math.log2(16 * math.sqrt(max(1, partitions)))))
+
+
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = VOCABULARY, limit: int = LIMIT, buckets: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit, as the tokenizer counts the whole text.
 
     Null text counts as empty: 0 bytes, 0 tokens. Null ids pass through, repeated rows are
@@ -195,6 +201,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the vocabulary inside a text are one token each, as the library takes them by default.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    buckets = buckets or buckets_of(d.rdd.getNumPartitions())
     chunks = cut(d.mapInArrow(_encode(name, buckets), CHUNKS), "token-chunks")
     entries = chunks.where("bucket is not null").select("chunk", "bucket", "start", "tokens")
     counted = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(name), "chunk long, start int, pieces binary")
