@@ -11,8 +11,14 @@ from pyspark.sql import functions as F
 
 from concord.llm import op1_mix, op2_tokens, op3_bm25, op4_html, op5_lines, op6_jaccard, op7_warc, op8_pack, op9_quality, op10_embed
 from concord.llm.tokens import encode_ids, tokenizer
+from concord.llm.words import words_of
 from concord.plans.shared import new_path
 
+
+def op3_words(text):
+    return words_of([text])[0]
+
+
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, words string, h long, rep long"  # the last three clash with inner names
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -156,6 +162,29 @@ def test_bm25(spark, monkeypatch):
         assert sure <= {i for _, i, _ in found}
 
 
+def test_bm25_blocks_and_groups(spark, monkeypatch):
+    """Long queries, shards of many blocks, and several groups of queries: equal to brute force, ties by smaller id."""
+    monkeypatch.setattr(op3_bm25, "GROUP", 30)
+    monkeypatch.setattr(op3_bm25, "BATCH", 7)
+    rows = [(i, t) for i, t in enumerate(rand_texts(1500, 23, 1, 60))] + [(2000 + i, t) for i, t in enumerate(rand_texts(1500, 23, 1, 60)[:300])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    asked = [(q, dict(rows)[q]) for q in range(0, 1500, 15)]
+    want = brute_bm25(rows, asked, 10)
+    got = {}
+    for r in op3_bm25.top_k(df, spark.createDataFrame(asked, "query_id long, text string")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.doc_id, r.score))
+    for q, best in want.items():
+        best = sorted((round(s, 8), i) for s, i in best)
+        assert [(n, i) for n, i, _ in sorted(got[q])] == [(k + 1, i) for k, (_, i) in enumerate(best)]
+
+
+def test_bm25_empty(spark, none):
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string")
+    ask = docs.withColumnRenamed("doc_id", "query_id")
+    assert op3_bm25.top_k(docs.limit(0), ask).count() == 0 and op3_bm25.top_k(docs, ask.limit(0)).count() == 0
+    assert sorted((r.query_id, r.doc_id) for r in op3_bm25.top_k(docs.selectExpr("*", "1 AS query_id", "2 AS score"), ask).collect()) == [(1, 2), (2, 1)]
+
+
 def test_bm25_repeated_ids(spark):
     rows = [(i, t) for i, t in enumerate(rand_texts(200, 13, 5, 30))]
     query = rows[0][1]
@@ -206,6 +235,41 @@ def test_html_languages():
     assert op4_html.main_text("<div>Menu</div><div><a href=x>link one</a></div>") == ""
 
 
+def test_html_rules_without_an_article():
+    story = "It is the story of a man and of the sea that was by the town and it was not far from there, as you know."
+    menu = "<div>" + " ".join(f"<a href=x>Section number {i}</a>" for i in range(12)) + "</div>"
+    page = f"<body>{menu}<div>Read more</div>{menu}<div><h2>The sea</h2><p>{story}</p><p>Short one.</p><p>{story}</p></div><div>Share</div>{menu}</body>"
+    # the heading and the short paragraph stand nearest to text; between text and links, a heading goes with what follows and others with what is before
+    assert op4_html.main_text(page) == f"The sea {story} Short one. {story} Share"
+    assert op4_html.main_text("<body><p>Short only text without any</p></body>") == "Short only text without any"
+    assert op4_html.main_text("<table><tr><td>One cell</td></tr></table>") == "One cell"
+
+
+def test_html_inherits_by_brute_force():
+    r = np.random.default_rng(5)
+    for _ in range(500):
+        first = r.choice([-1, 0, 0, 0, 1], r.integers(0, 12)).tolist()
+        want = []
+        for i, x in enumerate(first):
+            near = sorted((abs(i - j), j, y) for j, y in enumerate(first) if y)
+            want.append(x or (near[0][2] if near else -1))
+        assert op4_html.inherit(first, -1) == want
+
+
+def test_html_drops_nothing_else():
+    page = "<article><p>Seen</p><p hidden>kept as well</p><p>sum <math><mi>x</mi></math> of it</p><p class='search'>We went in search of it.</p><p class=\"widget menu\">a widget</p><p class=ad>Buy now</p></article>"
+    assert op4_html.main_text(page) == "Seen kept as well sum x of it We went in search of it. a widget"
+
+
+def test_html_stray_tags_take_linear_time():
+    import time
+
+    for page in ("<i>" * 80_000 + "</b>" * 160_000, "<b><p>" + "<i>" * 80_000 + "</b>" * 160_000, "<div>" * 80_000 + "</p>" * 150_000, "<a" * 400_000):
+        began = time.time()
+        op4_html.main_text(page + "end")
+        assert time.time() - began < 5
+
+
 def test_html_table(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None), (None, "u", "", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
@@ -279,6 +343,39 @@ def test_lines(spark):
     assert op5_lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def thue_morse(n, a, b):
+    return [b if bin(i).count("1") % 2 else a for i in range(n)]
+
+
+def test_hashes_of_repetitive_words():
+    x, y = "".join(thue_morse(1024, "a", "b")), "".join(thue_morse(1024, "b", "a"))
+    found = op3_words(f"{x} {y} {x[:60]} {y[:60]} {x[:9]} {y[:9]}")
+    assert len(set(found.tolist())) == 6 and (op3_words(f"q {x}\t{x[:9]}")[1:] == found[[0, 4]]).all()
+
+
+def test_lines_that_differ_in_every_word(spark):
+    rows = [(1, " ".join(thue_morse(2048, "u", "v"))), (2, " ".join(thue_morse(2048, "v", "u")))]
+    got = op5_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == rows
+
+
+def test_lines_of_rows_with_one_id(spark):
+    near = "one two three four five six seven eight nine ten"
+    rows = [(0, "beta"), (1, "alpha\nbeta"), (1, "gamma\nunique delta"), (2, near), (3, "x"), (3, "a\nb\nc\n" + near + " eleven"), (4, "x")]
+    got = {(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in op5_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {(0, "beta", 1, 0), (1, "alpha", 2, 1), (1, "gamma\nunique delta", 2, 0), (2, near, 1, 0), (3, "x", 1, 0), (3, "a\nb\nc", 4, 1), (4, "", 1, 1)}
+
+
+def test_lines_names_that_clash(spark):
+    cols = ("doc_id", "text", "n_chars", "n_lines", "dropped", "n_dropped", "t", "id", "c0", "of", "doc.id")
+    rows = [(i, t, 1, "a", [1], 2.5, "b", "c", "d", "e", "f") for i, t in ((1, "x\ny"), (2, "y\nz"), (3, None), (4, "y"), (5, ""))]
+    kinds = ("long", "string", "int", "string", "array<int>", "double", "string", "string", "string", "string", "string")
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` {k}" for c, k in zip(cols, kinds, strict=True)))
+    out = op5_lines.without_repeats(df)
+    assert out.columns == df.columns
+    assert sorted(tuple(r) for r in out.collect()) == [(i, t, n, *rows[0][3:]) for i, t, n in ((1, "x\ny", 3), (2, "z", 1), (3, None, None), (5, "", 0))]
+
+
 def test_within_one():
     r = np.random.default_rng(2)
     for _ in range(2000):
@@ -368,6 +465,17 @@ def test_jaccard_signatures_meet():
 # 7 ---------------------------------------------------------------------------
 
 
+def test_warc_reads_archives_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(op7_warc, "ARCHIVE_BYTES", 2000)
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(40)], "page_id long, url string, html string")
+    manifest = op7_warc.write_archives(pages, f"file://{tmp_path}/warc")
+    out = op7_warc.read_archives(manifest)
+    n = manifest.count()
+    assert n > 4
+    tasks = out.select(F.spark_partition_id().alias("p"), "archive").distinct().collect()
+    assert len({r.p for r in tasks}) == n == len(tasks)
+
+
 def test_warc(spark):
     r = np.random.default_rng(0)
     rows = [(i, f"http://x/{i}", f"<p>{r.integers(0, 40)}</p>" * 20, "w") for i in range(300)]
@@ -411,6 +519,13 @@ def test_pack(spark, docs):
     assert op8_pack.pack_documents(docs.limit(0)).count() == 0
 
 
+def test_pack_shards_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(op8_pack, "SHARD_PIECES", 50)
+    df = spark.createDataFrame([(i, None) for i in range(400)], "doc_id long, text string")
+    out = op8_pack.pack_documents(df).collect()
+    assert len(out) == 400 and len({r.sequence_id >> 32 for r in out}) > 4
+
+
 def test_pack_wastes_little():
     lengths = np.random.default_rng(0).integers(1, 2049, 20_000).tolist()
     out = op8_pack.pack(lengths)
@@ -447,6 +562,17 @@ def test_quality_prior_holds_under_the_cap(spark, monkeypatch):
     assert np.mean(scores) == pytest.approx(in_all[1] / len(eligible), abs=0.07)  # a half if the sample's own ratio were the prior
 
 
+def test_quality_collects_a_bounded_sample(spark, monkeypatch):
+    rows = [(i % 30, f"text {i} of {i % 30} " * 20) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    found, in_all = op9_quality.training_rows(docs, labels)
+    assert len(found) == sum(in_all.values()) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(30))
+    monkeypatch.setattr(op9_quality, "SAMPLE_CHARS", 1500)
+    some, same = op9_quality.training_rows(docs, labels)
+    assert same == in_all and len(some) < len(found) and all(sum(len(t) for t, q in some if q == k) <= 1500 for k in (0, 1))
+
+
 def test_quality_odd_rows(spark, docs, none):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     got = op9_quality.quality(docs, labels)
