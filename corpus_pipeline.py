@@ -43,7 +43,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mixture", mixture), ("packing", packing)]
 
-#: The classifier's scores and the tokenizer's ids are not expressible in SQL; tests/test_pipeline.py holds brute-force versions of the stages.
+#: The classifier's scores and the tokenizer's ids are not expressible in SQL; tests/llm/test_pipeline.py holds brute-force versions of the stages.
 ORACLE_SQL: str | None = None
 
 
