@@ -6,7 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Module names that belong to the runtime.
-BUILTINS = ("assert", "buffer", "child_process", "crypto", "events", "fs", "http", "https", "net", "os", "path", "process", "stream", "url", "util", "zlib")
+BUILTINS = (
+    "assert", "async_hooks", "buffer", "child_process", "cluster", "console", "constants", "crypto", "dgram", "diagnostics_channel", "dns", "domain", "events", "fs", "http", "http2", "https", "inspector", "module",
+    "net", "os", "path", "perf_hooks", "process", "punycode", "querystring", "readline", "repl", "stream", "string_decoder", "sys", "timers", "tls", "trace_events", "tty", "url", "util", "v8", "vm", "wasi", "worker_threads", "zlib",
+)
+#: Fixed value: the endings that a module's name leaves out.
+MODULE_ENDING = r"(\.d)?\.(tsx?|mts|cts|jsx?|mjs|cjs)$"
 
 
 def normalize_path(p: Column) -> Column:
@@ -42,23 +47,51 @@ def ancestors(p: Column) -> Column:
     return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).otherwise(F.array().cast("array<string>"))
 
 
+def package_name(s: Column) -> Column:
+    """Scope and name, or name, of the package a specifier is from."""
+    return F.when(s.startswith("@"), F.substring_index(s, "/", 2)).otherwise(F.substring_index(s, "/", 1))
+
+
 def package_key(s: Column) -> Column:
-    """The package a specifier is from: scope and name, or name; runtime modules get the prefix node:."""
-    bare = F.regexp_replace(s, "^node:", "")
-    name = F.when(bare.startswith("@"), F.substring_index(bare, "/", 2)).otherwise(F.substring_index(bare, "/", 1))
+    """The package a specifier is from; runtime modules get the prefix node:."""
+    name = package_name(F.regexp_replace(s, "^node:", ""))
     return F.when(s.startswith("node:") | name.isin(*BUILTINS), F.concat(F.lit("node:"), name)).otherwise(name)
 
 
+def is_subpath(s: Column) -> Column:
+    """Whether a specifier names more than its package."""
+    bare = F.regexp_replace(s, "^node:", "")
+    return bare != package_name(bare)
+
+
 def slug(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(s), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def identifier(p: Column) -> Column:
-    """A name for a file's default export: its words joined, each after the first capitalised; '_' before a digit."""
-    stem = F.regexp_replace(basename(p), r"\..*$", "")
-    words = F.filter(F.split(stem, "[^A-Za-z0-9]+"), lambda x: x != "")
-    out = F.array_join(F.transform(words, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1000)))), "")
-    return F.when(out.rlike("^[0-9]"), F.concat(F.lit("_"), out)).otherwise(out)
+def default_export_name(p: Column) -> Column:
+    """A name for a file's default export: words of its name, or of its folder's for an index file, joined; each after the first capitalised."""
+    parts = F.split(F.regexp_replace(p, MODULE_ENDING, ""), "/")
+    stem = F.when((F.element_at(parts, -1) == "index") & (F.size(parts) > 1), F.try_element_at(parts, F.lit(-2))).otherwise(F.element_at(parts, -1))
+    words = F.filter(F.split(stem, "[^A-Za-z0-9_$]+"), lambda x: x != "")
+    out = F.array_join(F.transform(words, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 2147483647)))), "")
+    return F.when(out == "", "defaultExport").when(out.rlike("^[0-9]"), F.concat(F.lit("_"), out)).otherwise(out)
+
+
+def reexport_specifier(public: Column, target: Column) -> Column:
+    """The relative specifier by which a public file names a target."""
+    folders, to = F.slice(F.split(public, "/"), F.lit(1), F.size(F.split(public, "/")) - 1), F.split(F.regexp_replace(target, MODULE_ENDING, ""), "/")
+    most = F.least(F.size(folders), F.size(to) - 1)
+    same = F.zip_with(F.slice(folders, F.lit(1), most), F.slice(to, F.lit(1), most), lambda a, b: a == b)
+    first = F.array_position(same, False).cast("int")
+    shared = F.when(first > 0, first - 1).otherwise(most)
+    up, rest = F.size(folders) - shared, F.array_join(F.slice(to, shared + 1, F.size(to)), "/")
+    return F.when(up == 0, F.concat(F.lit("./"), rest)).otherwise(F.concat(F.array_join(F.array_repeat(F.lit("../"), up), ""), rest))
+
+
+def version_status(v: Column, major: int, minor: int) -> Column:
+    """supported, newer or invalid, of a '<major>.<minor>' string against the version served."""
+    a, b = (F.regexp_extract(v, r"^(\d+)\.(\d+)$", k).try_cast("int") for k in (1, 2))
+    return F.when(v.isNull() | a.isNull() | (a < major), "invalid").when((a > major) | (b > minor), "newer").otherwise("supported")
 
 
 def truncate_middle(s: Column, most: int) -> Column:
@@ -77,7 +110,9 @@ def escape_data(s: Column) -> Column:
     return F.replace(F.replace(out, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
 
 
-def match_score(label: Column, query: str) -> Column:
-    """3 equal, 2 prefix, 1 at the start of a word, 0.5 anywhere, 0 not at all."""
-    low, q = F.lower(label), query.lower()
-    return F.when(low == q, 3.0).when(low.startswith(q), 2.0).when(F.concat(F.lit(" "), F.regexp_replace(low, "[^a-z0-9]", " ")).contains(" " + q), 1.0).when(low.contains(q), 0.5).otherwise(0.0)
+def match_score(kind: Column, label: Column, query: str) -> Column:
+    """0 equal (0.5 but for case), 1 prefix of the label or of a file's name, 2 at the start of a part after one of / - _ ., 3 anywhere, null not at all."""
+    key, q = F.lower(label), query.strip().lower()
+    prefix = key.startswith(q) | ((kind == "file") & F.substring_index(key, "/", -1).startswith(q))
+    inner = F.exists(F.sequence(F.lit(2), F.greatest(F.length(key), F.lit(2))), lambda i: F.substring(key, i - 1, F.lit(1)).isin("/", "-", "_", ".") & (F.substring(key, i, F.lit(len(q))) == q))
+    return F.when(~key.contains(q) | F.lit(q == ""), None).when(key == q, F.when(label == query.strip(), 0.0).otherwise(0.5)).when(prefix, 1.0).when(inner, 2.0).otherwise(3.0)

@@ -37,9 +37,9 @@ def undeclared_keys(found: DataFrame, declared: DataFrame, keys: list[str]) -> D
     return found.groupBy(*keys).agg(F.count("*").alias("uses")).join(declared, keys, "left_anti")
 
 
-def grouped_imports(edges: DataFrame, declared: DataFrame, is_private: F.Column | None = None) -> DataFrame:
-    """Imports of pairs that are not declared: a statement per (file, line, target) once, the first names win."""
-    first = edges.where("src <> dst").join(declared, PAIR, "left_anti").groupBy(*PAIR, "file", "line", "target").agg(F.min("name").alias("name"))
+def grouped_imports(statements: DataFrame, declared: DataFrame) -> DataFrame:
+    """Imports of pairs that are not declared: of the statements (stmt) of one (file, line, target) the first one's names win."""
+    first = statements.where("src <> dst").join(declared, PAIR, "left_anti").groupBy(*PAIR, "file", "line", "target").agg(F.min_by("name", F.struct("stmt", "name")).alias("name"))
     return first.groupBy(*PAIR).agg(F.count("*").alias("statements"), F.countDistinct("target").alias("targets"), F.min("name").alias("least_name"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concord.functions.paths import match_score
+
 
 def bench_summary(samples: DataFrame) -> DataFrame:
     """samples(scenario, ms) -> runs, median (mean of the two middle ones), p95 (nearest rank), min, max, to 0.1."""
@@ -34,13 +36,21 @@ def per_group(findings: DataFrame) -> DataFrame:
     return findings.select("rule", g.alias("grp")).groupBy("rule", F.coalesce("grp", F.lit("no group")).alias("grp")).agg(F.count("*").alias("n"))
 
 
-#: Words that give no reason.
-FILLER = ("a", "an", "and", "code", "for", "is", "it", "its", "logic", "module", "needed", "of", "stuff", "the", "things", "this", "to", "used", "uses", "with")
+#: Words that give no reason. The pattern of a word is fixed too.
+FILLER = ("a", "an", "and", "the", "it", "on", "to", "for", "uses", "use", "needs", "need", "calls", "call", "imports", "import", "depends", "depend")
+WORD = r"[\p{L}\p{N}@:/._-]+"
 
 
-def reason_advice(texts: DataFrame, least: int = 3) -> DataFrame:
-    """texts(at, text) -> at, why: generic (filler words only) or short (fewer than `least` other words)."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}@:/._-]+"), F.lit(0))
-    left = F.size(F.filter(words, lambda w: ~w.isin(*FILLER)))
-    why = F.when(left == 0, "generic").when(left < least, "short")
+def reason_advice(texts: DataFrame, names: tuple[str, ...] = (), least: int = 3) -> DataFrame:
+    """texts(at, text) -> at, why: generic (only filler words and names of groups) or short (fewer than `least` words in all)."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    rest = F.filter(words, lambda w: ~w.isin(*FILLER) & ~F.regexp_replace(w, "[.:]+$", "").isin(*names))
+    why = F.when(F.size(rest) == 0, "generic").when(F.size(words) < least, "short")
     return texts.withColumn("why", why).where("why is not null").select("at", "why")
+
+
+def search(items: DataFrame, query: str, limit: int) -> DataFrame:
+    """items(kind, label) -> kind, label, score of the best: equal, then prefixes, then starts of a part of the name, then anywhere; groups before exports before files, short before long."""
+    found = items.withColumn("score", match_score(F.col("kind"), F.col("label"), query)).where("score is not null")
+    rank = F.when(F.col("kind") == "bucket", 0).when(F.col("kind") == "export", 1).otherwise(2)
+    return found.orderBy("score", rank, F.length("label"), "label").limit(limit).select("kind", "label", "score")

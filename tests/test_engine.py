@@ -26,12 +26,23 @@ def test_normalize_path(spark, p, want):
         ("src/**", ["src/a", "src/a/b"], ["src", "srcx/a"]),
         ("a?c", ["abc"], ["ac", "a/c"]),
         ("{a,b}/x", ["a/x", "b/x"], ["c/x"]),
-        ("[!a]x", ["bx"], ["ax", "/x"]),
+        ("[!a]x", ["bx", "/x"], ["ax"]),
         ("[a&&b]", ["a", "&"], ["c"]),
         ("{a", ["{a"], ["a"]),
         ("[a", ["[a"], ["a"]),
         ("**/*.d.ts", ["a.d.ts", "x/a.d.ts"], ["adxts"]),
-        ("a**b", ["axxb"], ["a/b"]),
+        ("a**b", ["axxb", "a/b"], ["a/c"]),
+        ("{src/**,lib}", ["src/x/y.ts", "lib"], ["lib/x"]),
+        ("./src/**", ["src/a"], ["lib/a"]),
+        ("src/***", ["src/a/b.ts"], ["lib/a.ts"]),
+        ("src/**.ts", ["src/a.ts", "src/a/b.ts"], ["src/a.js"]),
+        ("src/**/a/**/*.ts", ["src/a/x.ts", "src/q/a/r/x.ts"], ["src/q/b/x.ts"]),
+        ("**/x/**/y/**/*.ts", ["x/y/a.ts", "p/x/q/y/r/a.ts"], ["x/a.ts", "y/x/a.ts"]),
+        ("src/*a*b*c*.ts", ["src/abc.ts", "src/xaybzc1.ts"], ["src/acb.ts", "src/a/bc.ts"]),
+        ("a**b**c**d", ["abcd", "a/b/c/d", "axbxcxd"], ["abdc"]),
+        ("{src,lib}/**/{a,b}*.ts", ["src/a.ts", "lib/x/b2.ts"], ["src/c.ts", "app/a.ts"]),
+        ("**a" * 8 + "Z", ["a" * 30 + "Z"], ["a" * 200 + ".ts"]),
+        ("src/" + "*a" * 20 + "Z", ["src/" + "a" * 30 + "Z"], ["src/" + "a" * 200 + ".ts"]),
     ],
 )
 def test_globs(spark, glob, yes, no):
@@ -53,10 +64,14 @@ def test_ownership(spark):
     assert hits == {0: 3, 1: 2, 2: 1, 3: 1, 4: 1, 5: 2, 6: 0, 7: 1, 8: 0}
 
 
-def test_topmost(spark):
-    rows = [(f"a/b/{i}", True) for i in range(3)] + [(f"a/c/{i}", True) for i in range(3)] + [("d/x", True), ("e/1", False), ("e/f/1", True)]
-    got = rollup.topmost_flagged(spark.createDataFrame(rows, "path string, flag boolean"), 2).collect()
-    assert [tuple(r) for r in got] == [("a", 6)]
+def test_group_unowned(spark):
+    rows = [(f"a/b/{i}", True) for i in range(3)] + [(f"a/c/{i}", True) for i in range(3)] + [("d/x", True), ("e/1", False), ("e/f/1", True), ("e/f/2", True), ("root", True), ("q/z", False)]
+    group = lambda r, n: sorted(tuple(x) for x in rollup.group_unowned(spark.createDataFrame(r, "path string, flag boolean"), n).collect())
+    # a is a top folder with folders; d has one file; q holds nothing unowned and does not count
+    assert group(rows, 2) == [("a/b/**", 3), ("a/c/**", 3), ("d/x", None), ("e/f/**", 2), ("root", None)]
+    # a chain of only folders below a top one is skipped, and so is one with over half of the files
+    chain = [(f"a/b/c/{i}/{j}", True) for i in range(2) for j in range(3)] + [("z/y/1", True)]
+    assert group(chain, 3) == [("a/b/c/0/**", 3), ("a/b/c/1/**", 3), ("z/y/1", None)]
 
 
 def test_merge_lists(spark):
@@ -86,19 +101,39 @@ def test_paths_to_the_end(spark):
         return [p for x, y in set(pairs) if x == path[-1] and y not in path for p in brute([*path, y], b)]
 
     assert sorted(r.path for r in graph.simple_paths(e, 1, 9).collect()) == sorted(brute([1], 9))  # 7 and 8 steps
-    assert sorted(r.path for r in graph.simple_paths(e, 1, 9, 7).collect()) == sorted(p for p in brute([1], 9) if len(p) <= 8)
+    listed = graph.path_list(graph.simple_paths(e, 1, 9), 1).orderBy("place").collect()
+    assert [r.path for r in listed] == sorted(brute([1], 9), key=lambda p: (len(p), p))[:1] and all(r.more for r in listed)
     assert graph.simple_paths(e, 99, 1).count() == 0
 
 
-def test_bounds_are_errors(spark):
+def test_graphs_to_the_end(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(8)], "src int, dst int")
-    start, nodes = spark.createDataFrame([(0,)], "start int"), spark.createDataFrame([(i,) for i in range(9)], "node int")
-    assert graph.shortest_paths(chain, start, 8).count() == 8 and graph.layers(chain, nodes, 8).agg(F.max("height")).first()[0] == 8
-    ring = chain.unionByName(spark.createDataFrame([(8, 0)], "src int, dst int"))
-    assert graph.representative_cycles(ring, 9).first().path == [*range(9), 0]
-    for cut_short in (lambda: graph.shortest_paths(chain, start, 7), lambda: graph.layers(chain, nodes, 7), lambda: graph.layers(ring, nodes, 30), lambda: graph.representative_cycles(ring, 6)):
-        with pytest.raises(ValueError):
-            cut_short()
+    start, nodes = spark.createDataFrame([(0,)], "start int"), spark.createDataFrame([(i,) for i in range(10)], "node int")
+    assert graph.shortest_paths(chain, start).count() == 8 and graph.layers(chain, nodes).agg(F.max("height")).first()[0] == 8
+    ring = chain.unionByName(spark.createDataFrame([(8, 0), (9, 4)], "src int, dst int"))
+    assert graph.representative_cycles(ring).first().path == [*range(9), 0]
+    assert {r.node: r.height for r in graph.layers(ring, nodes).collect()} == {9: 1} | {i: 0 for i in range(9)}
+
+
+def test_split_groups(spark):
+    uses = [("f", "a", "x"), ("f", "b", "x"), ("f", "c", "y:z"), ("f:y", "c", "z"), ("g", "a", "x"), ("g", "b", "x"), ("h", "a", "x"), ("h", "b", "y"), ("h", "c", None)]
+    got = graph.split_groups(spark.createDataFrame(uses, "file string, dependent string, name string")).collect()
+    assert sorted(tuple(r) for r in got) == [("f", "a", "a"), ("f", "b", "a"), ("f", "c", "c")]
+
+
+def test_names(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    L = F.lit
+    for path, want in (("a/my-file.d.ts", "myFile"), ("a/b/index.ts", "b"), ("index.ts", "index"), ("a/9-x.js", "_9X"), ("a/_p$.tsx", "_p$"), ("a/--.ts", "defaultExport"), ("a/x.test.ts", "xTest")):
+        assert one(paths.default_export_name(L(path))) == want
+    for public, target, want in (("a/index.ts", "a/b/c.ts", "./b/c"), ("a/b/index.ts", "a/c.d.ts", "../c"), ("index.ts", "x.js", "./x"), ("a/b/c.ts", "q/r.ts", "../../q/r"), ("a/b/c.ts", "a/b.ts", "../b")):
+        assert one(paths.reexport_specifier(L(public), L(target))) == want
+    for v, want in (("2.0", "supported"), ("2.1", "supported"), ("2.2", "newer"), ("3.0", "newer"), ("1.9", "invalid"), ("2", "invalid"), (None, "invalid"), ("99999999999.0", "invalid")):
+        assert one(paths.version_status(L(v).cast("string"), 2, 1)) == want
+    for s, key, sub in (("fs/promises", "node:fs", True), ("node:readline", "node:readline", False), ("worker_threads", "node:worker_threads", False), ("@s/p/x", "@s/p", True), ("lodash", "lodash", False)):
+        assert (one(paths.package_key(L(s))), one(paths.is_subpath(L(s)))) == (key, sub)
+    for kind, label, q, want in (("bucket", "ab", "AB", 0.5), ("bucket", "ab", "ab", 0.0), ("file", "x/abc", "ab", 1.0), ("export", "x/abc", "ab", 2.0), ("export", "xabc", "ab", 3.0), ("export", "x", "ab", None), ("export", "a b", "b", 3.0)):
+        assert one(paths.match_score(L(kind), L(label), q)) == want, (kind, label)
 
 
 EVENTS = [(s, i, ["edit", "edit", "stop", "edit", "reset", "edit"][i % 6], ["a,b", "b", "", "a", "", "b,c"][(i * s) % 6]) for s in (1, 2, 3) for i in range(12)]
@@ -160,14 +195,15 @@ def test_resolve(spark):
     assert kept == 6
 
 
-def test_all_edges_are_all_lines(spark):
+def test_edges_are_all_lines(spark):
     from concord import registry
     from concord.sources import tables
 
     sf = "/root/testdata/sf0.001"
-    assert tables.all_edges(spark, sf).count() == tables.table(spark, sf, "lineitem").count() > tables.edges(spark, sf).count()
-    pairs = registry.queries()["pair_counts_all"](spark, sf).agg(F.sum("imports")).first()[0]
-    assert pairs == tables.all_edges(spark, sf).where("src <> dst").count()
+    assert tables.edges(spark, sf).count() == tables.table(spark, sf, "lineitem").count()
+    pairs = registry.queries()["pair_counts"](spark, sf).agg(F.sum("imports")).first()[0]
+    assert pairs == tables.edges(spark, sf).where("src <> dst").count()
+    assert "l_quantity" not in registry.oracle_sql()["pair_counts"]
 
 
 def test_all_lines_are_resolved(spark):
@@ -175,8 +211,8 @@ def test_all_lines_are_resolved(spark):
     from concord.sources import tables
 
     sf = "/root/testdata/sf0.001"
-    got = registry.queries()["resolved_imports_all"](spark, sf)
-    assert "WHERE l_quantity" not in registry.oracle_sql()["resolved_imports_all"]
+    got = registry.queries()["resolved_imports"](spark, sf)
+    assert "WHERE l_quantity" not in registry.oracle_sql()["resolved_imports"]
     l = tables.table(spark, sf, "lineitem")
     assert got.select("file").distinct().count() == l.select("l_partkey").distinct().count()
     assert got.count() == l.selectExpr("l_partkey", "l_suppkey * 3 + l_linenumber").distinct().count()
