@@ -65,7 +65,9 @@ def is_subpath(s: Column) -> Column:
 
 
 def slug(s: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(s), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """A name of a-z, 0-9 and '-' that starts with a letter; 'bucket' if nothing is left."""
+    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(s), "[^a-z0-9-]+", "-"), "^[^a-z]+", ""), "-+$", "")
+    return F.when(out == "", "bucket").otherwise(out)
 
 
 def default_export_name(p: Column) -> Column:
@@ -95,8 +97,8 @@ def version_status(v: Column, major: int, minor: int) -> Column:
 
 
 def truncate_middle(s: Column, most: int) -> Column:
-    left = (most - 3 + 1) // 2
-    right = most - 3 - left
+    keep = max(most - 3, 2)
+    left, right = (keep + 1) // 2, keep // 2
     return F.when(F.length(s) <= most, s).otherwise(F.concat(F.substring(s, 1, left), F.lit("..."), F.substring(s, -right, right)))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from concord.functions import paths as P
+
 PAIR = ["src", "dst"]
 
 
@@ -63,3 +65,18 @@ def top_dependents(declared: DataFrame, n: int = 3) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("dst").orderBy("src"))
     top = declared.withColumn("rank", rank).where(F.col("rank") <= n)
     return top.groupBy("dst").agg(F.array_join(F.transform(F.array_sort(F.collect_list("src")), lambda x: x.cast("string")), ",").alias("dependents"))
+
+
+def reexports(imports: DataFrame) -> DataFrame:
+    """imports(public, target, name or null for none, type_only, is_type) -> public, target, types, text: the statements by which a public file would export what is imported; a name is a type only if no import takes it as a value."""
+    name = F.when(F.col("name").isNull(), "name").when(F.col("name") == "default", F.concat(F.lit("default as "), P.default_export_name(F.col("target")))).otherwise(F.col("name"))
+    as_type = F.col("name").isNotNull() & (F.coalesce("type_only", F.lit(False)) | F.coalesce("is_type", F.lit(False)))
+    each = imports.select("public", "target", name.alias("shown"), as_type.alias("types")).groupBy("public", "target", "shown").agg(F.bool_and("types").alias("types"))
+    names = each.groupBy("public", "target", "types").agg(F.array_join(F.array_sort(F.collect_list("shown")), ", ").alias("names"))
+    text = F.concat(F.lit("export "), F.when(F.col("types"), "type ").otherwise(""), F.lit("{ "), "names", F.lit(" } from '"), P.reexport_specifier(F.col("public"), F.col("target")), F.lit("'"))
+    return names.select("public", "target", "types", text.alias("text"))
+
+
+def first_export(public: DataFrame, exports: DataFrame) -> DataFrame:
+    """public(grp, ord, file), exports(file, name) -> grp, name, file: the first public file of a group that exports the name."""
+    return exports.join(public, "file").groupBy("grp", "name").agg(F.min_by("file", "ord").alias("file"))

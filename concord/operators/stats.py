@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concord.functions import text as X
 from concord.functions.paths import match_score
 
 
@@ -18,10 +19,18 @@ def bench_summary(samples: DataFrame) -> DataFrame:
 
 
 def judge(now: DataFrame, baseline: DataFrame, tolerance: float = 0.2) -> DataFrame:
-    """(scenario, median, p95) against (scenario, budget, was) -> scenario, status."""
-    j = now.join(baseline, "scenario")
-    status = F.when(F.col("p95") > F.col("budget"), "over budget").when(F.col("median") > F.col("was") * (1 + tolerance), "slower").otherwise("ok")
-    return j.select("scenario", status.alias("status"))
+    """(scenario, median, p95) against (scenario, budget, was) -> scenario, reasons: why it fails, in an array, empty if it does not. A null budget or baseline judges nothing."""
+    j = now.join(baseline, "scenario", "left")
+    ms = lambda c: X.rounded(F.col(c))
+    over = F.when(F.col("p95") > F.col("budget"), F.concat(F.lit("p95 "), ms("p95"), F.lit(" ms is over the budget of "), ms("budget"), F.lit(" ms")))
+    share = F.floor((F.col("median") / F.col("was") - 1) * 100 + 0.5).cast("string")
+    slow = F.when((F.col("was") > 0) & (F.col("median") > F.col("was") * (1 + tolerance)), F.concat(F.lit("median "), ms("median"), F.lit(" ms is "), share, F.lit("% over the baseline of "), ms("was"), F.lit(" ms")))
+    return j.select("scenario", F.array_compact(F.array(over, slow)).alias("reasons"))
+
+
+def twice_failed(before: DataFrame, now: DataFrame) -> DataFrame:
+    """Of two runs' judge(): the scenarios that failed in both, with the later reasons; one failure alone counts as noise."""
+    return now.where("size(reasons) > 0").join(before.where("size(reasons) > 0").select("scenario"), "scenario", "left_semi")
 
 
 def exit_code(findings: DataFrame) -> DataFrame:
@@ -36,15 +45,10 @@ def per_group(findings: DataFrame) -> DataFrame:
     return findings.select("rule", g.alias("grp")).groupBy("rule", F.coalesce("grp", F.lit("no group")).alias("grp")).agg(F.count("*").alias("n"))
 
 
-#: Words that give no reason. The pattern of a word is fixed too.
-FILLER = ("a", "an", "and", "the", "it", "on", "to", "for", "uses", "use", "needs", "need", "calls", "call", "imports", "import", "depends", "depend")
-WORD = r"[\p{L}\p{N}@:/._-]+"
-
-
 def reason_advice(texts: DataFrame, names: tuple[str, ...] = (), least: int = 3) -> DataFrame:
     """texts(at, text) -> at, why: generic (only filler words and names of groups) or short (fewer than `least` words in all)."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
-    rest = F.filter(words, lambda w: ~w.isin(*FILLER) & ~F.regexp_replace(w, "[.:]+$", "").isin(*names))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(X.WORD), F.lit(0))
+    rest = F.filter(words, lambda w: ~w.isin(*X.FILLER) & ~F.regexp_replace(w, "[.:]+$", "").isin(*names))
     why = F.when(F.size(rest) == 0, "generic").when(F.size(words) < least, "short")
     return texts.withColumn("why", why).where("why is not null").select("at", "why")
 

@@ -374,7 +374,7 @@ def exit_code(spark, sf):
     return stats.exit_code(T.table(spark, sf, "events").select(kind.alias("kind")))
 
 
-@query(f"WITH {FILES} SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, string_split(path, '/')[-1] AS base, regexp_replace(regexp_replace(lower(path), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, CASE WHEN length(path) <= 20 THEN path ELSE left(path, 9) || '...' || right(path, 8) END AS short, len(string_split(path, '/')) - 1 AS depth FROM f")
+@query(f"WITH {FILES} SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, string_split(path, '/')[-1] AS base, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(path), '[^a-z0-9-]+', '-', 'g'), '^[^a-z]+', ''), '-+$', ''), ''), 'bucket') AS slug, CASE WHEN length(path) <= 20 THEN path ELSE left(path, 9) || '...' || right(path, 8) END AS short, len(string_split(path, '/')) - 1 AS depth FROM f")
 def path_functions(spark, sf):
     p = F.col("path")
     return T.page_files(spark, sf).select("path", P.dirname(p).alias("folder"), P.basename(p).alias("base"), P.slug(p).alias("slug"), P.truncate_middle(p, 20).alias("short"), F.size(P.ancestors(p)).cast("long").alias("depth"))
@@ -400,7 +400,7 @@ def annotations(spark, sf):
     return reports.annotations(p.select(F.col("url").alias("file"), F.col("page_id").alias("line"), F.concat(F.lit("page "), F.col("page_id").cast("string"), F.lit(" of 100%")).alias("text")))
 
 
-@query()
+@query(f"WITH {EDGES}, {DECLARED}, u AS (SELECT src, dst, min((file, line)) AS m FROM e WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM d WHERE d.src = e.src AND d.dst = e.dst) GROUP BY ALL) SELECT json_object('ruleId', 'undeclared', 'message', json_object('text', src || ' to ' || dst), 'locations', json_array(json_object('physicalLocation', json_object('artifactLocation', json_object('uri', m[1]::VARCHAR), 'region', json_object('startLine', m[2])))))::VARCHAR AS text FROM u")
 def sarif_results(spark, sf):
     u = relations.undeclared(T.edges(spark, sf), T.declared(spark, sf))
     return reports.sarif_results(u.select(F.lit("undeclared").alias("rule"), F.col("first_file").cast("string").alias("file"), F.col("first_line").alias("line"), F.concat_ws(" to ", "src", "dst").alias("text")))
@@ -420,6 +420,7 @@ def session_decisions(spark, sf):
 
 
 import concord.registry_rules  # noqa: E402,F401  adds its queries
+import concord.registry_text  # noqa: E402,F401  adds its queries
 
 
 def queries() -> dict[str, Query]:
