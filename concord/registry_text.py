@@ -9,6 +9,7 @@ from concord.functions import paths as P
 from concord.functions import text as X
 from concord.operators import diagrams, diff, relations, sources, stats
 from concord.registry import DECLARED, EDGES, FILES, query
+from concord.sources import scanner
 from concord.sources import tables as T
 
 
@@ -183,3 +184,22 @@ def merged_sets(spark, sf):
 def joined_names(spark, sf):
     names = T.table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set(F.col("o_orderkey").cast("string"))).alias("names"))
     return names.select("o_custkey", P.join_and(F.col("names")).alias("names"))
+
+
+#: A source for each part, of five lines; the second import of the first line stands in a comment.
+SOURCE = "concat('import d, { a as b, type T', p_size, ' } from \"./m', p_partkey, '\"; // import \"./no\"\n', 'const s = \\'export * from \"x\"\\'\n', 'export { n', p_size, ' as q } from \"', p_brand, '\"\n', 'const { z } = await import(`./l/', p_partkey, '`)\n', 'export function f', p_partkey % 9, '() { return require(\"k\") }')"
+
+
+def _sources(spark, sf):
+    return T.table(spark, sf, "part").select(F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.lit(".ts")).alias("path"), F.expr(SOURCE).alias("text"))
+
+
+@query("SELECT 'src/p' || p_partkey || '.ts' AS path, kind, specifier, line::INT AS line, star, names FROM part, LATERAL (VALUES ('static', './m' || p_partkey, 1, false, 'default,a,type T' || p_size), ('static', p_brand, 3, false, 'n' || p_size), ('dynamic', './l/' || p_partkey, 4, false, 'z'), ('require', 'k', 5, true, '')) t(kind, specifier, line, star, names)")
+def scanned_imports(spark, sf):
+    names = F.array_join(F.transform("names", lambda n: F.concat(F.when(n["type_only"], "type ").otherwise(""), n["name"])), ",")
+    return scanner.scan_files(_sources(spark, sf)).select("path", "kind", "specifier", "line", "star", names.alias("names"))
+
+
+@query("SELECT 'src/p' || p_partkey || '.ts' AS path, name, line::INT AS line, false AS type_only FROM part, LATERAL (VALUES ('q', 3), ('f' || p_partkey % 9, 5)) t(name, line)")
+def scanned_exports(spark, sf):
+    return scanner.scan_files(_sources(spark, sf), exports=True)
