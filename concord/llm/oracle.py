@@ -4,6 +4,29 @@ The others are checked in tests/llm: op1's takings follow a hash that DuckDB has
 op8 need the tokenizers, op3, op4, op5 and op9 a procedure, op7 writes and reads files.
 """
 
+
+def _crc_nibbles() -> list[int]:
+    out = list(range(16))
+    for _ in range(4):
+        out = [(c >> 1) ^ 0xEDB88320 if c & 1 else c >> 1 for c in out]
+    return out
+
+
+def _crc32(x: str) -> str:
+    """The CRC-32 of a text's bytes, half a byte at a time: DuckDB has no function for it."""
+    h = f"hex(encode({x}))"
+    bits = f"list_transform(range(len({h})), lambda i: CAST(strpos('0123456789ABCDEF', substr({h}, xor(i, 1) + 1, 1)) - 1 AS BIGINT))"
+    return f"xor(list_reduce({bits}, lambda c, b: xor(c >> 4, {_crc_nibbles()}[(xor(c, b) & 15) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _runs(table: str) -> str:
+    """The words of each text, and its runs of one to three."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = rf"SELECT *, regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {table}"
+    two, three = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])", "list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])"
+    return f"SELECT *, list_concat(w, {two}, {three}) AS runs FROM ({words})"
+
+
 _CLOSURE = "r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)"
 
 SQL: dict[str, str] = {
@@ -21,4 +44,16 @@ f AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_fil
 l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM f x JOIN f y ON x.label = y.label AND x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.93),
 {_CLOSURE}, c AS (SELECT a, min(b) AS least FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least, vec_id)) AS kept FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id""",
+    "op11_resample": f"""
+WITH w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, len(w) AS n_words, runs FROM ({_runs("documents")})),
+f AS (SELECT r, unnest(runs) AS f FROM w), g AS (SELECT unnest(runs) AS f FROM ({_runs("benchmark")})),
+b AS MATERIALIZED (SELECT f, {_crc32("f")} % 10000 AS b FROM (SELECT f FROM f UNION SELECT f FROM g)),
+s AS (SELECT b, count(*) AS s FROM f JOIN b USING (f) GROUP BY b), t AS (SELECT b, count(*) AS t FROM g JOIN b USING (f) GROUP BY b),
+n AS (SELECT (SELECT count(*) FROM f) AS s, (SELECT count(*) FROM g) AS t),
+k AS (SELECT s.b, CAST(floor(1000 * ln((coalesce(t.t, 0) + 1)::DOUBLE * (n.s + 10000) / ((s.s + 1)::DOUBLE * (n.t + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t ON t.b = s.b CROSS JOIN n),
+d AS (SELECT r, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN b USING (f) JOIN k USING (b) GROUP BY r),
+x AS (SELECT w.r, doc_id, n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN d USING (r)),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM x),
+z AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM y WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 5 * count(*) // 100 FROM z) THEN rank END AS rank FROM y LEFT JOIN z USING (r)""",
 }
