@@ -27,6 +27,23 @@ def _runs(table: str) -> str:
     return f"SELECT *, list_concat(w, {two}, {three}) AS runs FROM ({words})"
 
 
+def _add(x: str, cost: str, letter: str) -> str:
+    """A cost of nine digits and its audit, after one edit more in front."""
+    return f"(lpad(CAST(CAST({x}[1:9] AS INTEGER) + {cost} AS VARCHAR), 9, '0') || '{letter}' || {x}[10:])"
+
+
+def _repairs() -> str:
+    """The step from the states after a row (a0 to a3: nothing, system, user or assistant last) to those before it."""
+    anew, kept = (2, 2, 3, 2), {"s": {0: 1}, "u": {0: 2, 1: 2, 3: 2}, "a": {2: 3}}
+    on = []
+    for p in range(4):
+        keep = "".join(f" WHEN '{c}' THEN {_add(f'a{q[p]}', 'late', 'K')}" for c, q in kept.items() if p in q)
+        keep = f"CASE WHEN gone THEN '9' WHEN true THEN CASE code{keep} ELSE '9' END END" if keep else "'9'"
+        on.append(f"least({_add(f'a{p}', '2', 'D')}, {keep}, CASE WHEN gone THEN '9' ELSE {_add(f'a{anew[p]}', '1 + late', 'R')} END)")
+    inserted = [f"least(b{p}, {_add(f'b{anew[p]}', '5', 'I')}, {_add(_add(f'b{anew[anew[p]]}', '5', 'I'), '5', 'I')}) AS a{p}" for p in range(4)]
+    return f"SELECT conv_id, i, {', '.join(inserted)} FROM (SELECT conv_id, i, {', '.join(f'{x} AS b{p}' for p, x in enumerate(on))} FROM (SELECT d.conv_id, f.i, code, gone, late, a0, a1, a2, a3 FROM d JOIN f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.i = d.i - 1))"
+
+
 _CLOSURE = "r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)"
 
 SQL: dict[str, str] = {
@@ -56,4 +73,19 @@ x AS (SELECT w.r, doc_id, n_words, coalesce(n_features, 0) AS n_features, coales
 y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM x),
 z AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM y WHERE n_words >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 5 * count(*) // 100 FROM z) THEN rank END AS rank FROM y LEFT JOIN z USING (r)""",
+    "op12_repair": rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k FROM conversations),
+e AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank FROM e),
+m AS (SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+f AS MATERIALIZED (SELECT *, role[1] AS code, blank OR again AS gone, NOT blank AND NOT again AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS truncated, CASE WHEN truncated THEN 5 ELSE 0 END AS late FROM m),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (before IS NOT NULL AND before || code NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+d AS (SELECT conv_id, n + 1 AS i, '000000000' AS a0, '000000010II' AS a1, '000000005I' AS a2, '000000000' AS a3 FROM c UNION ALL {_repairs()}),
+s AS (SELECT conv_id, CAST(a0[1:9] AS BIGINT) AS cost, a0[10:] AS audit FROM d WHERE i = 1),
+l AS (SELECT conv_id, unnest(string_split(audit, '')) AS edit, unnest(range(1, len(audit) + 1)) AS j FROM s WHERE audit <> ''),
+p AS (SELECT *, count(*) FILTER (edit <> 'I') OVER w AS i, count(*) FILTER (edit <> 'D') OVER w AS place FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+q AS (SELECT p.*, f.role, f.text, CASE WHEN edit = 'K' AND code = 's' THEN 1 ELSE 0 END AS system FROM p LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i AND edit <> 'I' WHERE edit <> 'D'),
+r AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - (SELECT max(system) FROM q x WHERE x.conv_id IS NOT DISTINCT FROM q.conv_id)) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY j) AS t FROM q GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM a.conv_id""",
 }

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-NAMES = ("op1_mix", "op2_tokens", "op3_bm25", "op4_html", "op5_lines", "op6_jaccard", "op7_warc", "op8_pack", "op9_quality", "op10_embed", "op11_resample", "op13_repeats")
+NAMES = ("op1_mix", "op2_tokens", "op3_bm25", "op4_html", "op5_lines", "op6_jaccard", "op7_warc", "op8_pack", "op9_quality", "op10_embed", "op11_resample", "op12_repair", "op13_repeats")
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
