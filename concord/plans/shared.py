@@ -46,8 +46,6 @@ def scratch() -> Iterator[Scratch]:
         _outer.reset(tokens[0])
         for path, spark in s.paths.items():
             _delete(spark, path)
-        for spark in set(s.paths.values()):
-            reclaim(spark)
 
 
 def free(*tables: DataFrame) -> None:
@@ -58,11 +56,6 @@ def free(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df._concord_path)
 
 
-def reclaim(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are done: it does so when the driver collects its garbage."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; on a local master a temporary one where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -96,11 +89,22 @@ def _delete(spark: SparkSession, path: str) -> None:
     files.cancelDeleteOnExit(where)
 
 
+#: Spark's setting that drops the shuffle files of a query once it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: ends its lineage, and computes it once."""
+    """Write df to the shared folder and read it back: ends its lineage, and computes it once.
+
+    The shuffle files of the write go when it ends, for nothing reads them again.
+    """
     spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
+    path, was = new_path(spark, label), spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, was) if was is not None else spark.conf.unset(_CLEAN)
     out = spark.read.schema(df.schema).parquet(path)
     out._concord_path = path
     return out

@@ -11,7 +11,7 @@ from concord.llm.op5_lines import without_repeats
 from concord.llm.op6_jaccard import keep_one
 from concord.llm.op8_pack import pack_documents
 from concord.llm.op9_quality import keep_good
-from concord.plans.shared import cut
+from concord.plans.shared import cut, free, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -48,7 +48,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows; a corpus and its stage's tables are deleted once the next corpus is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"corpus-{name}")
+        with scratch() as made:
+            docs = made.keep(cut(stage(spark, docs, sf_dir), f"corpus-{name}"))
+        free(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
