@@ -111,14 +111,17 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, **options) -> DataFrame:
-    """The mix itself: rows of docs, all columns kept, each as often as it is taken."""
+    """The mix itself: rows of docs, all columns kept whatever their names, each as often as it is taken.
+
+    Nulls, ties and repeated rows are as in mix_report; an empty table gives no rows.
+    """
     _, need = mix_plan(docs, id_col, text_col, source_col, seed=seed, **options)
-    plan = need.select(F.struct("source", "whole", "below").alias("__mix"))
-    d = docs.withColumn("__h", hashed(docs, id_col, seed))
-    d = d.join(plan, F.col(source_col).eqNullSafe(F.col("__mix.source")))
-    often = F.col("__mix.whole") + F.when(F.shiftrightunsigned("__h", 64 - LEVEL_BITS * LEVELS) < F.col("__mix.below"), 1).otherwise(0)
-    d = d.withColumn("__n", often.cast("int")).where("__n > 0")
-    return d.withColumn("__k", F.explode(F.sequence(F.lit(1), "__n"))).select(*docs.columns)
+    plan = need.select(F.col("source").alias("of"), "whole", "below")
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{source_col}`").alias("source"), hashed(docs, id_col, seed).alias("h"))
+    d = d.join(plan, F.col("source").eqNullSafe(F.col("of")))
+    often = F.col("whole") + F.when(F.shiftrightunsigned("h", 64 - LEVEL_BITS * LEVELS) < F.col("below"), 1).otherwise(0)
+    d = d.withColumn("often", often.cast("int")).where("often > 0")
+    return d.select("row", F.explode(F.sequence(F.lit(1), "often"))).select("row.*")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -465,16 +465,18 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Of each group of linked documents the one with the smallest id, all columns kept; documents without an id or words stay.
 
     Of the rows that repeat an id one stays, the first by text and then by its other columns.
+    Null, empty and blank texts are linked with nothing; other columns may have any names.
     """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     found = jaccard_components(docs, n, percent)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*columns)
     repeated = cut(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "jaccard-repeated")
     if repeated.isEmpty():
         return kept
-    row = F.struct(*docs.columns)
+    row = F.struct(*columns)
     one = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row"))
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select("row.*"))
+    return kept.join(repeated, "doc_id", "left_anti").select(*columns).unionByName(one.select("row.*"))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
