@@ -10,6 +10,10 @@ BUILTINS = (
     "assert", "async_hooks", "buffer", "child_process", "cluster", "console", "constants", "crypto", "dgram", "diagnostics_channel", "dns", "domain", "events", "fs", "http", "http2", "https", "inspector", "module",
     "net", "os", "path", "perf_hooks", "process", "punycode", "querystring", "readline", "repl", "stream", "string_decoder", "sys", "timers", "tls", "trace_events", "tty", "url", "util", "v8", "vm", "wasi", "worker_threads", "zlib",
 )
+#: The runtime's modules below one of these names.
+BUILTIN_PARTS = (
+    "assert/strict", "dns/promises", "fs/promises", "inspector/promises", "path/posix", "path/win32", "readline/promises", "stream/consumers", "stream/promises", "stream/web", "timers/promises", "util/types",
+)
 #: Fixed value: the endings that a module's name leaves out.
 MODULE_ENDING = r"(\.d)?\.(tsx?|mts|cts|jsx?|mjs|cjs)$"
 
@@ -22,7 +26,7 @@ def normalize_path(p: Column) -> Column:
         F.array(F.lit("")),
         lambda acc, x: F.when(acc.isNull(), acc).when(x == "..", F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1))).otherwise(F.concat(acc, F.array(x))),
     )
-    return F.when(out.isNotNull(), F.array_join(F.slice(out, F.lit(2), F.greatest(F.size(out) - 1, F.lit(0))), "/"))
+    return F.array_join(F.filter(out, lambda x: x != ""), "/")
 
 
 def join_path(folder: Column, specifier: Column) -> Column:

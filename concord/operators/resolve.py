@@ -21,33 +21,38 @@ STAND_INS = {
     ".mjs": (".mts", ".d.mts", ".mjs"),
     ".cjs": (".cts", ".d.cts", ".cjs"),
 }
+AS_WRITTEN = (".ts", ".tsx", ".mts", ".cts")
 
 
 def is_source(path: Column) -> Column:
     return path.rlike(rf"\.({'|'.join(SOURCE_EXTENSIONS)})$")
 
 
-def candidates(path: Column) -> Column:
-    """Files that a path written without its real ending may mean, first choice first; null if it leaves the root."""
-    clean = P.normalize_path(path)
-    last = F.regexp_extract(P.basename(clean), r"^.+(\.[^.]*)$", 1)
-    index = F.when(clean == "", F.lit("index")).otherwise(F.concat(clean, F.lit("/index")))
+def completions(asked: DataFrame, written: str, exact: bool = False) -> DataFrame:
+    """Rows of asked by each file that the path in column written may mean: with path, and place (first choice first).
 
-    def ending(stem: Column, ends: tuple[str, ...]) -> Column:
-        return F.array(*[F.concat(stem, F.lit(e)) for e in ends])
-
-    out = F.when(clean.isNull() | path.startswith("/"), F.lit(None).cast("array<string>")).when(path.rlike(r"(^|/)\.{0,2}$"), ending(index, TRIED))
-    for written, ends in STAND_INS.items():
-        out = out.when(last == written, ending(F.substring(clean, F.lit(1), F.length(clean) - len(written)), ends))
-    return out.when(clean.rlike(r"\.([cm]?ts|tsx)$"), F.array(clean)).otherwise(F.concat(ending(clean, TRIED), ending(index, TRIED)))
+    The ending as written is looked up in a table of endings. Paths that leave the root, or
+    start at another, mean nothing. With exact, the path as it is comes too, at place -1.
+    """
+    clean = asked.withColumn("clean", P.normalize_path(F.col(written))).where(F.col("clean").isNotNull() & ~F.col(written).startswith("/"))
+    last = F.regexp_extract(P.basename(F.col("clean")), r"^.+(\.[^.]*)$", 1)
+    folder = F.col(written).rlike(r"(^|/)\.{0,2}$")
+    clean = clean.withColumn("ending", F.when(folder, "/").when(last.isin(*STAND_INS), last).when(last.isin(*AS_WRITTEN), "as written").otherwise("none"))
+    stem = F.when(F.col("ending").isin(*STAND_INS), F.expr("substring(clean, 1, length(clean) - length(ending))")).otherwise(F.col("clean"))
+    indexes = [f"/index{e}" for e in TRIED]
+    table = {**STAND_INS, "/": indexes, "as written": ("",), "none": (*TRIED, *indexes)}
+    rows = [(ending, place, tail) for ending, tails in table.items() for place, tail in enumerate(tails)]
+    rows += [(ending, -1, "") for ending in table if exact]
+    endings = asked.sparkSession.createDataFrame(rows, "ending string, place int, tail string")
+    path = F.when(F.col("place") < 0, F.col("clean")).otherwise(F.ltrim(F.concat(F.col("stem"), F.col("tail")), F.lit("/")))
+    return clean.withColumn("stem", stem).join(F.broadcast(endings), "ending").select(*asked.columns, path.alias("path"), "place")
 
 
 def resolve_relative(imports: DataFrame, files: DataFrame) -> DataFrame:
     """imports(file, specifier), files(path) -> every import with target, the file a relative specifier means, or null."""
     asked = imports.where(F.col("specifier").rlike(r"^\.\.?(/|$)")).select(P.dirname(F.col("file")).alias("folder"), "specifier").distinct()
-    written = F.when(F.col("folder") == "", F.col("specifier")).otherwise(F.concat_ws("/", "folder", "specifier"))
-    tried = asked.select("folder", "specifier", F.posexplode(candidates(written)).alias("place", "path"))
-    found = tried.join(files.select("path").distinct(), "path").groupBy("folder", "specifier").agg(F.min_by("path", "place").alias("target"))
+    asked = asked.withColumn("written", F.when(F.col("folder") == "", F.col("specifier")).otherwise(F.concat_ws("/", "folder", "specifier")))
+    found = completions(asked, "written").join(files.select("path").distinct(), "path").groupBy("folder", "specifier").agg(F.min_by("path", "place").alias("target"))
     return imports.withColumn("folder", P.dirname(F.col("file"))).join(found, ["folder", "specifier"], "left").select(*imports.columns, "target")
 
 

@@ -419,6 +419,7 @@ def session_decisions(spark, sf):
     return changes.fold_sessions(e.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), phase.alias("phase"), keys.alias("keys")))
 
 
+import concord.registry_resolve  # noqa: E402,F401  adds its queries
 import concord.registry_rules  # noqa: E402,F401  adds its queries
 import concord.registry_text  # noqa: E402,F401  adds its queries
 
