@@ -73,6 +73,28 @@ def public_missing(listed: DataFrame, files: DataFrame) -> DataFrame:
     return j.withColumn("why", why).where("why is not null").select("owner", "file", "why")
 
 
+def public_not_interface(public: DataFrame, code: DataFrame, reexports: DataFrame, owners: DataFrame, external: DataFrame, declared: DataFrame) -> DataFrame:
+    """What a public file holds beside named re-exports of its own group: grp, file, line, kind, specifier, source, source_grp.
+
+    public(grp, file); code(file, line); reexports(file, line, specifier, star, target); owners(file, grp),
+    one a file; external(grp): entries of a library, which may pass on by name what declared(src, dst)
+    offers. kind is code (the first line of it), export-star (once for each statement) or foreign-reexport
+    (once for each source, its first line; a source in two statements counts if either may not pass it on).
+    """
+    own = public.select("grp", "file").distinct()
+    first = code.groupBy("file").agg(F.min("line").alias("line"))
+    none = lambda c, kind="string": F.lit(None).cast(kind).alias(c)
+    lines = own.join(first, "file").select("grp", "file", "line", F.lit("code").alias("kind"), none("specifier"), none("source"), none("source_grp", own.schema["grp"].dataType))
+    passed = own.join(reexports, "file")
+    stars = passed.where("star").select("grp", "file", "line", F.lit("export-star").alias("kind"), "specifier", none("source"), none("source_grp", own.schema["grp"].dataType)).distinct()
+    foreign = passed.join(owners.select(F.col("file").alias("target"), F.col("grp").alias("source_grp")), "target").where("source_grp <> grp")
+    may = external.select("grp").join(declared.select(F.col("src").alias("grp"), F.col("dst").alias("source_grp")), "grp").distinct().withColumn("may", F.lit(True))
+    foreign = foreign.join(may, ["grp", "source_grp"], "left").where("star or may is null")
+    foreign = foreign.groupBy("grp", "file", "target", "source_grp").agg(F.min("line").alias("line"))
+    foreign = foreign.select("grp", "file", "line", F.lit("foreign-reexport").alias("kind"), none("specifier"), F.col("target").alias("source"), "source_grp")
+    return lines.unionByName(stars).unionByName(foreign)
+
+
 def finding(rows: DataFrame, rule: str, file: Column, line: Column, *identity: str | Column) -> DataFrame:
     """rule, file, line, key: the key is a JSON list of the rule and what identifies the finding."""
     return rows.select(F.lit(rule).alias("rule"), file.cast("string").alias("file"), line.cast("int").alias("line"), F.to_json(F.array(F.lit(rule), *(F.col(c).cast("string") if isinstance(c, str) else c for c in identity))).alias("key"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from concord import registry as G
 from concord.functions import paths as P
 from concord.functions import text as X
-from concord.operators import diagrams, diff, relations, sources, stats
+from concord.operators import diagrams, diff, relations, resolve, sources, stats
+from concord.operators import findings as R
 from concord.registry import DECLARED, EDGES, FILES, query
 from concord.sources import scanner
 from concord.sources import tables as T
@@ -202,4 +203,53 @@ def scanned_imports(spark, sf):
 
 @query("SELECT 'src/p' || p_partkey || '.ts' AS path, name, line::INT AS line, false AS type_only FROM part, LATERAL (VALUES ('q', 3), ('f' || p_partkey % 9, 5)) t(name, line)")
 def scanned_exports(spark, sf):
-    return scanner.scan_files(_sources(spark, sf), exports=True)
+    return scanner.scan_files(_sources(spark, sf), "exports")
+
+
+#: A source for each part whose lines depend on it: what it passes on, what code it holds, and how many blank lines come first.
+VARIED = r"""concat(repeat('\n', p_partkey % 4),
+CASE WHEN p_partkey % 3 = 0 THEN concat('export { a, b as c', p_partkey % 7, ' } from "../g', (p_partkey + 1) % 10, '/m', p_partkey + 1, '"') ELSE '/* export * from "no" */' END, '\n',
+CASE p_partkey % 4 WHEN 0 THEN concat('export * from "./m', p_partkey + 10, '"') WHEN 1 THEN concat('export * as ns from "../g', (p_partkey + 3) % 10, '/m', p_partkey + 3, '"') ELSE '// none' END, '\n',
+CASE p_partkey % 5 WHEN 0 THEN concat('export const v', p_partkey % 6, ' = `x${ {} }`') WHEN 1 THEN 'if (x) { run(/[`/]/) }' WHEN 2 THEN concat('import d, { type T } from "./m', p_partkey + 20, '"') WHEN 3 THEN concat('const { k', p_partkey % 3, ': z, ...r } = await import("./m', p_partkey + 30, '")') ELSE ';' END, '\n',
+CASE p_partkey % 6 WHEN 0 THEN concat('import("./m', p_partkey + 40, '").then(function ({ q', p_partkey % 4, ' }) {})') WHEN 1 THEN concat('export type { U } from "../g', (p_partkey + 2) % 10, '/m', p_partkey + 2, '"') ELSE '' END)"""
+VARIED_SQL = """v AS (SELECT p_partkey AS p, 'src/g' || (p_partkey % 10) || '/m' || p_partkey || '.ts' AS path, 1 + p_partkey % 4 AS s FROM part),
+st AS (SELECT p, path, 'static' AS kind, '../g' || ((p + 1) % 10) || '/m' || (p + 1) AS specifier, s AS line, false AS star, true AS again, 'a,b' AS names, p + 1 AS target FROM v WHERE p % 3 = 0
+UNION ALL SELECT p, path, 'static', CASE p % 4 WHEN 0 THEN './m' || (p + 10) ELSE '../g' || ((p + 3) % 10) || '/m' || (p + 3) END, s + 1, true, true, '', CASE p % 4 WHEN 0 THEN p + 10 ELSE p + 3 END FROM v WHERE p % 4 < 2
+UNION ALL SELECT p, path, 'static', './m' || (p + 20), s + 2, false, false, 'default,type T', p + 20 FROM v WHERE p % 5 = 2
+UNION ALL SELECT p, path, 'dynamic', './m' || (p + 30), s + 2, true, false, '', p + 30 FROM v WHERE p % 5 = 3
+UNION ALL SELECT p, path, 'dynamic', './m' || (p + 40), s + 3, false, false, 'q' || (p % 4), p + 40 FROM v WHERE p % 6 = 0
+UNION ALL SELECT p, path, 'static', '../g' || ((p + 2) % 10) || '/m' || (p + 2), s + 3, false, true, 'type U', p + 2 FROM v WHERE p % 6 = 1),
+co AS (SELECT p, path, s + 2 AS line FROM v WHERE p % 5 < 4 UNION ALL SELECT p, path, s + 3 FROM v WHERE p % 6 = 0)"""
+
+
+def _varied(spark, sf):
+    return T.table(spark, sf, "part").selectExpr("concat('src/g', p_partkey % 10, '/m', p_partkey, '.ts') AS path", f"{VARIED} AS text")
+
+
+@query(f"WITH {VARIED_SQL} SELECT path, kind, specifier, line, star, again AS reexport, names FROM st")
+def scanned_statements(spark, sf):
+    names = F.array_join(F.transform("names", lambda n: F.concat(F.when(n["type_only"], "type ").otherwise(""), n["name"])), ",")
+    return scanner.scan_files(_varied(spark, sf)).select("path", "kind", "specifier", "line", "star", "reexport", names.alias("names"))
+
+
+@query(f"WITH {VARIED_SQL} SELECT path, line FROM co")
+def scanned_code(spark, sf):
+    return scanner.scan_files(_varied(spark, sf), "code")
+
+
+@query(f"""WITH {VARIED_SQL}, u AS (SELECT * FROM v WHERE p % 7 < 4)
+SELECT (u.p % 10)::INT AS grp, u.path AS file, min(line) AS line, 'code' AS kind, NULL AS specifier, NULL AS source, NULL::INT AS source_grp FROM u JOIN co USING (p) GROUP BY u.p, u.path
+UNION ALL SELECT u.p % 10, u.path, line, 'export-star', specifier, NULL, NULL FROM u JOIN st USING (p) WHERE again AND star
+UNION ALL SELECT u.p % 10, u.path, line, 'foreign-reexport', NULL, x.path, x.p % 10 FROM u JOIN st USING (p) JOIN v x ON x.p = st.target WHERE again AND x.p % 10 <> u.p % 10 AND (star OR NOT (u.p % 10 % 4 = 0 AND (u.p % 10 * 3 + x.p % 10) % 5 < 3))""")
+def public_not_interface(spark, sf):
+    """Public files that are more than an interface: their text scanned, re-exports resolved, owners joined."""
+    files = _varied(spark, sf)
+    scanned = scanner.scan_files(files).where("reexport").selectExpr("path AS file", "line", "specifier", "star")
+    owner = F.regexp_extract("path", "/g([0-9]+)/", 1).cast("int").alias("grp")
+    owners = files.select(F.col("path").alias("file"), owner)
+    k = F.regexp_extract("path", "/m([0-9]+)", 1).cast("int")
+    public = files.where(k % 7 < 4).select(owner, F.col("path").alias("file"))
+    groups = T.table(spark, sf, "nation").where("n_nationkey < 10").select(F.col("n_nationkey").alias("grp"))
+    declared = groups.select(F.col("grp").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("dst")).where("src <> dst and (src * 3 + dst) % 5 < 3")
+    resolved = resolve.resolve_relative(scanned, files)
+    return R.public_not_interface(public, scanner.scan_files(files, "code").withColumnRenamed("path", "file"), resolved, owners, groups.where("grp % 4 = 0"), declared)

@@ -2,7 +2,7 @@
 
 A text is first masked: comments become blanks, and what stands in strings, templates and regular expressions
 becomes filler of the same length, so that patterns over the masked text only ever meet code. Both steps are linear
-in the text. A '/' after ')' is read as a division. Lines of code beside re-exports are not listed.
+in the text. A '/' after ')' is read as a division, and an exported variable statement lists its first plain name alone.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ EXPORTS = "name string, line int, type_only boolean"
 #: Words after which a '/' starts a regular expression.
 BEFORE_EXPRESSION = {"return", "typeof", "case", "do", "else", "in", "of", "new", "delete", "void", "throw", "instanceof", "yield", "await"}
 TOKEN = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|'(?:[^'\\\n]|\\.)*'?|"(?:[^"\\\n]|\\.)*"?|[A-Za-z0-9_$]+|\s+|.""", re.S)
-EXPRESSION = re.compile(r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
+FLAGS = re.compile("[a-z]*")
 CHUNK = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
 
 STR = '("\x01*")'
@@ -38,8 +38,13 @@ DECLARED = re.compile(r"export\s+(?:declare\s+)?(?:(?:async|abstract)\s+)*(funct
 DEFAULT = re.compile(r"export\s+default(?![\w$])")
 CALL = re.compile(r"(?:import|require)\s*\(\s*")
 ARGUMENT = re.compile(rf"{STR}\s*[,)]")
-TAKEN = re.compile(rf"(?<![\w$])(?:const|let|var)\s*{LIST}\s*=\s*(?:await\s+)?(?=(?:import|require)\s*\()")
-THEN = re.compile(rf"\s*(?:\?\s*)?\.\s*then\s*\(\s*(?:async\s*)?\(?\s*{LIST}")
+PATTERN = re.compile(r"(?<![\w$])(?:const|let|var)\s*(?=\{)")
+TAKEN = re.compile(r"\s*=\s*(?:await(?![\w$])\s*)?(?=(?:import|require)\s*\()")
+THEN = re.compile(r"\s*(?:\?\s*)?\.\s*then\s*\(\s*(?:async(?![\w$])\s*)?(?:function(?![\w$])\s*(?:[A-Za-z_$][\w$]*\s*)?)?\(\s*(?=\{)")
+CHAINED = re.compile(r"\s*[.?\[]")
+KEY = re.compile(r'"\x01*"|[^\W]+|\$[\w$]*|\.\.\.|\S')
+WITH = re.compile(r"\s*(?:(?:with|assert)\s*\{[^{}]*\}\s*)?;?")
+CODE = re.compile(r'"\x01*"|\x02+|[\w$]+|[^\s;]')
 ESCAPE = re.compile(r"\\(?:u\{([0-9a-fA-F]+)\}|u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|(\r\n|.))", re.S)
 SHORT = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "v": "\v", "0": "\0", "\n": "", "\r\n": ""}
 
@@ -52,15 +57,41 @@ def _unescape(s: str) -> str:
     return ESCAPE.sub(one, s) if "\\" in s else s
 
 
+class _Expressions:
+    """Finds where regular expressions end. Places from which none does are remembered, so all searches together are linear."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.dead = text, (set(), set())
+
+    def end(self, at: int) -> int | None:
+        text, i, inside, seen = self.text, at + 1, False, []
+        while i < len(text) and text[i] != "\n" and i not in self.dead[inside]:
+            seen.append((i, inside))
+            c = text[i]
+            if c == "/" and not inside:
+                return FLAGS.match(text, i + 1).end()
+            i += 1
+            if c == "\\":
+                i += text[i : i + 1] != "\n"
+            elif c == ("]" if inside else "["):
+                inside = not inside
+        for i, inside in seen:
+            self.dead[inside].add(i)
+        return None
+
+
 def mask(text: str) -> tuple[str, list[int]]:
-    """The text with only code left, as long as it was; and where the depth of braces changes, at depth 0 first: [opens, closes, opens, ...]."""
+    """The text with only code left, as long as it was; and after which places code at the top ends and begins again, in turn."""
     out, pos, depth, tops, before, dotted = [], 0, 0, [], "", False
     templates: list[int] = []  # depths at which code within a template began
+    expressions = _Expressions(text)
 
     def template(at: int, first: bool) -> int:
         end = CHUNK.match(text, at).end()
         if text.startswith("${", end):
             out.append("\x02" * (end - at) + "  ")
+            if not depth and not templates:
+                tops.append(end + 2)
             templates.append(depth)
             return end + 2
         if first and end < len(text):  # a template without code is a string
@@ -70,6 +101,9 @@ def mask(text: str) -> tuple[str, list[int]]:
             out.append("\x02" * (min(end + 1, len(text)) - at))
         return min(end + 1, len(text))
 
+    if text.startswith("#!"):
+        pos = (text + "\n").index("\n")
+        out.append(" " * pos)
     while pos < len(text):
         c = text[pos]
         if c == "`":
@@ -78,15 +112,17 @@ def mask(text: str) -> tuple[str, list[int]]:
             continue
         if c == "}" and templates and templates[-1] == depth:
             templates.pop()
+            if not depth and not templates:
+                tops.append(pos + 1)
             out.append("\x02")
             pos, before = template(pos + 1, False), ")"
             continue
         if c == "/" and text[pos : pos + 2] not in ("//", "/*"):
             word = before[:1].isalnum() or before[:1] in ("_", "$")
-            m = EXPRESSION.match(text, pos) if (before in BEFORE_EXPRESSION and not dotted) or not (word or before in (")", "]", '"')) else None
-            if m:
-                out.append("\x02" * len(m[0]))
-                pos, before = m.end(), ")"
+            end = expressions.end(pos) if (before in BEFORE_EXPRESSION and not dotted) or not (word or before in (")", "]", '"')) else None
+            if end is not None:
+                out.append("\x02" * (end - pos))
+                pos, before = end, ")"
                 continue
         t = TOKEN.match(text, pos)[0]
         pos += len(t)
@@ -101,22 +137,17 @@ def mask(text: str) -> tuple[str, list[int]]:
         else:
             if c in "{}":
                 was, depth = depth, max(depth + (1 if c == "{" else -1), 0)
-                if min(was, depth) == 0 and was != depth:
+                if min(was, depth) == 0 and was != depth and not templates:
                     tops.append(pos)
             out.append(t)
             dotted, before = before == ".", t
     return "".join(out), tops
 
 
-def _listed(items: str, all_types: bool, at: int, text: str, colon: bool = False) -> list[dict]:
-    """Names in braces, of an import or export, or (colon) of a pattern that takes a value apart; at: where the items stand in the text."""
+def _listed(items: str, all_types: bool, at: int, text: str) -> list[dict]:
+    """Names in the braces of an import or export; at: where the items stand in the text."""
     out = []
     for m in re.finditer("[^,]+", items):
-        if colon:
-            w = re.split(r"[:=]", m[0])[0].split()
-            if w and not w[0].startswith("..."):
-                out.append({"name": w[0], "shown": w[0], "type_only": False})
-            continue
         w = [text[at + m.start() + x.start() + 1 : at + m.start() + x.end() - 1] if x[0][0] == '"' else x[0] for x in re.finditer(r'"[^"]*"|\S+', m[0])]
         typed = len(w) in (2, 4) and w[0] == "type"
         w = w[typed:]
@@ -125,6 +156,26 @@ def _listed(items: str, all_types: bool, at: int, text: str, colon: bool = False
     return out
 
 
+def _keys(code: str, text: str, at: int, ends: dict[int, tuple[int, int]]) -> list[dict]:
+    """The keys of the pattern whose brace opens at a place; none where one of them has no name, as of a rest or in brackets."""
+    if at not in ends:
+        return []
+    out, pos, stop, expected = [], at + 1, ends[at][1] - 1, True
+    while (m := KEY.search(code, pos, stop)) is not None:
+        t, pos = m[0], m.end()
+        if expected and t in ("...", "["):
+            return []
+        if t in "([{":
+            expected, pos = False, ends.get(m.start(), (0, pos))[1]
+        elif t == ",":
+            expected = True
+        elif expected:
+            name = text[m.start() : pos]
+            out.append(_unescape(name[1:-1]) if t[0] == '"' else name)
+            expected = False
+    return [{"name": n, "shown": n, "type_only": False} for n in out]
+
+
 def _brackets(code: str) -> dict[int, tuple[int, int]]:
     """For each bracket that is closed: where its first part ends, by a comma or the closing one, and what follows the whole."""
     ends, within = {}, []
@@ -139,23 +190,43 @@ def _brackets(code: str) -> dict[int, tuple[int, int]]:
     return ends
 
 
-def scan(text: str | None) -> tuple[list[dict], list[dict]]:
-    """Imports and exports of a text, in its order; none of a null or empty one."""
+def _code_lines(code: str, tops: list[int], reexports: list[tuple[int, int]], line) -> list[int]:
+    """Lines at the top that hold anything but re-exports and ';'. A brace that closes belongs to the top, one that opens does not."""
+    edges = [0, *(x - 1 for x in tops), len(code)]
+    out: list[int] = []
+    skip = iter([*reexports, (len(code), len(code))])
+    a, z = next(skip)
+    for start, stop in zip(edges[::2], edges[1::2], strict=False):
+        for m in CODE.finditer(code, start, stop):
+            while m.start() >= z and a < len(code):
+                a, z = next(skip)
+            if m.start() < a and (not out or out[-1] != line(m.start())):
+                out.append(line(m.start()))
+    return out
+
+
+def scan(text: str | None) -> tuple[list[dict], list[dict], list[int]]:
+    """Imports and exports of a text, in its order, and its lines of code at the top; none of a null or empty one."""
     if not text:
-        return [], []
+        return [], [], []
     code, tops = mask(text)
     breaks = [m.start() for m in re.finditer("\n", text)]
     line = lambda at: bisect_right(breaks, at) + 1
     content = lambda m, k: _unescape(text[m.start(k) + 1 : m.end(k) - 1])
-    taken = {m.end(): m for m in TAKEN.finditer(code)}
     ends = _brackets(code)
+    taken = {m.end(): p.end() for p in PATTERN.finditer(code) if p.end() in ends and (m := TAKEN.match(code, ends[p.end()][1]))}
     imports: list[dict] = []
     exports: list[dict] = []
+    reexports: list[tuple[int, int]] = []
     done = 0
 
     def found(at, kind, specifier, names=(), star=False, reexport=False, literal=True):
         imports.append({"kind": kind, "reexport": reexport, "specifier": specifier, "literal": literal, "line": line(at), "star": star, "names": list(names)})
 
+    def passed_on(at, end):
+        if bisect_right(tops, at) % 2 == 0:
+            reexports.append((at, WITH.match(code, end).end()))
+
     def shown(at, name, types=False):
         if bisect_right(tops, at) % 2 == 0:
             exports.append({"name": name, "line": line(at), "type_only": types})
@@ -167,12 +238,14 @@ def scan(text: str | None) -> tuple[list[dict], list[dict]]:
         if word[1] == "export":
             if m := STAR.match(code, at):
                 found(at, "static", content(m, m.lastindex), star=True, reexport=True)
+                passed_on(at, m.end())
                 if m[2]:
                     shown(at, content(m, 2) if m[2][0] == '"' else m[2], bool(m[1]))
             elif m := LISTED.match(code, at):
                 names = _listed(m[2], bool(m[1]), m.start(2), text)
                 if m[3]:
                     found(at, "static", content(m, 3), names, reexport=True)
+                    passed_on(at, m.end())
                 for n in names:
                     shown(at, n["shown"], n["type_only"])
             elif DEFAULT.match(code, at):
@@ -203,20 +276,29 @@ def scan(text: str | None) -> tuple[list[dict], list[dict]]:
         if not argument:
             continue
         kind = "dynamic" if word[1] == "import" else "require"
-        pattern = taken.get(at) or (THEN.match(code, done_at) if kind == "dynamic" else None)
-        names = _listed(pattern[1], False, pattern.start(1), text, colon=True) if pattern else []
-        found(at, kind, content(m, 1) if m else argument, names, star=pattern is None, literal=bool(m))
-    return imports, exports
+        # what follows the call takes its names from it, and a pattern from what follows
+        pattern = taken.get(at)
+        if CHAINED.match(code, done_at):
+            then = THEN.match(code, done_at) if kind == "dynamic" else None
+            pattern = then.end() if then else None
+        names = [] if pattern is None else _keys(code, text, pattern, ends)
+        found(at, kind, content(m, 1) if m else argument, names, star=not names, literal=bool(m))
+    return imports, exports, _code_lines(code, tops, reexports, line)
+
+
+#: What scan_files gives a row for, in the order of scan's results.
+SIDES = {"imports": IMPORTS, "exports": EXPORTS, "code": "line int"}
 
 
-def scan_files(files: DataFrame, exports: bool = False) -> DataFrame:
-    """files(path, text) -> path and a row for each import, or each export; texts pass through in Arrow batches, each on its own."""
-    side, schema = (1, EXPORTS) if exports else (0, IMPORTS)
+def scan_files(files: DataFrame, side: str = "imports") -> DataFrame:
+    """files(path, text) -> path and a row for each import, each export, or each line of code; texts pass through in Arrow batches, each on its own."""
+    schema, k = SIDES[side], list(SIDES).index(side)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["path", *(c.split()[0] for c in (("name", "line", "type_only") if exports else ("kind", "reexport", "specifier", "literal", "line", "star", "names")))]
+        columns = ["path", *(x.split()[0] for x in re.sub("<[^>]*>", "", schema).split(", "))]
         for b in batches:
-            yield pd.DataFrame([{"path": p, **x} for p, t in zip(b["path"], b["text"], strict=True) for x in scan(t)[side]], columns=columns)
+            found = ((p, x) for p, t in zip(b["path"], b["text"], strict=True) for x in scan(t)[k])
+            yield pd.DataFrame([{"path": p, **(x if isinstance(x, dict) else {"line": x})} for p, x in found], columns=columns)
 
     return files.select("path", "text").mapInPandas(rows, f"path string, {schema}")
 

@@ -21,7 +21,17 @@ CASES = [
     ("export { a as b, type C } from './x'", [("static", "./x", 1, "a type C")]),
     ("export * from 'x'; export * as n from 'y'", [("static", "x", 1, "*"), ("static", "y", 1, "*")]),
     ("import fs = require('fs')\nexport import g = require('g')", [("require", "fs", 1, "*"), ("require", "g", 2, "*")]),
-    ("const { a, b: c, ...d } = await import('x')", [("dynamic", "x", 1, "a b")]),
+    ("const { a, b: c, ...d } = await import('x')", [("dynamic", "x", 1, "*")]),
+    ("const { a, b: { c }, 'd-e': f = g(1, 2), $h } = await import('x')", [("dynamic", "x", 1, "a b d-e $h")]),
+    ("import('x').then(function ({ a }) { return a })", [("dynamic", "x", 1, "a")]),
+    ("import('x').then(async function named ({ a }: { a: number }) { return a })", [("dynamic", "x", 1, "a")]),
+    ("import('x').then(({ default: D }: typeof import('y')) => D)", [("dynamic", "x", 1, "default"), ("dynamic", "y", 1, "*")]),
+    ("import('x').then((m) => m.a); import('y').then(m => m)", [("dynamic", "x", 1, "*"), ("dynamic", "y", 1, "*")]),
+    ("const { f } = await import('x').then((m) => m); const { g } = await import('y').then(({ h }) => h)", [("dynamic", "x", 1, "*"), ("dynamic", "y", 1, "h")]),
+    ("const { [k]: y } = await import('x'); import('y').then(({ a, ...r }) => r); import('z').then(({}) => 1)", [("dynamic", "x", 1, "*"), ("dynamic", "y", 1, "*"), ("dynamic", "z", 1, "*")]),
+    ("let { b, c: d } = import('x'); var { e } = require('y').z", [("dynamic", "x", 1, "b c"), ("require", "y", 1, "*")]),
+    ("#!/usr/bin/env node 'x\nimport 'a'", [("static", "a", 2, "")]),
+    ("a = [/[/]/, /[\\]]'/]; import 'b'", [("static", "b", 1, "")]),
     ("import('./q')?.then(({ a }) => a)", [("dynamic", "./q", 1, "a")]),
     ("const { z } = require('x'); const y = require('y').z", [("require", "x", 1, "z"), ("require", "y", 1, "*")]),
     ("const m = await import(`./l/${lang}.js`);\nimport(`./b/${x}`).then(({ a }) => a);\nimport('./after');", [("dynamic", "`./l/${lang}.js`", 1, "*"), ("dynamic", "`./b/${x}`", 2, "a"), ("dynamic", "./after", 3, "*")]),
@@ -52,7 +62,25 @@ def test_exports():
     assert got == [("a", 1, False), ("default", 2, False), ("T", 3, True), ("I", 3, True), ("c", 4, False), ("D", 4, True), ("f", 5, False), ("K", 6, False), ("E", 7, False), ("ns", 8, False), ("g", 10, False)]
 
 
-@pytest.mark.parametrize("piece", ["import ", "import {", "export {", "`${", "/", "'", "import(", "const {", "/*", "{", "\\"])
+CODE = [
+    ("export { a } from './a';\nexport type { B } from './b' with { type: 'x' };\n", []),
+    ("// no\n\nexport * from 'a'; export * as n from 'b'\n;\n/* no */", []),
+    ("export { a, c as d } from './a';\n// no\n\nexport const fee = 1;\nexport default function run() {\n  x();\n}\nexport interface S { a: 1 }\nimport { x } from './x';", [4, 5, 7, 8, 9]),
+    ("export { a };\nexport { b } from 'b'; f()", [1, 2]),
+    ("declare module 'm' {\n  export { b } from 'b';\n}", [1, 3]),
+    ("export { b } from 'b'\nconst t = `\n${ {\n a: 1 } }\n`", [2]),
+    ("'use strict';\nexport * from 'a'", [1]),
+    ("", []),
+]
+
+
+@pytest.mark.parametrize("text,want", CODE)
+def test_code_lines(text, want):
+    got = scan(text)[2]
+    assert got == want or (want == [2] and got[0] == 2)  # a template's later lines may count with its first
+
+
+@pytest.mark.parametrize("piece", ["/[", "/[\\]", "/[/]", "const {a} = import('x').then(({b}) => ", "const { a: { ", "import ", "import {", "export {", "`${", "/", "'", "import(", "const {", "/*", "{", "\\"])
 def test_long_texts_take_linear_time(piece):
     start = time.time()
     scan(piece * 20_000)
@@ -62,7 +90,8 @@ def test_long_texts_take_linear_time(piece):
 def test_frames(spark):
     f = spark.createDataFrame([("a.ts", "import { x } from './b'\nexport const y = x"), ("n.ts", None), ("e.ts", "")], "path string, text string")
     assert [(r.path, r.specifier, r.names[0].name) for r in scan_files(f).collect()] == [("a.ts", "./b", "x")]
-    assert [tuple(r) for r in scan_files(f, exports=True).collect()] == [("a.ts", "y", 2, False)]
+    assert [tuple(r) for r in scan_files(f, "exports").collect()] == [("a.ts", "y", 2, False)]
+    assert [tuple(r) for r in scan_files(f, "code").collect()] == [("a.ts", 1), ("a.ts", 2)]
     register(spark)
     f.createOrReplaceTempView("scanned_files")
     assert [tuple(r) for r in spark.sql("SELECT path, s.specifier, s.line FROM scanned_files, LATERAL scan_imports(text) s").collect()] == [("a.ts", "./b", 1)]
