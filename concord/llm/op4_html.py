@@ -39,11 +39,15 @@ REPLIES = frozenset("comment comments commentlist discussion disqus replies repl
 #: Thresholds of pass one: words in a short and in a long block, stop-word shares, link share.
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 12, 25, 0.10, 0.20, 0.4
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|[^<]+|<", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STEP, _VALUE = re.compile(r"[>=]"), re.compile(r"\s*([\"']?)")
+_AFTER = re.compile(r"[\s>]")
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements that hold text themselves, on which only the words of NOTES mark surroundings.
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption span b i em strong code q cite mark small sub sup".split())
 NOTES = frozenset("ad ads adbox advert adverts advertisement advertising cookie cookies consent copyright disclaimer gdpr newsletter notice notices promo promoted sponsor sponsored".split())
+#: Of MARKS those that prose may carry too: in an article such blocks are left to the rules.
+DOUBTFUL = frozenset("promotion recommended related search share sharing skip social widget".split())
 _PIECE = re.compile(r"[A-Za-z]+")
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -51,7 +55,23 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title")}
 
-NEUTRAL, ARTICLE, SURROUND, REPLY = 0, 1, 2, 3
+DOUBT, NEUTRAL, ARTICLE, SURROUND, REPLY = -1, 0, 1, 2, 3
+
+
+def _tag_end(page: str, pos: int) -> int:
+    """Where the '>' of a tag is, read from behind its name on; the page's length if it has none. Only values are quoted."""
+    while (m := _STEP.search(page, pos)) is not None:
+        if m[0] == ">":
+            return m.start()
+        quote = _VALUE.match(page, m.end())
+        if quote[1]:
+            pos = page.find(quote[1], quote.end()) + 1
+            if not pos:
+                break
+        else:
+            after = _AFTER.search(page, quote.end())
+            pos = after.start() if after else len(page)
+    return len(page)
 
 
 def _kind(tag: str, attrs: str, now: int) -> int:
@@ -70,9 +90,11 @@ def _kind(tag: str, attrs: str, now: int) -> int:
             return REPLY
         if tag in ("article", "main"):
             return SURROUND if now == SURROUND and marks & MARKS else ARTICLE
-        if tag in AROUND or marks & MARKS:
+        if tag in AROUND or marks & MARKS - DOUBTFUL:
             return SURROUND
-        if tag == "header" and now != ARTICLE:
+        if marks & DOUBTFUL:
+            return DOUBT if now in (ARTICLE, DOUBT) else SURROUND
+        if tag == "header" and now not in (ARTICLE, DOUBT):
             return SURROUND
     return now
 
@@ -83,6 +105,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
     stack: list[tuple[str, int]] = []
     opened: Counter[str] = Counter()  # elements on the stack by tag
     inline: list[Counter[str]] = [Counter()]  # inline ones above each open block
+    within: list[str] = []  # open blocks
+    endless: set[str] = set()  # elements without another end tag from here on
     kind, links, buf, linked = NEUTRAL, 0, [], 0
 
     def flush() -> None:
@@ -99,6 +123,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
         opened[tag] += 1
         if tag in BLOCK:
             inline.append(Counter())
+            within.append(tag)
         else:
             inline[-1][tag] += 1
         kind, links = inner, links + (tag == "a")
@@ -112,6 +137,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
             opened[gone] -= 1
             if gone in BLOCK:
                 inline.pop()
+                within.pop()
             else:
                 inline[-1][gone] -= 1
             links -= gone == "a"
@@ -119,17 +145,22 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
 
     pos, n = 0, len(page)
     while pos < n:
-        m = _TOKEN.match(page, pos)
-        pos, tag = m.end(), m[2]
-        if tag is None:
-            s = m[0]
-            if s[0] != "<" or s == "<":
-                buf.append(s)
-                linked += len(s.strip()) if links else 0
+        opening = page.find("<", pos)
+        m = _NAME.match(page, opening) if opening >= 0 else None
+        if opening != pos or (m is None and page[pos + 1 : pos + 2] not in ("!", "?")):
+            to = n if opening < 0 else opening if opening > pos else pos + 1
+            buf.append(page[pos:to])
+            linked += len(buf[-1].strip()) if links else 0
+            pos = to
+            continue
+        if m is None:
+            end = page.find("-->", pos + 4) + 3 if page.startswith("<!--", pos) else page.find(">", pos) + 1
+            pos = end if end > pos else n
             continue
-        if not m[0].endswith(">"):
+        end = _tag_end(page, m.end())
+        if end == n:
             break  # the page ends inside a tag
-        tag = tag.lower()
+        pos, tag, attrs = end + 1, m[2].lower(), page[m.end() : end]
         if tag == "br":
             buf.append(" ")
             continue
@@ -143,10 +174,11 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
         if tag in DROPPED:
             if tag in BLOCK or tag == "title":
                 flush()
-            if m[3].endswith("/") or tag in VOID:
+            if attrs.endswith("/") or tag in VOID or tag in endless:
                 continue
             end = (_END.get(tag) or re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I)).search(page, pos)
             if end is None and tag not in _END:
+                endless.add(tag)
                 continue  # never closed: what follows still counts
             if end is None:
                 break
@@ -156,13 +188,11 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
             continue
         if tag in BLOCK:
             flush()
-            if any(t == "p" for t, _ in stack[-4:]):
-                close("p")
-            elif stack and stack[-1][0] in _CLOSES.get(tag, ()):
-                close(stack[-1][0])
-        if tag in VOID or m[3].endswith("/"):
+            if within and within[-1] in ("p", *_CLOSES.get(tag, ())):
+                close(within[-1])
+        if tag in VOID or attrs.endswith("/"):
             continue
-        inner = _kind(tag, m[3], kind)
+        inner = _kind(tag, attrs, kind)
         if inner != kind and tag not in BLOCK:
             flush()
         push(tag, inner)
@@ -215,8 +245,9 @@ def inherit(first: list[int], default: int, leads: list[bool] | None = None) ->
 def main_text(page: str | None) -> str:
     """Blocks labelled text, joined by one space in page order; empty for null or empty pages.
 
-    Blocks of surroundings are no neighbours of others; those in an article element and those
-    outside are two sequences. In an article without a decided block all count as text. On a
+    Blocks of surroundings are no neighbours of others; those in an article element, those
+    outside and those in an article's elements marked as doubtful are three sequences. In an
+    article without a decided block all count as text. On a
     page without a block of text the undecided ones do, if no block is decided, or if they
     have SHORT words or more in a language that is not served.
     """
@@ -224,7 +255,7 @@ def main_text(page: str | None) -> str:
     known = served(b)
     first = [classify(*x[:3], known) for x in b]
     label = list(first)
-    for kind, default in ((ARTICLE, 1), (NEUTRAL, -1)):
+    for kind, default in ((ARTICLE, 1), (NEUTRAL, -1), (DOUBT, -1)):
         at = [i for i, x in enumerate(b) if x[1] == kind]
         for i, x in zip(at, inherit([first[i] for i in at], default, [b[i][3] for i in at]), strict=True):
             label[i] = x

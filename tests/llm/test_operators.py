@@ -264,12 +264,22 @@ def test_html_drops_nothing_else():
 def test_html_stray_tags_take_linear_time():
     import time
 
-    for page in ("<i>" * 80_000 + "</b>" * 160_000, "<b><p>" + "<i>" * 80_000 + "</b>" * 160_000, "<div>" * 80_000 + "</p>" * 150_000, "<a" * 400_000):
+    for page in ("<i>" * 80_000 + "</b>" * 160_000, "<b><p>" + "<i>" * 80_000 + "</b>" * 160_000, "<div>" * 80_000 + "</p>" * 150_000, "<a" * 400_000, '<a "' * 250_000 + "'", "<svg>" * 200_000, "<a b='" * 170_000, "<a b=" * 200_000, "<!" * 500_000, "<!--" * 250_000, "<p><i>" * 160_000):
         began = time.time()
         op4_html.main_text(page + "end")
         assert time.time() - began < 5
 
 
+def test_html_tags():
+    text = lambda x: op4_html.main_text(f"<article>{x}</article>")
+    assert text("<p title='a>b' data=c>one</p><p \">two</p><p x=\"'\">three</p>") == "one two three"
+    assert text("<p><b><i><u><em><s>open<p>next") == "open next" and text("<ul><li><b>one<li>two</ul>") == "one two"
+    story = "It is the story of a man and of the sea that was by the town and it was not far from there, as you know."
+    assert text(f"<p>{story}</p><div class='search widget'><p>{story}</p></div>") == f"{story} {story}"
+    assert text(f"<p>{story}</p><div class=related><h3>Related</h3><a href=x>{story}</a></div><div class=sidebar>{story}</div><div class='widget ad'>{story}</div>") == story
+    assert text("<p>2 < 3 and <3</p><? x ?><!-- a > b --><p>end</p>") == "2 < 3 and <3 end"
+
+
 def test_html_table(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None), (None, "u", "", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
