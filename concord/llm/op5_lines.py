@@ -1,10 +1,11 @@
 """Line deduplication by a deletion-neighbourhood join over words.
 
-Equal lines meet by hash. Lines of at least MIN_WORDS words that differ in one word (put in,
-left out or replaced) meet through their variants: a line emits the hash of itself and of
-itself without each one word; lines with an equal variant are compared word by word. Only
-lines that share a half with another line emit variants: one edit leaves one half of a line
-as it is. Of equal or near lines the earliest is kept.
+Equal lines meet by hash. The edit bound is one word (put in, left out or replaced) in lines of
+at least MIN_WORDS words, and none in shorter ones, of which a word is too large a part. Lines
+within the bound meet through their variants: a line emits the hash of itself and of itself
+without each one word; lines with an equal variant are compared word by word. Only lines that
+share a half with another line emit variants: one edit leaves one half of a line as it is. Of
+equal or near lines the earliest is kept.
 """
 
 from __future__ import annotations
@@ -21,18 +22,46 @@ from concord.llm.batches import slices, small_batches, tidy
 from concord.llm.words import inverse_powers, mix64, powers, words
 from concord.plans.shared import cut, free, scratch
 
-#: Lines of fewer words are compared for equality only.
+#: Lines of fewer words have an edit bound of none.
 MIN_WORDS = 8
+#: Salts of the two halves of a 128-bit hash of a line.
+_SALTS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xA3B195354A39B70D))
+
+
+def _placed(w: np.ndarray, first: int, salt: np.uint64) -> np.ndarray:
+    """The hashes of words that stand at places first, first + 1 and so on of a line; a line's hash is their sum."""
+    return mix64(w ^ mix64(np.arange(first, first + len(w), dtype=np.int64).astype(np.uint64) + salt))
+
+
+def _sized(n: int, salt: np.uint64) -> np.uint64:
+    return np.uint64(int(salt) * n % (1 << 64))
+
+
+def line_hash(w: np.ndarray) -> list[int]:
+    """Two 64-bit hashes of a line's words. Sums of hashes of word and place: no pattern of words makes them equal, but chance."""
+    return [np.add(_placed(w, 0, s).sum(dtype=np.uint64), np.array([_sized(len(w), s)]))[0].view(np.int64).item() for s in _SALTS]
+
+
+def variants(w: np.ndarray) -> list[np.ndarray]:
+    """line_hash of the line without each one of its words."""
+    out = []
+    for s in _SALTS:
+        before, after = np.zeros(len(w) + 1, dtype=np.uint64), np.zeros(len(w) + 1, dtype=np.uint64)
+        np.cumsum(_placed(w, 0, s), out=before[1:])
+        np.cumsum(_placed(w, -1, s)[::-1], out=after[1:])
+        out.append((before[:-1] + after[:-1][::-1] + _sized(len(w) - 1, s)).view(np.int64))
+    return out
 
 
 class Lines:
-    """Hashes of any run of words of a text's lines, in constant time each."""
+    """Hashes of any run of words of a text's lines, in constant time each: keys that bring lines together, and decide nothing."""
 
     def __init__(self, text: str | None) -> None:
         w, starts, raw = words(text, lower=False)
         breaks = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10)
         self.n_lines = len(breaks) + 1
         line = np.searchsorted(breaks, starts)
+        self.words = w
         self.first = np.searchsorted(line, np.arange(self.n_lines))  # a line's first word
         self.end = np.searchsorted(line, np.arange(self.n_lines), side="right")
         self.run = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(w * powers(len(w) + 1)[: len(w)], dtype=np.uint64)))
@@ -44,13 +73,6 @@ class Lines:
     def hash(self, a: np.ndarray, z: np.ndarray) -> np.ndarray:
         return mix64(self.value(a, z) + ((z - a).astype(np.uint64) << np.uint64(32)))
 
-    def variants(self, k: int) -> np.ndarray:
-        """Hashes of line k without each one of its words."""
-        a, z = int(self.first[k]), int(self.end[k])
-        at = np.arange(a, z)
-        rest = self.value(np.full(z - a, a), at) + self.value(at + 1, np.full(z - a, z)) * powers(z - a + 1)[at - a]
-        return mix64(rest + (np.uint64(z - a - 1) << np.uint64(32)))
-
 
 LINES = "doc_id long, t long, line int, h1 long, h2 long, n int, keys array<long>, again boolean"
 
@@ -91,19 +113,19 @@ def _lines(min_words: int):
     return run
 
 
-SUSPECTS = "doc_id long, t long, line int, n int, h1 long, h2 long, h long, words string, variants array<long>"
+SUSPECTS = "doc_id long, t long, line int, n int, h1 long, h2 long, x long, y long, words string, vx array<long>, vy array<long>"
 
 
 def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     for batch in batches:
         for doc_id, t, text, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             found, lines, out = Lines(text), (text or "").split("\n"), []
             for k in sorted(set(at)):
-                a, z = found.first[k : k + 1], found.end[k : k + 1]
+                w = found.words[found.first[k] : found.end[k]]
                 own = b" ".join(lines[k].encode().split())
                 h1, h2 = np.frombuffer(xxhash.xxh3_128_digest(own), dtype="<i8").tolist()
-                out.append((doc_id, t, k, int(z[0] - a[0]), h1, h2, int(found.hash(a, z).view(np.int64)[0]), own.decode(), found.variants(k).view(np.int64)))
+                out.append((doc_id, t, k, len(w), h1, h2, *line_hash(w), own.decode(), *variants(w)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], _names(SUSPECTS))
 
@@ -149,12 +171,12 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         found = docs.join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("t") == F.col("of"))).select("doc_id", "t", "text", "at").mapInArrow(tidy(_suspects), SUSPECTS)
         suspects = cut(found.withColumn("at", F.struct("doc_id", "t", "line")).drop("doc_id", "t", "line"), "lines-suspects")
         free(shared, many)
-        variants = suspects.select("at", "n", "h1", "h2", F.posexplode("variants").alias("word", "key"))
+        variants = suspects.select("at", "n", "h1", "h2", F.posexplode(F.arrays_zip("vx", "vy")).alias("word", "key")).select("at", "n", "h1", "h2", "word", "key.vx", "key.vy")
         # one word replaced: equal without the word at the same place; one word more: equal to the shorter line itself
-        replaced = variants.groupBy("n", "word", "key").agg(F.min("at").alias("least"), F.max("at").alias("most")).where("least < most").drop("most")
-        replaced = variants.join(replaced, ["n", "word", "key"]).where("at > least").select("h1", "h2", F.col("at").alias("later"), F.col("least").alias("earlier"))
-        short = suspects.select(F.col("n").alias("size"), F.col("h").alias("key"), F.struct("h1", "h2").alias("short"), F.col("at").alias("at_short"))
-        met = variants.withColumn("size", F.col("n") - 1).join(short, ["size", "key"])
+        replaced = variants.groupBy("n", "word", "vx", "vy").agg(F.min("at").alias("least"), F.max("at").alias("most")).where("least < most").drop("most")
+        replaced = variants.join(replaced, ["n", "word", "vx", "vy"]).where("at > least").select("h1", "h2", F.col("at").alias("later"), F.col("least").alias("earlier"))
+        short = suspects.select(F.col("n").alias("size"), F.col("x").alias("vx"), F.col("y").alias("vy"), F.struct("h1", "h2").alias("short"), F.col("at").alias("at_short"))
+        met = variants.withColumn("size", F.col("n") - 1).join(short, ["size", "vx", "vy"])
         put_in = met.where("at > at_short").select("h1", "h2", F.col("at").alias("later"), F.col("at_short").alias("earlier"))
         left_out = met.where("at < at_short").groupBy("short", "at_short").agg(F.min("at").alias("earlier")).select("short.*", F.col("at_short").alias("later"), "earlier")
         pairs = replaced.unionByName(put_in).unionByName(left_out).distinct()

@@ -393,6 +393,21 @@ def test_within_one():
         assert op5_lines.within_one(a, b) == (edits(a, b) <= 1)
 
 
+def test_lines_patterned_words(spark):
+    """Lines whose words follow a pattern that makes polynomials meet."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    t, u = (" ".join("ab"[b ^ x] for b in bits) for x in (0, 1))
+    rows = [(0, f"{t} x"), (1, f"{u} y"), (2, f"{u} z"), (3, f"{t} w"), (4, f"{u}")]
+    got = {r.doc_id: r.n_dropped for r in op5_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 1, 3: 1, 4: 1}
+
+
+def test_line_variants_are_hashes_of_the_rest():
+    w = words_of([" ".join(f"w{i % 5}" for i in range(40))])[0]
+    x, y = op5_lines.variants(w)
+    assert [[a, b] for a, b in zip(x.tolist(), y.tolist(), strict=True)] == [op5_lines.line_hash(np.delete(w, i)) for i in range(40)]
+
+
 # 6 ---------------------------------------------------------------------------
 
 
