@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.operators.components import connected_components
-from concord.plans.shared import cut
+from concord.plans.shared import cut, scratch
 
 #: Dimensions of a block, rows of one side of a tile, rounding allowance on squared distances.
 BLOCK_DIMS, TILE, SLACK = 8, 1024, 1e-9
@@ -49,6 +49,11 @@ def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two that bring their largest components near 1, so that no square over- or underflows."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
+
+
 def _turned(v: np.ndarray) -> np.ndarray:
     """Unit vectors, rotated; summed in a fixed order, so that tiles agree to the last bit."""
     unit, turn = v / np.sqrt(_dots(v, v))[:, None], rotation(v.shape[1])
@@ -69,7 +74,7 @@ def _strips(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for dims, part in pdf.groupby("dims"):
-                v = np.array(part["vec"].tolist(), dtype=np.float64).reshape(len(part), dims)
+                v = _scaled(np.array(part["vec"].tolist(), dtype=np.float64).reshape(len(part), dims))
                 turned = _turned(v)
                 for b, (lo, hi) in enumerate(block_bounds(dims)):
                     strip = np.floor(turned[:, lo] / _width(threshold, lo, hi, dims)).astype(np.int64)
@@ -87,7 +92,7 @@ def _tile(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         dims, block = int(pdf["dims"].iat[0]), int(pdf["block"].iat[0])
         strip, i, j = int(pdf["at"].iat[0]), int(pdf["i"].iat[0]), int(pdf["j"].iat[0])
-        v = np.array(pdf["vec"].tolist(), dtype=np.float64)
+        v = _scaled(np.array(pdf["vec"].tolist(), dtype=np.float64))
         norm, turned = np.sqrt(_dots(v, v)), _turned(v)
         ids, copies = pdf["id"].to_numpy(), pdf["copies"].to_numpy()
         home, salt = pdf["strip"].to_numpy() == strip, pdf["salt"].to_numpy()
@@ -150,24 +155,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fine = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(finite & F.exists("vec", lambda x: x != 0), F.lit(False))
     good = v.where(fine).withColumn("vec", F.transform("vec", lambda x: F.when(x == 0, 0).otherwise(x).cast(kind)))  # no negative zeros
-    classes = cut(good.groupBy("label", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vectors")
-    keys = ["label", "dims", "block", "strip"]
-    cells = classes.select(F.col("label").cast("string"), F.size("vec").alias("dims"), "id", "copies", "vec")
-    strips = cut(cells.mapInPandas(_strips(threshold), f"label string, dims int, block int, strip long, id long, copies long, vec array<{kind}>"), "strips")
-    sizes = cut(strips.groupBy(*keys).agg(F.ceil(F.count("*") / TILE).cast("int").alias("salts")), "strip-sizes")
-    before = sizes.select("label", "dims", "block", (F.col("strip") + 1).alias("strip"), F.col("salts").alias("hosts"))
-    after = sizes.select("label", "dims", "block", (F.col("strip") - 1).alias("strip"), F.col("salts").alias("next"))
-    salted = strips.join(sizes.join(before, keys, "left").join(after, keys, "left"), keys)
-    salted = salted.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
-    # at home tile (i, j), i <= j, of the strip's own salts; tile (i, -1 - t): salt i of a strip and salt t of the next
-    home = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda t: F.struct(F.col("strip").alias("at"), F.least("salt", t).alias("i"), F.greatest("salt", t).alias("j")))
-    host = F.when(F.col("next").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("next") - 1), lambda t: F.struct(F.col("strip").alias("at"), F.col("salt").alias("i"), (-1 - t).alias("j"))))
-    guest = F.when(F.col("hosts").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("hosts") - 1), lambda t: F.struct((F.col("strip") - 1).alias("at"), t.alias("i"), (-1 - F.col("salt")).alias("j"))))
-    none = F.array().cast("array<struct<at:bigint,i:int,j:int>>")
-    placed = salted.withColumn("tile", F.explode(F.concat(home, F.coalesce(host, none), F.coalesce(guest, none)))).select(*keys, "id", "copies", "vec", "salt", "tile.*")
-    found = cut(placed.groupBy("label", "dims", "block", "at", "i", "j").applyInPandas(_tile(threshold), "id long, n long, root long"), "embed-links")
-    counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    comps = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    with scratch() as made:
+        classes = cut(good.groupBy("label", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vectors")
+        keys = ["label", "dims", "block", "strip"]
+        cells = classes.select(F.col("label").cast("string"), F.size("vec").alias("dims"), "id", "copies", "vec")
+        strips = cut(cells.mapInPandas(_strips(threshold), f"label string, dims int, block int, strip long, id long, copies long, vec array<{kind}>"), "strips")
+        sizes = cut(strips.groupBy(*keys).agg(F.ceil(F.count("*") / TILE).cast("int").alias("salts")), "strip-sizes")
+        before = sizes.select("label", "dims", "block", (F.col("strip") + 1).alias("strip"), F.col("salts").alias("hosts"))
+        after = sizes.select("label", "dims", "block", (F.col("strip") - 1).alias("strip"), F.col("salts").alias("next"))
+        salted = strips.join(sizes.join(before, keys, "left").join(after, keys, "left"), keys)
+        salted = salted.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+        # at home tile (i, j), i <= j, of the strip's own salts; tile (i, -1 - t): salt i of a strip and salt t of the next
+        home = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda t: F.struct(F.col("strip").alias("at"), F.least("salt", t).alias("i"), F.greatest("salt", t).alias("j")))
+        host = F.when(F.col("next").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("next") - 1), lambda t: F.struct(F.col("strip").alias("at"), F.col("salt").alias("i"), (-1 - t).alias("j"))))
+        guest = F.when(F.col("hosts").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("hosts") - 1), lambda t: F.struct((F.col("strip") - 1).alias("at"), t.alias("i"), (-1 - F.col("salt")).alias("j"))))
+        none = F.array().cast("array<struct<at:bigint,i:int,j:int>>")
+        placed = salted.withColumn("tile", F.explode(F.concat(home, F.coalesce(host, none), F.coalesce(guest, none)))).select(*keys, "id", "copies", "vec", "salt", "tile.*")
+        found = cut(placed.groupBy("label", "dims", "block", "at", "i", "j").applyInPandas(_tile(threshold), "id long, n long, root long"), "embed-links")
+        counts = found.groupBy("id").agg(F.sum("n").alias("n"))
+        comps = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        for table in (classes, found, comps):  # the result reads them
+            made.keep(table)
     done = classes.join(counts, "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left")
     done = done.select(F.col("label").alias("l"), F.col("vec").alias("w"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     linked = good.join(done, (F.col("label") == F.col("l")) & (F.col("vec") == F.col("w"))).select("vec_id", "n_links", "component_id")

@@ -650,3 +650,10 @@ def test_embeddings(spark, monkeypatch, tile):
     got = op10_embed.near_duplicates(df).collect()
     assert sorted((str(x.vec_id), x.n_links, str(x.component_id)) for x in got) == brute_vectors(rows, 0.93)
     assert op10_embed.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("scale", [1e-310, 1e-200, 1.0, 1e200, 1e307])
+def test_vectors_of_any_size(spark, scale):
+    rows = [(1, [scale, 2 * scale, 3 * scale], 0), (2, [1.1, 2.0, 3.0], 0), (3, [-scale, scale, scale], 0), (4, [scale * 1.05, 2 * scale, 3 * scale], 0)]
+    got = op10_embed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 1)}
