@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.functions import paths as P
@@ -23,20 +23,20 @@ def _draw(seed: int, *salt: str) -> F.Column:
     return F.conv(F.left(F.md5(F.concat_ws("/", F.lit(str(seed)), *salt)), F.lit(7)), 16, 10).cast("long")
 
 
-def project_files(spark: SparkSession, groups: int, per_group: int, seed: int) -> DataFrame:
-    """A seeded project: path, grp; one public file a group."""
-    f = spark.range(groups * per_group).select((F.col("id") % groups).alias("grp"), F.floor(F.col("id") / groups).alias("k"))
+def project_files(groups: DataFrame, per_group: int, seed: int) -> DataFrame:
+    """A seeded project of groups(grp): path, grp; one public file a group."""
+    f = groups.select("grp", F.explode(F.sequence(F.lit(0), F.lit(per_group - 1))).alias("k"))
     name = F.when(F.col("k") == 0, "index").otherwise(F.concat(F.lit("f"), F.col("k").cast("string")))
     ending = F.when(_draw(seed, F.lit("ending"), F.col("grp").cast("string"), F.col("k").cast("string")) % 5 == 0, ".tsx").otherwise(".ts")
     return f.select(F.concat(F.lit("src/b"), F.col("grp").cast("string"), F.lit("/"), name, ending).alias("path"), "grp")
 
 
-def project_imports(spark: SparkSession, groups: int, per_group: int, fan: int, seed: int) -> DataFrame:
-    """Imports of a seeded project: src, k (a file), line, dst, private (not through the group's public file)."""
-    f = spark.range(groups * per_group).select((F.col("id") % groups).alias("src"), F.floor(F.col("id") / groups).alias("k"))
+def project_imports(groups: DataFrame, per_group: int, fan: int, reach: int, seed: int) -> DataFrame:
+    """Imports of a seeded project of groups(grp): src, k (a file), line, dst (a group below reach), private (not through the group's public file)."""
+    f = groups.select(F.col("grp").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(per_group - 1))).alias("k"))
     f = f.withColumn("line", F.explode(F.sequence(F.lit(1), F.lit(fan)))).withColumn("line", F.col("line").cast("long"))
     salt = [F.col(c).cast("string") for c in ("src", "k", "line")]
-    return f.select("src", "k", "line", (_draw(seed, F.lit("dst"), *salt) % groups).alias("dst"), (_draw(seed, F.lit("private"), *salt) % 10 == 0).alias("private"))
+    return f.select("src", "k", "line", (_draw(seed, F.lit("dst"), *salt) % reach).alias("dst"), (_draw(seed, F.lit("private"), *salt) % 10 == 0).alias("private"))
 
 
 def stale_edges(edges: DataFrame, removed: DataFrame, added: DataFrame, analysed: DataFrame) -> DataFrame:
@@ -46,7 +46,9 @@ def stale_edges(edges: DataFrame, removed: DataFrame, added: DataFrame, analysed
     that came asks for the unresolved ones, for specifiers that end in its name, and for those of a folder alone.
     """
     name = lambda c: F.regexp_replace(F.substring_index(c, "/", -1), r"\.(d\.)?[cm]?[jt]sx?$", "")
-    stems = added.select(name(F.col("path")).alias("stem")).distinct().withColumn("by_name", F.lit(True))
+    # a folder's index file answers to the folder's name too
+    stems = added.select(F.explode(F.array(name(F.col("path")), F.when(name(F.col("path")) == "index", P.basename(P.dirname(F.col("path")))))).alias("stem"))
+    stems = stems.where("stem <> ''").distinct().withColumn("by_name", F.lit(True))
     some = added.limit(1).select(F.lit(True).alias("any_added"))
     gone = removed.select(F.col("path").alias("target")).distinct().withColumn("by_target", F.lit(True))
     kept = edges.where("kind <> 'dynamic'").join(analysed.unionByName(removed).select(F.col("path").alias("file")).distinct(), "file", "left_anti")

@@ -148,14 +148,14 @@ def classified_paths(spark, sf):
 DRAW = "('0x' || left(md5('7/' || {0}), 7))::BIGINT"
 
 
-@query(f"SELECT 'src/b' || g || '/' || CASE k WHEN 0 THEN 'index' ELSE 'f' || k END || CASE WHEN {DRAW.format(chr(39) + 'ending/' + chr(39) + ' || g || ' + chr(39) + '/' + chr(39) + ' || k')} % 5 = 0 THEN '.tsx' ELSE '.ts' END AS path, g AS grp FROM range(40) a(g), range(25) b(k)")
+@query(f"SELECT 'src/b' || g || '/' || CASE k WHEN 0 THEN 'index' ELSE 'f' || k END || CASE WHEN {DRAW.format(chr(39) + 'ending/' + chr(39) + ' || g || ' + chr(39) + '/' + chr(39) + ' || k')} % 5 = 0 THEN '.tsx' ELSE '.ts' END AS path, g AS grp FROM (SELECT s_suppkey AS g FROM supplier) a, range(25) b(k)")
 def seeded_files(spark, sf):
-    return sources.project_files(spark, 40, 25, 7)
+    return sources.project_files(T.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("grp")), 25, 7)
 
 
-@query(f"WITH i AS (SELECT g AS src, k, l AS line, g || '/' || k || '/' || l AS s FROM range(40) a(g), range(25) b(k), range(1, 4) c(l)) SELECT src, k, line, {DRAW.format(chr(39) + 'dst/' + chr(39) + ' || s')} % 40 AS dst, {DRAW.format(chr(39) + 'private/' + chr(39) + ' || s')} % 10 = 0 AS private FROM i")
+@query(f"WITH i AS (SELECT g AS src, k, l AS line, g || '/' || k || '/' || l AS s FROM (SELECT s_suppkey AS g FROM supplier) a, range(25) b(k), range(1, 4) c(l)) SELECT src, k, line, {DRAW.format(chr(39) + 'dst/' + chr(39) + ' || s')} % 40 AS dst, {DRAW.format(chr(39) + 'private/' + chr(39) + ' || s')} % 10 = 0 AS private FROM i")
 def seeded_imports(spark, sf):
-    return sources.project_imports(spark, 40, 25, 3, 7)
+    return sources.project_imports(T.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("grp")), 25, 3, 40, 7)
 
 
 @query("""WITH e AS (SELECT 'f' || l_orderkey AS file, l_linenumber AS line, CASE l_partkey % 9 WHEN 0 THEN '..' WHEN 1 THEN './a/.' ELSE './m' || l_suppkey || CASE l_partkey % 2 WHEN 0 THEN '.js' ELSE '' END END AS specifier, 'm' || l_suppkey AS target, CASE l_partkey % 11 WHEN 0 THEN 'dynamic' WHEN 1 THEN 'unresolved' WHEN 2 THEN 'outside' ELSE 'file' END AS kind, l_orderkey, l_suppkey, l_partkey FROM lineitem)
