@@ -218,34 +218,45 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_sig, pivot, count = int(sig[-1]), int(pivots[-1]), int(counts[-1])
 
 
-def _arrays(n: int):
+#: Sets that a task of _verify keeps for rows to come, and the shingles of all of them at most.
+KEPT_SETS, KEPT_ITEMS = 64, 1 << 20
+
+
+def _verify(n: int, percent: int):
+    """Rows (a, b, text of a, text of b) -> the pairs that are linked. A text that many rows share is cut into shingles a few times."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}
+        room = KEPT_ITEMS
+
+        def items(text: str) -> np.ndarray:
+            nonlocal room
+            if (found := known.pop(text, None)) is None:
+                found = shingles(text, n)
+                room -= len(found)
+            known[text] = found  # the last used last
+            while len(known) > 1 and (room < 0 or len(known) > KEPT_SETS):
+                room += len(known.pop(next(iter(known))))
+            return found
+
         for batch in batches:
-            for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, n).view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "items"])
+            keep = []
+            for i in range(batch.num_rows):
+                x, y = items(batch.column(2)[i].as_py()), items(batch.column(3)[i].as_py())
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x, y = batch.column(2), batch.column(3)
-        keep = []
-        for i in range(batch.num_rows):
-            a, b = x[i].values.to_numpy(zero_copy_only=False), y[i].values.to_numpy(zero_copy_only=False)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(100 * both >= percent * (len(a) + len(b) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of pairs(a, b) those whose sets are linked; sets are made only for documents in a pair."""
+    """Of pairs(a, b) those whose sets are linked. Texts travel, not sets: a word takes less room than a hash for each shingle."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.join(wanted, docs.doc_id == wanted.id, "left_semi")
-    arrays = cut(texts.select("doc_id", "text").mapInArrow(tidy(_arrays(n)), "id long, items array<long>"), "jaccard-sets")
-    both = pairs.join(arrays.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(arrays.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    out = cut(both.select("a", "b", "x", "y").mapInArrow(tidy(lambda it: _verify(it, percent)), "a long, b long"), "jaccard-links")
-    free(arrays)
+    texts = cut(docs.where("text is not null").join(wanted, docs.doc_id == wanted.id, "left_semi").select(F.col("doc_id").alias("id"), "text"), "jaccard-texts")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    out = cut(both.select("a", "b", "x", "y").mapInArrow(tidy(_verify(n, percent)), "a long, b long"), "jaccard-links")
+    free(texts)
     return out
 
 
