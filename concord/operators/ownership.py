@@ -60,3 +60,15 @@ def glob_hits(files: DataFrame, globs: DataFrame) -> DataFrame:
     """glob_id, hits of every glob, 0 included."""
     hits = matches(files, globs).where("counts").groupBy("glob_id").agg(F.count("*").alias("hits"))
     return globs.select("glob_id", "glob").join(hits, "glob_id", "left").select("glob_id", "glob", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+def changed_owners(before: DataFrame, added: DataFrame, removed: DataFrame, globs: DataFrame) -> DataFrame:
+    """owners() of the files after a change, from those before: only added(path) are matched. A path both removed and added counts as added."""
+    gone = removed.select("path").unionByName(added.select("path")).distinct()
+    return before.join(gone, "path", "left_anti").unionByName(owners(added.select("path").distinct(), globs))
+
+
+def changed_hits(before: DataFrame, added: DataFrame, removed: DataFrame, globs: DataFrame) -> DataFrame:
+    """glob_hits() of the files after a change, from those before: hits of added(path) and removed(path), distinct and in the list or not as they say, count plus and minus one."""
+    signed = lambda files, sign: glob_hits(files, globs).select("glob_id", "glob", (F.col("hits") * sign).alias("hits"))
+    return before.select("glob_id", "glob", "hits").unionByName(signed(added, 1)).unionByName(signed(removed, -1)).groupBy("glob_id", "glob").agg(F.sum("hits").alias("hits"))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from concord.functions import paths as P
 from concord.operators import components, diff, graph, ownership, relations, reports, resolve, rollup, stats
 from concord.sources import tables as T
-from concord.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -411,16 +410,9 @@ def linked_groups(spark, sf):
     return components.connected_components(T.sparse(spark, sf), "src", "dst")
 
 
-@query()
-def session_decisions(spark, sf):
-    e = T.table(spark, sf, "events")
-    phase = F.when(F.expr("event_id % 17 = 0"), "reset").when(F.expr("event_id % 5 = 0"), "stop").otherwise("edit")
-    keys = F.when(F.expr("event_id % 4 = 0"), "").otherwise(F.concat("event_type", F.lit(","), F.expr("cast(event_id % 3 as string)")))
-    return changes.fold_sessions(e.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), phase.alias("phase"), keys.alias("keys")))
-
-
 import concord.registry_resolve  # noqa: E402,F401  adds its queries
 import concord.registry_rules  # noqa: E402,F401  adds its queries
+import concord.registry_streams  # noqa: E402,F401  adds its queries
 import concord.registry_text  # noqa: E402,F401  adds its queries
 
 

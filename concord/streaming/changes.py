@@ -1,14 +1,12 @@
-"""Change feeds: a snapshot kept current by micro-batches, and session state by key."""
+"""Change feeds: a snapshot kept current by micro-batches, and the last good version of each key."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from concord.operators.diff import overlay
 from concord.plans.shared import cut
@@ -39,44 +37,9 @@ class Snapshot:
         self.mark = mark
 
 
-DECISIONS = "session long, seq long, kind string, shown int"
-STATE = "shown string, dirty boolean"
-
-
-def decide(shown: set[str], phase: str, keys: list[str]) -> tuple[set[str], str, int]:
-    """One event of a session: keys seen for the first time are shown once; a stop blocks while something is open; a reset forgets."""
-    if phase == "reset":
-        return set(), "silent", 0
-    fresh = set(keys) - shown
-    if phase == "stop":
-        return shown & set(keys) | fresh, "block" if keys else "silent", len(keys)
-    return shown | fresh, "context" if fresh else "silent", len(fresh)
-
-
-def session_step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    shown = set(filter(None, state.get[0].split("\n"))) if state.exists else set()
-    out = []
-    for r in pd.concat(list(rows)).sort_values("seq").itertuples():
-        shown, kind, n = decide(shown, r.phase, [x for x in (r.keys or "").split(",") if x])
-        out.append((key[0], r.seq, kind, n))
-    state.update(("\n".join(sorted(shown)), bool(shown)))
-    yield pd.DataFrame(out, columns=["session", "seq", "kind", "shown"])
-
-
-def session_decisions(events: DataFrame) -> DataFrame:
-    """A stream of events(session, seq, phase, keys) -> a decision each, with state kept per session."""
-    return events.groupBy("session").applyInPandasWithState(session_step, DECISIONS, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def fold_sessions(events: DataFrame) -> DataFrame:
-    """The same decisions from a table, each session folded in order."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        shown: set[str] = set()
-        out = []
-        for r in pdf.sort_values("seq").itertuples():
-            shown, kind, n = decide(shown, r.phase, [x for x in (r.keys or "").split(",") if x])
-            out.append((r.session, r.seq, kind, n))
-        return pd.DataFrame(out, columns=["session", "seq", "kind", "shown"])
-
-    return events.groupBy("session").applyInPandas(fold, DECISIONS)
+def last_good(versions: DataFrame, key: str, order: str) -> DataFrame:
+    """versions(key, an order, valid, and more) -> for each key its last valid version, with held: a later one is invalid. Keys without a valid version are left out; nulls of valid are invalid."""
+    valid = F.coalesce("valid", F.lit(False))
+    others = [c for c in versions.columns if c not in (key, "valid")]
+    per = versions.groupBy(key).agg(F.max_by(F.when(valid, F.struct(*others)), F.when(valid, F.col(order))).alias("good"), F.max(order).alias("latest"))
+    return per.where("good is not null").select(key, "good.*", (F.col("latest") > F.col(f"good.{order}")).alias("held"))

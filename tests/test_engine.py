@@ -136,21 +136,6 @@ def test_names(spark):
         assert one(paths.match_score(L(kind), L(label), q)) == want, (kind, label)
 
 
-EVENTS = [(s, i, ["edit", "edit", "stop", "edit", "reset", "edit"][i % 6], ["a,b", "b", "", "a", "", "b,c"][(i * s) % 6]) for s in (1, 2, 3) for i in range(12)]
-
-
-def test_session_stream_equals_fold(spark, tmp_path):
-    kind = "session long, seq long, phase string, keys string"
-    spark.createDataFrame(EVENTS, kind).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = changes.session_decisions(spark.readStream.schema(kind).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("decisions").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    assert sorted(map(tuple, spark.table("decisions").collect())) == sorted(map(tuple, changes.fold_sessions(spark.createDataFrame(EVENTS, kind)).collect()))
-
-
 def test_snapshot_equals_rebuild(spark):
     base = spark.createDataFrame([(i, f"v{i}") for i in range(10)], "k int, v string")
     seen = []
