@@ -8,8 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rules in the order of a report.
-RULES = ("config-cycle", "dependency-undeclared", "dependency-unused", "import-private", "import-unresolved", "import-ignored", "import-dynamic", "import-namespace", "public-missing")
+from concord.operators.ordering import places
+
+#: The rules in the order of a report.
+RULES = (
+    "config-invalid", "config-cycle", "dependency-undeclared", "dependency-unused", "import-private", "import-unresolved", "import-ignored", "import-dynamic", "import-namespace",
+    "file-unowned", "file-overlap", "glob-empty", "public-missing", "public-not-interface", "project-undeclared", "export-unused", "package-undeclared", "package-unused",
+)
 UNRESOLVED = ("relative", "paths", "workspace")
 
 
@@ -52,6 +57,12 @@ def namespace(edges: DataFrame) -> DataFrame:
     return once(edges.where("class = 'cross' and namespace is not null"), ["file", "line", "specifier"]).select("file", "line", "src", "dst", F.col("namespace").alias("form"), "specifier")
 
 
+def private(edges: DataFrame, declared: DataFrame, public: DataFrame) -> DataFrame:
+    """Imports along declared(src, dst) of what public(target) leaves out, the first of each file and target."""
+    inner = edges.where("class = 'cross'").join(declared, ["src", "dst"], "left_semi").join(public, "target", "left_anti")
+    return once(inner, ["file", "target"]).select("file", "line", "src", "dst", "target")
+
+
 def consumers(edges: DataFrame, public: DataFrame) -> DataFrame:
     """(target, name, src, imports) of public files' names; imports of everything name nothing."""
     named = edges.where("class = 'cross' and namespace is null").join(public, "target", "left_semi")
@@ -103,9 +114,7 @@ def finding(rows: DataFrame, rule: str, file: Column, line: Column, *identity: s
 def ordered(parts: list[DataFrame]) -> DataFrame:
     """All findings with their place: by file, line (none first), rule and key."""
     every = reduce(DataFrame.unionByName, parts).distinct()
-    # places come from one sorted pass over the findings of a report, not over what was checked
-    by = W.orderBy(F.coalesce("file", F.lit("")), F.coalesce("line", F.lit(0)), "rule", "key")
-    return every.withColumn("place", F.row_number().over(by).cast("long"))
+    return places(every, [F.coalesce("file", F.lit("")), F.coalesce("line", F.lit(0)), F.col("rule"), F.col("key")])
 
 
 def per_rule(findings: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.functions import paths as P
 from concord.operators import findings as R
 from concord.operators import relations
-from concord.registry import ACYCLIC, DECLARED, EDGES, FILES, GLOB_SQL, ownership_last_match, query
+from concord.plans.shared import cut, scratch
+from concord.registry import ACYCLIC, DECLARED, EDGES, FILES, GLOB_SQL, glob_empty, ownership_last_match, query
 from concord.sources import tables as T
 
 IMPORTS = f"""{EDGES}, i AS (SELECT CASE WHEN file % 9 <> 0 THEN src END AS src, file, line % 3 AS line, line AS stmt, './m' || target AS specifier,
@@ -95,38 +99,76 @@ def public_missing(spark, sf):
     return R.public_missing(listed, files)
 
 
-VIOLATIONS = f"""v AS (SELECT 'import-dynamic' AS rule, CAST(file AS VARCHAR) AS file, line, '["import-dynamic","' || file || '","' || line || '"]' AS key FROM ({DYNAMIC})
-UNION SELECT 'import-unresolved', CAST(file AS VARCHAR), line, '["import-unresolved","' || file || '","' || specifier || '"]' FROM ({UNRESOLVED})
-UNION SELECT 'import-ignored', CAST(file AS VARCHAR), line, '["import-ignored","' || file || '","' || target || '"]' FROM ({IGNORED})
-UNION SELECT 'import-namespace', CAST(file AS VARCHAR), line, '["import-namespace","' || file || '","' || line || '","' || specifier || '"]' FROM ({NAMESPACE})
-UNION SELECT 'dependency-unused', NULL, NULL, '["dependency-unused","' || src || '","' || dst || '"]' FROM (SELECT src, dst FROM d WHERE src NOT IN (SELECT src FROM c WHERE class = 'unresolved') EXCEPT SELECT src, dst FROM c WHERE class = 'cross'))"""
+def _key(rule: str, *identity: str) -> str:
+    return f"""'{rule}' AS rule, {{file}} AS file, {{line}} AS line, '["{rule}","' || {' || \'","\' || '.join(identity)} || '"]' AS key"""
+
+
+def _found(rule: str, rows: str, *identity: str, file: str = "NULL", line: str = "NULL") -> str:
+    return f"SELECT {_key(rule, *identity).format(file=f'CAST({file} AS VARCHAR)', line=line)} FROM ({rows})"
+
+
+#: Groups and the packages they declare; names that public files export.
+PACKAGES = "SELECT DISTINCT p_size % 25 AS src, p_brand AS name FROM part"
+EXPORTS = "SELECT s_suppkey AS target, 'Brand#' || (1 + s_suppkey % 5) || (1 + k) AS name FROM supplier, range(5) t(k) WHERE s_suppkey % 3 = 0"
+_UNHELD = "src NOT IN (SELECT src FROM c WHERE class = 'unresolved')"
+VIOLATIONS = "v AS (" + " UNION ".join([
+    _found("import-dynamic", DYNAMIC, "file", "line", file="file", line="line"),
+    _found("import-unresolved", UNRESOLVED, "file", "specifier", file="file", line="line"),
+    _found("import-ignored", IGNORED, "file", "target", file="file", line="line"),
+    _found("import-namespace", NAMESPACE, "file", "line", "specifier", file="file", line="line"),
+    _found("import-private", _first("file, target", "file, line, target", "class = 'cross' AND target % 3 <> 0 AND EXISTS (SELECT 1 FROM d WHERE d.src = c.src AND d.dst = c.dst)"), "file", "target", file="file", line="line"),
+    _found("dependency-undeclared", "SELECT src, dst, min((file, line))[1] AS file, min((file, line))[2] AS line FROM c WHERE class = 'cross' AND NOT EXISTS (SELECT 1 FROM d WHERE d.src = c.src AND d.dst = c.dst) GROUP BY src, dst", "src", "dst", file="file", line="line"),
+    _found("dependency-unused", f"SELECT src, dst FROM d WHERE {_UNHELD} EXCEPT SELECT src, dst FROM c WHERE class = 'cross'", "src", "dst"),
+    _found("public-missing", f"WITH {LISTED} {MISSING}", "owner", "file"),
+    _found("export-unused", f"{EXPORTS} EXCEPT SELECT target, name FROM c WHERE class = 'cross' AND namespace IS NULL", "target", "name", file="target"),
+    _found("package-undeclared", f"SELECT src, name FROM c WHERE class = 'package' EXCEPT {PACKAGES}", "src", "name"),
+    _found("package-unused", f"SELECT src, name FROM ({PACKAGES}) WHERE {_UNHELD} EXCEPT SELECT src, name FROM c WHERE class = 'package'", "src", "name"),
+    _found("file-unowned", f"WITH {FILES}, {GLOB_SQL} SELECT path FROM o WHERE state = 'unowned'", "path", file="path"),
+    _found("file-overlap", f"WITH {FILES}, {GLOB_SQL} SELECT path, owners FROM o WHERE state = 'overlap'", "path", "owners", file="path"),
+    _found("glob-empty", f"WITH {FILES}, {GLOB_SQL}, ids AS (SELECT unnest(range(10))::INT AS glob_id) SELECT glob_id FROM ids WHERE glob_id NOT IN (SELECT glob_id FROM k WHERE counts)", "glob_id"),
+]) + ")"
 
 
 def _findings(spark, sf):
-    e = _edges(spark, sf)
-    cross = e.where("class = 'cross'")
+    """The findings of fourteen rules. Imports are joined and dispatched once, and written; each rule reads what it needs of them."""
+    e = cut(_edges(spark, sf), "findings-edges")
+    declared = T.declared(spark, sf)
+    cross, package = e.where("class = 'cross'"), e.where("class = 'package'").select("src", "name").distinct()
     held = e.where("class = 'unresolved'").select("src").distinct()
+    s = T.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("target"))
+    public = s.where("target % 3 = 0")
+    exports = public.select("target", F.explode(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.concat(F.lit("Brand#"), (1 + F.col("target") % 5).cast("string"), k.cast("string")))).alias("name"))
+    packages = T.table(spark, sf, "part").selectExpr("p_size % 25 AS src", "p_brand AS name").distinct()
+    owned = cut(ownership_last_match(spark, sf), "findings-owners")
+    none, file, line = F.lit(None), F.col("file"), F.col("line")
     return [
-        R.finding(R.dynamic(e), "import-dynamic", F.col("file"), F.col("line"), "file", "line"),
-        R.finding(R.unresolved(e), "import-unresolved", F.col("file"), F.col("line"), "file", "specifier"),
-        R.finding(R.ignored(e), "import-ignored", F.col("file"), F.col("line"), "file", "target"),
-        R.finding(R.namespace(e), "import-namespace", F.col("file"), F.col("line"), "file", "line", "specifier"),
-        R.finding(relations.unused(cross, T.declared(spark, sf), held), "dependency-unused", F.lit(None), F.lit(None), "src", "dst"),
+        R.finding(R.dynamic(e), "import-dynamic", file, line, "file", "line"),
+        R.finding(R.unresolved(e), "import-unresolved", file, line, "file", "specifier"),
+        R.finding(R.ignored(e), "import-ignored", file, line, "file", "target"),
+        R.finding(R.namespace(e), "import-namespace", file, line, "file", "line", "specifier"),
+        R.finding(R.private(e, declared, public), "import-private", file, line, "file", "target"),
+        R.finding(relations.undeclared(cross, declared), "dependency-undeclared", F.col("first_file"), F.col("first_line"), "src", "dst"),
+        R.finding(relations.unused(cross, declared, held), "dependency-unused", none, none, "src", "dst"),
+        R.finding(public_missing(spark, sf), "public-missing", none, none, "owner", "file"),
+        R.finding(exports.join(cross.where("namespace is null").select("target", "name").distinct(), ["target", "name"], "left_anti"), "export-unused", F.col("target"), none, "target", "name"),
+        R.finding(package.join(packages, ["src", "name"], "left_anti"), "package-undeclared", none, none, "src", "name"),
+        R.finding(packages.join(held, "src", "left_anti").join(package, ["src", "name"], "left_anti"), "package-unused", none, none, "src", "name"),
+        R.finding(owned.where("state = 'unowned'"), "file-unowned", F.col("path"), none, "path"),
+        R.finding(owned.where("state = 'overlap'"), "file-overlap", F.col("path"), none, "path", "owners"),
+        R.finding(glob_empty(spark, sf), "glob-empty", none, none, "glob_id"),
     ]
 
 
 @query(f"WITH {IMPORTS}, {DECLARED}, {VIOLATIONS} SELECT *, row_number() OVER (ORDER BY coalesce(file, ''), coalesce(line, 0), rule, key) AS place FROM v")
 def violations(spark, sf):
-    return R.ordered(_findings(spark, sf))
+    with scratch() as made:
+        return made.keep(cut(R.ordered(_findings(spark, sf)), "findings"))
 
 
-@query(f"WITH {IMPORTS}, {DECLARED}, {VIOLATIONS} SELECT rule, count(*) AS n, CASE rule WHEN 'dependency-unused' THEN 3 WHEN 'import-unresolved' THEN 5 WHEN 'import-ignored' THEN 6 WHEN 'import-dynamic' THEN 7 ELSE 8 END AS place FROM v GROUP BY rule")
+@query(f"WITH {IMPORTS}, {DECLARED}, {VIOLATIONS} SELECT rule, count(*) AS n, list_position({list(R.RULES)}, rule)::INT AS place FROM v GROUP BY rule")
 def rule_counts(spark, sf):
-    every = _findings(spark, sf)
-    out = every[0]
-    for more in every[1:]:
-        out = out.unionByName(more)
-    return R.per_rule(out.distinct())
+    with scratch() as made:
+        return made.keep(cut(R.per_rule(reduce(DataFrame.unionByName, _findings(spark, sf)).distinct()), "rule-counts"))
 
 
 @query(f"WITH {IMPORTS}, x AS (SELECT 'i' AS rule, CAST(file AS VARCHAR) AS key FROM ({IGNORED}) WHERE file % 5 <> 0), y AS (SELECT 'i' AS rule, CAST(file AS VARCHAR) AS key FROM ({IGNORED}) WHERE file % 7 <> 0) SELECT 'i' AS rule, (SELECT count(*) FROM x) AS was, (SELECT count(*) FROM y) AS now, (SELECT count(*) FROM y WHERE key NOT IN (SELECT key FROM x)) AS new_keys")
