@@ -410,6 +410,7 @@ def linked_groups(spark, sf):
     return components.connected_components(T.sparse(spark, sf), "src", "dst")
 
 
+import concord.registry_projects  # noqa: E402,F401  adds its queries
 import concord.registry_resolve  # noqa: E402,F401  adds its queries
 import concord.registry_rules  # noqa: E402,F401  adds its queries
 import concord.registry_streams  # noqa: E402,F401  adds its queries
