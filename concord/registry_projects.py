@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from concord.operators import fixes, projects
+from concord.operators import declarations, fixes, projects
 from concord.registry import DECLARED, EDGES, FILES, query
 from concord.sources import tables as T
 
@@ -62,3 +62,32 @@ def reexport_plan(spark, sf):
 @query(f"WITH {PRIVATE} SELECT grp, CASE WHEN clash THEN 'exported' WHEN NOT there AND target <> first THEN 'planned' ELSE 'routed' END AS fate, count(*) AS n FROM z GROUP BY ALL")
 def reexport_fates(spark, sf):
     return _plan(spark, sf)[1].groupBy("grp", "fate").agg(F.count("*").alias("n"))
+
+
+#: A declaration for each part, broken in one way of twelve.
+DECLARATION = """concat('{"version":"2.0","groups":{"g', p_partkey % 7, '":{"purpose":"P","files":["a/**"],"public":"a/i.ts","dependsOn":{"h":"why"},"packages":{}},"h":{"purpose":"Q","files":["b"],"public":null,"dependsOn":{},"packages":{}}}}')"""
+BROKEN = [("}}}}", "}}}"), ("2.0", "9.1"), ("2.0", "x"), ('"purpose":"Q",', ""), ('"purpose":"Q"', '"purpose":"Q","odd":1'), ('["b"]', "[]"), ('"P"', '"P\\nQ"'), ('"h":{', '"H!":{'), ('"packages":{}', '"packages":{"fs":"r"}'), ('"public":null', '"public":["a.ts","./a.ts","b*"]'), ('"dependsOn":{}', '"dependsOn":5')]
+CASES = [
+    (1, "json", "''", "NULL"), (2, "newer", "'version'", "'9.1'"), (3, "invalid", "'version'", "'a version'"), (4, "missing", "'groups/h'", "'purpose'"), (5, "unknown-field", "'groups/h'", "'odd'"), (6, "empty", "'groups/h/files'", "NULL"),
+    (7, "multiline", "'groups/g' || p_partkey % 7 || '/purpose'", "NULL"), (8, "group-name", "'groups/H!'", "'H!'"), (8, "unknown-group", "'groups/g' || p_partkey % 7 || '/dependsOn/h'", "'h'"),
+    (9, "package-name", "'groups/h/packages/fs'", "'node:fs'"), (9, "package-name", "'groups/g' || p_partkey % 7 || '/packages/fs'", "'node:fs'"),
+    (10, "invalid", "'groups/h/public/1'", "'a file that the list does not hold already'"), (10, "invalid", "'groups/h/public/2'", "'a file without glob characters'"), (11, "invalid", "'groups/h/dependsOn'", "'a value of type object'"),
+]
+
+
+def _declarations(spark, sf):
+    text = F.expr(DECLARATION)
+    for k, (was, now) in enumerate(BROKEN, 1):
+        text = F.when(F.col("p_partkey") % 12 == k, F.replace(F.expr(DECLARATION), F.lit(was), F.lit(now))).otherwise(text)
+    return T.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("project"), text.alias("text"))
+
+
+@query(" UNION ALL ".join(f"SELECT CAST(p_partkey AS VARCHAR) AS project, '{kind}' AS kind, {path} AS path, {detail} AS detail FROM part WHERE p_partkey % 12 = {k}" for k, kind, path, detail in CASES))
+def declaration_problems(spark, sf):
+    return declarations.problems(_declarations(spark, sf)).select("project", "kind", F.array_join("path", "/").alias("path"), "detail")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS project, p_size FROM part WHERE p_partkey % 12 = 0")
+def sound_projects(spark, sf):
+    frame = T.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("project"), "p_size")
+    return declarations.sound(frame, declarations.problems(_declarations(spark, sf)))
