@@ -3,15 +3,16 @@
 Unit vectors are rotated and split into blocks. Two vectors with cosine c are at squared
 distance 2 - 2c, so in one block at least their squared distance is within that block's
 proportional share; a range join per block finds every such pair, and the pairs found are
-verified on the full vectors in double precision. A block's range join cuts its leading
-coordinate into strips as wide as the block's radius; a strip's rows meet each other and the
-next strip's. Crowded strips are dealt into tiles of bounded size.
+verified on the full vectors in double precision. A label's vectors are dealt into a few
+parts; each pair of parts is a tile, in which all blocks are joined, so that a vector is
+sent once to each of its label's parts and not once for each block. A block's range join
+sorts both sides by the block's leading coordinate and compares a run of one side with the
+stretch of the other that lies within the block's radius.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from concord.operators.components import connected_components
 from concord.plans.shared import cut, scratch
 
-#: Dimensions of a block, rows of one side of a tile, rounding allowance on squared distances.
-BLOCK_DIMS, TILE, SLACK = 8, 1024, 1e-9
+#: Dimensions of a block, rounding allowances on squared distances in double and in single precision.
+BLOCK_DIMS, SLACK, ROUGH = 8, 1e-9, 1e-5
+#: Rows of one side of a tile, parts of a label up to which they grow with it, rows of a side at most, rows compared at once.
+TILE, PARTS, LARGEST, RUN = 2048, 8, 32768, 512
 
 
 def rotation(dims: int, seed: int = 7) -> np.ndarray:
@@ -64,23 +67,34 @@ def _turned(v: np.ndarray) -> np.ndarray:
 
 
 def _width(threshold: float, lo: int, hi: int, dims: int) -> float:
-    """Of a strip: a little over the block's radius, so that pairs within it are in neighbouring strips whatever the rounding."""
+    """A little over a block's radius, so that leading coordinates of pairs within it differ by less whatever the rounding."""
     return math.sqrt(budget(threshold, lo, hi, dims)) * (1 + 1e-6)
 
 
-def _strips(threshold: float):
-    """Rows (label, dims, id, vec) -> a row per block with the strip of its leading coordinate."""
+def _placed(cells: DataFrame) -> DataFrame:
+    """cells(label, dims, id, ...) -> each row once for each part of its label: with its part, and the tile (i, j), i <= j, of two parts.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for dims, part in pdf.groupby("dims"):
-                v = _scaled(np.array(part["vec"].tolist(), dtype=np.float64).reshape(len(part), dims))
-                turned = _turned(v)
-                for b, (lo, hi) in enumerate(block_bounds(dims)):
-                    strip = np.floor(turned[:, lo] / _width(threshold, lo, hi, dims)).astype(np.int64)
-                    yield pd.DataFrame({"label": part["label"].to_numpy(), "dims": dims, "block": b, "strip": strip, "id": part["id"].to_numpy(), "copies": part["copies"].to_numpy(), "vec": part["vec"].to_numpy()})
-
-    return run
+    A label has PARTS parts at most until a part would hold more than LARGEST rows, so what is sent grows as the input.
+    """
+    n = F.count("*")
+    parts = cells.groupBy("label", "dims").agg(F.greatest(F.least(F.ceil(n / TILE), F.lit(PARTS)), F.ceil(n / LARGEST)).cast("int").alias("parts"))
+    dealt = cells.join(parts, ["label", "dims"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: F.struct(F.least("part", t).alias("i"), F.greatest("part", t).alias("j")))
+    return dealt.withColumn("tile", F.explode(tiles)).select(*cells.columns, "part", "tile.*")
+
+
+def _near(own: np.ndarray, left: np.ndarray, right: np.ndarray, radius: float, most: float):
+    """Pairs of rows, of left and right, whose squared distance in a block is at most so large; in runs, with a few that are farther."""
+    a, z = left[np.argsort(own[left, 0], kind="stable")], right[np.argsort(own[right, 0], kind="stable")]
+    square, one = np.einsum("ij,ij->i", own, own), np.ones(len(own))
+    rows = np.column_stack((own, square, one)).astype(np.float32)
+    columns = np.column_stack((-2 * own, one, square)).astype(np.float32)[z]
+    first, last = np.searchsorted(own[z, 0], own[a, 0] - radius), np.searchsorted(own[z, 0], own[a, 0] + radius, side="right")
+    for at in range(0, len(a), RUN):
+        run = a[at : at + RUN]
+        lo, hi = first[at], last[at + len(run) - 1]
+        x, y = np.nonzero(rows[run] @ columns[lo:hi].T <= np.float32(most + ROUGH))
+        yield run[x], z[lo + y]
 
 
 def _tile(threshold: float):
@@ -90,15 +104,11 @@ def _tile(threshold: float):
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        dims, block = int(pdf["dims"].iat[0]), int(pdf["block"].iat[0])
-        strip, i, j = int(pdf["at"].iat[0]), int(pdf["i"].iat[0]), int(pdf["j"].iat[0])
+        dims, i, j = (int(pdf[c].iat[0]) for c in ("dims", "i", "j"))
         v = _scaled(np.array(pdf["vec"].tolist(), dtype=np.float64))
         norm, turned = np.sqrt(_dots(v, v)), _turned(v)
-        ids, copies = pdf["id"].to_numpy(), pdf["copies"].to_numpy()
-        home, salt = pdf["strip"].to_numpy() == strip, pdf["salt"].to_numpy()
-        left = np.flatnonzero(home & (salt == i))
-        right = np.flatnonzero((home & (salt == j)) if j >= 0 else ~home)
-        same = j == i
+        ids, copies, part = pdf["id"].to_numpy(), pdf["copies"].to_numpy(), pdf["part"].to_numpy()
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
         bounds = block_bounds(dims)
         count = np.zeros(len(pdf), dtype=np.int64)
         root = np.arange(len(pdf))
@@ -109,31 +119,26 @@ def _tile(threshold: float):
                 x = root[x]
             return x
 
-        lo, hi = bounds[block]
-        own = turned[:, lo:hi]
-        square = np.einsum("ij,ij->i", own, own)
-        for at in range(0, len(left), 512):
-            rows = left[at : at + 512]
-            near = square[rows][:, None] + square[right][None, :] - 2 * own[rows] @ own[right].T
-            hit = near <= budget(threshold, lo, hi, dims) + SLACK
-            if same:
-                hit &= rows[:, None] < right[None, :]
-            a, z = np.nonzero(hit)
-            a, z = rows[a], right[z]
-            for x in range(0, len(a), 65536):
-                p, q = a[x : x + 65536], z[x : x + 65536]
-                ok = _dots(v[p], v[q]) / (norm[p] * norm[q]) >= threshold
-                p, q = p[ok], q[ok]
-                for b, (lo2, hi2) in enumerate(bounds[: block + 1]):
-                    diff = turned[p, lo2:hi2] - turned[q, lo2:hi2]
-                    ok = (_dots(diff, diff) <= budget(threshold, lo2, hi2, dims)) == (b == block)
+        for block, (lo, hi) in enumerate(bounds):
+            own = np.ascontiguousarray(turned[:, lo:hi])
+            for a, z in _near(own, left, right, _width(threshold, lo, hi, dims), budget(threshold, lo, hi, dims)):
+                if i == j:
+                    once = a < z
+                    a, z = a[once], z[once]
+                for x in range(0, len(a), 65536):
+                    p, q = a[x : x + 65536], z[x : x + 65536]
+                    ok = _dots(v[p], v[q]) / (norm[p] * norm[q]) >= threshold
                     p, q = p[ok], q[ok]
-                np.add.at(count, p, copies[q])
-                np.add.at(count, q, copies[p])
-                for s, t in zip(p.tolist(), q.tolist(), strict=True):
-                    s, t = find(s), find(t)
-                    if s != t:
-                        root[max(s, t)] = min(s, t)
+                    for b, (lo2, hi2) in enumerate(bounds[: block + 1]):
+                        diff = turned[p, lo2:hi2] - turned[q, lo2:hi2]
+                        ok = (_dots(diff, diff) <= budget(threshold, lo2, hi2, dims)) == (b == block)
+                        p, q = p[ok], q[ok]
+                    np.add.at(count, p, copies[q])
+                    np.add.at(count, q, copies[p])
+                    for s, t in zip(p.tolist(), q.tolist(), strict=True):
+                        s, t = find(s), find(t)
+                        if s != t:
+                            root[max(s, t)] = min(s, t)
         seen = np.flatnonzero(count)
         roots = np.array([find(x) for x in seen.tolist()], dtype=np.int64)
         return pd.DataFrame({"id": ids[seen], "n": count[seen], "root": ids[roots] if len(seen) else np.array([], dtype=np.int64)})
@@ -157,21 +162,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     good = v.where(fine).withColumn("vec", F.transform("vec", lambda x: F.when(x == 0, 0).otherwise(x).cast(kind)))  # no negative zeros
     with scratch() as made:
         classes = cut(good.groupBy("label", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vectors")
-        keys = ["label", "dims", "block", "strip"]
         cells = classes.select(F.col("label").cast("string"), F.size("vec").alias("dims"), "id", "copies", "vec")
-        strips = cut(cells.mapInPandas(_strips(threshold), f"label string, dims int, block int, strip long, id long, copies long, vec array<{kind}>"), "strips")
-        sizes = cut(strips.groupBy(*keys).agg(F.ceil(F.count("*") / TILE).cast("int").alias("salts")), "strip-sizes")
-        before = sizes.select("label", "dims", "block", (F.col("strip") + 1).alias("strip"), F.col("salts").alias("hosts"))
-        after = sizes.select("label", "dims", "block", (F.col("strip") - 1).alias("strip"), F.col("salts").alias("next"))
-        salted = strips.join(sizes.join(before, keys, "left").join(after, keys, "left"), keys)
-        salted = salted.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
-        # at home tile (i, j), i <= j, of the strip's own salts; tile (i, -1 - t): salt i of a strip and salt t of the next
-        home = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda t: F.struct(F.col("strip").alias("at"), F.least("salt", t).alias("i"), F.greatest("salt", t).alias("j")))
-        host = F.when(F.col("next").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("next") - 1), lambda t: F.struct(F.col("strip").alias("at"), F.col("salt").alias("i"), (-1 - t).alias("j"))))
-        guest = F.when(F.col("hosts").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("hosts") - 1), lambda t: F.struct((F.col("strip") - 1).alias("at"), t.alias("i"), (-1 - F.col("salt")).alias("j"))))
-        none = F.array().cast("array<struct<at:bigint,i:int,j:int>>")
-        placed = salted.withColumn("tile", F.explode(F.concat(home, F.coalesce(host, none), F.coalesce(guest, none)))).select(*keys, "id", "copies", "vec", "salt", "tile.*")
-        found = cut(placed.groupBy("label", "dims", "block", "at", "i", "j").applyInPandas(_tile(threshold), "id long, n long, root long"), "embed-links")
+        found = cut(_placed(cells).groupBy("label", "dims", "i", "j").applyInPandas(_tile(threshold), "id long, n long, root long"), "embed-links")
         counts = found.groupBy("id").agg(F.sum("n").alias("n"))
         comps = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
         for table in (classes, found, comps):  # the result reads them

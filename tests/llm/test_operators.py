@@ -657,3 +657,16 @@ def test_vectors_of_any_size(spark, scale):
     rows = [(1, [scale, 2 * scale, 3 * scale], 0), (2, [1.1, 2.0, 3.0], 0), (3, [-scale, scale, scale], 0), (4, [scale * 1.05, 2 * scale, 3 * scale], 0)]
     got = op10_embed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 1)}
+
+
+def test_op10_sends_a_vector_a_bounded_number_of_times(spark, monkeypatch):
+    monkeypatch.setattr(op10_embed, "TILE", 4)
+    monkeypatch.setattr(op10_embed, "PARTS", 3)
+    cells = spark.range(200).selectExpr("'a' AS label", "2 AS dims", "id")
+    placed = op10_embed._placed(cells).collect()
+    assert len(placed) == 3 * 200
+    tiles = {}
+    for r in placed:
+        tiles.setdefault((r.i, r.j), []).append((r.id, r.part))
+    met = [(min(x, y), max(x, y)) for (i, j), rows in tiles.items() for x, a in rows for y, b in rows if a == i and b == j and (i != j or x < y)]
+    assert len(met) == len(set(met)) == 200 * 199 // 2  # each pair in one tile
