@@ -3,6 +3,7 @@
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from concord.sources.scanner import register, scan, scan_files
 
@@ -95,3 +96,14 @@ def test_frames(spark):
     register(spark)
     f.createOrReplaceTempView("scanned_files")
     assert [tuple(r) for r in spark.sql("SELECT path, s.specifier, s.line FROM scanned_files, LATERAL scan_imports(text) s").collect()] == [("a.ts", "./b", 1)]
+
+
+def test_texts_of_one_partition_are_dealt_over_tasks(spark):
+    key, was = "spark.sql.adaptive.coalescePartitions.enabled", spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set(key, "false")
+    try:
+        f = spark.range(0, 60, 1, 1).selectExpr("concat('a', id, '.ts') AS path", "'import \"./b\"' AS text")
+        found = scan_files(f).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(key, was)
+    assert len(found) == 60 and len({r.task for r in found}) > 1
