@@ -201,3 +201,23 @@ def test_all_lines_are_resolved(spark):
     l = tables.table(spark, sf, "lineitem")
     assert got.select("file").distinct().count() == l.select("l_partkey").distinct().count()
     assert got.count() == l.selectExpr("l_partkey", "l_suppkey * 3 + l_linenumber").distinct().count()
+
+
+def test_small_tasks_only_lowers(spark):
+    from concord.plans.shared import TASK_BYTES, small_tasks
+
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    was = [spark.conf.get(k) for k in keys]
+    try:
+        for value, want in (("128m", TASK_BYTES), ("1g", TASK_BYTES), ("67108864b", TASK_BYTES), ("64MB", TASK_BYTES)):
+            for k in keys:
+                spark.conf.set(k, value)
+            small_tasks(spark)
+            assert [int(spark.conf.get(k)) for k in keys] == [want, want]
+        for k in keys:
+            spark.conf.set(k, "2m")
+        small_tasks(spark)
+        assert [spark.conf.get(k) for k in keys] == ["2m", "2m"]
+    finally:
+        for k, v in zip(keys, was, strict=True):
+            spark.conf.set(k, v)
