@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from concord.functions import paths as P
-from concord.plans.shared import cut, scratch
+from concord.plans.shared import cut, scratch, small_tasks
 
 #: What may stand where. type: object, array, string, public (a string, an array or null); check: of a string's content.
 SHAPES = [
@@ -32,14 +32,17 @@ PROBLEM = "struct<kind:string,path:array<string>,detail:string>"
 def _node(value: Column) -> list[Column]:
     kind = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
     known = F.when(kind == "OBJECT", "object").when(kind == "ARRAY", "array").when(kind == "STRING", "string").when(value.isNull() | (kind == "VOID"), "null").otherwise("other")
-    return [known.alias("type"), F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).alias("text")]
+    keys = F.when(kind == "OBJECT", F.map_keys(value.cast("map<string,variant>")))
+    items = F.when(kind == "ARRAY", F.size(value.cast("array<variant>")))
+    return [known.alias("type"), F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).alias("text"), keys.alias("keys"), items.alias("items")]
 
 
 def walk(declarations: DataFrame) -> DataFrame:
-    """declarations(project, text) -> a row for each value: project, path, shape, key, type, text; texts that are no JSON have type json alone."""
+    """declarations(project, text) -> a row for each value: project, path, shape, key, type, text, and an object's keys or a list's number of items; texts that are no JSON have type json alone."""
     spark = declarations.sparkSession
-    level = declarations.select("project", F.array().cast("array<string>").alias("path"), F.lit("").alias("shape"), F.lit(None).cast("string").alias("key"), F.try_parse_json(F.regexp_replace("text", "^\\ufeff", "")).alias("value"))
-    root = level.select("project", "path", "shape", "key", F.when(F.col("value").isNull(), "json").otherwise(_node(F.col("value"))[0]).alias("type"), _node(F.col("value"))[1])
+    dealt = declarations.select("project", "text").repartition(F.xxhash64("project", "text"))  # a table may be one row group
+    level = dealt.select("project", F.array().cast("array<string>").alias("path"), F.lit("").alias("shape"), F.lit(None).cast("string").alias("key"), F.try_parse_json(F.regexp_replace("text", "^\\ufeff", "")).alias("value"))
+    root = level.select("project", "path", "shape", "key", F.when(F.col("value").isNull(), "json").otherwise(_node(F.col("value"))[0]).alias("type"), *_node(F.col("value"))[1:])
     out = root
     level = level.where("value is not null")
     for _ in range(max(s.count("/") for s, *_ in SHAPES) + 1):
@@ -72,6 +75,7 @@ def problems(declarations: DataFrame) -> DataFrame:
     Kinds: json; newer, alone, of a version to come; missing and unknown-field (detail: the field); invalid (what was
     expected); empty; multiline; group-name; unknown-group; package-name (what it should be). Null texts are no JSON.
     """
+    small_tasks(declarations.sparkSession)
     with scratch() as made:
         return made.keep(cut(_problems(cut(walk(declarations), "declaration-values")), "declaration-problems"))
 
@@ -88,10 +92,10 @@ def _problems(nodes: DataFrame) -> DataFrame:
     content = known.where(fits & (F.col("type") == "string")).withColumn("c", _content(F.col("check"), F.col("text"))).where("c is not null")
     # a value whose own place is not known is a field too many; what is inside of one is not looked at
     extra = known.where("wants is null and key is not null").join(F.broadcast(shapes.where("wants = 'object'").select(F.col("shape").alias("above"))), F.regexp_extract("shape", "^(.*)/[^/]*$", 1) == F.col("above"))
-    held = nodes.join(F.broadcast(shapes.where("size(needs) > 0").select("shape", F.explode("needs").alias("need"))), "shape").where("type = 'object'")
-    have = nodes.select("project", parent.alias("path"), F.col("key").alias("need")).where("need is not null").distinct()
-    lists = known.where("type = 'array' and (check = 'filled' or wants = 'public')").select("project", "path")
-    filled = nodes.where("key is null and size(path) > 0").select("project", parent.alias("path")).distinct()
+    # a value tells by itself which keys and items it has: nothing as large as the nodes is joined
+    held = nodes.join(F.broadcast(shapes.where("size(needs) > 0").select("shape", "needs")), "shape").where("type = 'object'")
+    missing = held.select("project", "path", F.explode(F.array_except("needs", "keys")).alias("need"))
+    bare = known.where("type = 'array' and items = 0 and (check = 'filled' or wants = 'public')")
     group = F.col("path")[1]
     listed = nodes.where((F.col("shape") == "groups/*/public/*") & (F.col("type") == "string") & ~F.col("text").rlike(GLOB)).withColumn("file", P.normalize_path(F.col("text"))).where("file <> ''")
     again = listed.withColumn("nth", F.row_number().over(W.partitionBy("project", parent, "file").orderBy(F.try_element_at("path", F.lit(-1)).try_cast("int")))).where("nth > 1")
@@ -101,8 +105,8 @@ def _problems(nodes: DataFrame) -> DataFrame:
         row(content, F.col("c.kind"), F.col("path"), F.col("c.detail")),
         row(again, "invalid", F.col("path"), F.lit("a file that the list does not hold already")),
         row(extra, "unknown-field", parent, F.col("key")),
-        row(held.join(have, ["project", "path", "need"], "left_anti"), "missing", F.col("path"), F.col("need")),
-        row(lists.join(filled, ["project", "path"], "left_anti"), "empty", F.col("path"), none),
+        row(missing, "missing", F.col("path"), F.col("need")),
+        row(bare, "empty", F.col("path"), none),
         row(names("groups/*", "name").where(~F.col("name").rlike("^[a-z][a-z0-9-]*$")), "group-name", F.col("path"), F.col("name")),
         row(names("groups/*/dependsOn/*", "name").withColumn("g", group).join(names("groups/*", "name").select("project", "name"), ["project", "name"], "left_anti"), "unknown-group", F.col("path"), F.col("name")),
         row(names("groups/*/packages/*", "name").where(P.package_key(F.col("name")) != F.col("name")), "package-name", F.col("path"), P.package_key(F.col("name"))),

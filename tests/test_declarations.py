@@ -26,3 +26,9 @@ def test_problems(spark):
     }
     assert [r.project for r in D.sound(d, found).collect()] == ["fine"]
     assert D.problems(d.limit(0)).count() == 0
+
+
+def test_values_tell_their_keys_and_items(spark):
+    rows = [("p", json.dumps({"b": [1, None], "a": {}, "c": [], "d": "x"}))]
+    values = {"/".join(r.path): (r["keys"] and sorted(r["keys"]), r["items"]) for r in D.walk(spark.createDataFrame(rows, "project string, text string")).collect() if len(r.path) < 2}
+    assert values == {"": (["a", "b", "c", "d"], None), "a": ([], None), "b": (None, 2), "c": (None, 0), "d": (None, None)}
