@@ -97,7 +97,9 @@ def resolve(imports: DataFrame, listing: DataFrame, settings: DataFrame, pattern
     """
     keys = ["folder", "specifier"]
     with scratch() as made:
-        asked = imports.select(P.dirname(F.col("file")).alias("folder"), "specifier").where("specifier is not null").distinct()
+        # found once: the imports are many, and four look-ups start from their distinct pairs
+        pairs = cut(imports.select(P.dirname(F.col("file")).alias("folder"), "specifier").where("specifier is not null").distinct(), "specifiers-pairs")
+        asked = pairs
         # settings are looked for from a file in the folder
         near = nearest_folder(asked.select(F.concat(F.when(F.col("folder") == "", "").otherwise(F.concat("folder", F.lit("/"))), F.lit("*")).alias("path"), "folder").distinct().withColumnRenamed("folder", "of"), settings)
         near = near.select(F.col("of").alias("folder"), F.col("folder").alias("settings"))
@@ -110,6 +112,7 @@ def resolve(imports: DataFrame, listing: DataFrame, settings: DataFrame, pattern
         asked = asked.join(workspaces.select(F.col("name").alias("package"), F.lit(True).alias("in_workspace")).distinct(), "package", "left")
         asked = asked.join(linked.select(F.col("name").alias("package"), F.lit(True).alias("is_linked")).distinct(), "package", "left")
         asked = cut(asked.join(answers.groupBy(*keys).agg(F.min("target").alias("answer")), keys, "left"), "specifiers-asked")
+        free(pairs)
 
         plain = F.regexp_replace(s, r"\?.*$", "")
         based = F.when(F.col("base") == "", s).otherwise(F.concat_ws("/", "base", "specifier"))

@@ -64,3 +64,22 @@ def test_workspaces(spark):
     assert got("!packages/b", "packages/*") == {"packages/a", "packages/b", "packages/c"}
     assert got("apps/**") == {"apps", "apps/x/y/z", "apps/1/2/3/4"}
     assert got("**/sub") == {"packages/a/sub"} and got("../x", "packages/{a,b}", "packages/a*") == set() == got()
+
+
+def test_imports_are_read_twice_at_most(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    imports = frame([(f"src/f{i}.ts", "@g/a" if i % 2 else "./b") for i in range(40)], "file string, specifier string").mapInPandas(count, "file string, specifier string")
+    got = S.resolve(
+        imports, frame([("src/b.ts", True), ("lib/a.ts", True)], "path string, listed boolean"), frame([("src", None)], "folder string, base string"),
+        frame([("src", "@g/*", 0, ["lib/*"])], "settings string, pattern string, position int, targets array<string>"), frame([], "name string, folder string"),
+        frame([], "folder string, name string"), frame([], "name string"), frame([], "folder string, specifier string, target string"),
+    ).collect()
+    assert {(r.specifier, r.kind, r.target) for r in got} == {("./b", "file", "src/b.ts"), ("@g/a", "file", "lib/a.ts")} and len(got) == 40
+    assert seen.value <= 80
