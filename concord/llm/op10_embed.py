@@ -74,7 +74,7 @@ def _width(threshold: float, lo: int, hi: int, dims: int) -> float:
 def _placed(cells: DataFrame) -> DataFrame:
     """cells(label, dims, id, ...) -> each row once for each part of its label: with its part, and the tile (i, j), i <= j, of two parts.
 
-    A label has PARTS parts at most until a part would hold more than LARGEST rows, so what is sent grows as the input.
+    A label has PARTS parts at most, so that no row is sent more often, until a part would hold more than LARGEST rows.
     """
     n = F.count("*")
     parts = cells.groupBy("label", "dims").agg(F.greatest(F.least(F.ceil(n / TILE), F.lit(PARTS)), F.ceil(n / LARGEST)).cast("int").alias("parts"))
