@@ -178,6 +178,33 @@ def test_bm25_blocks_and_groups(spark, monkeypatch):
         assert [(n, i) for n, i, _ in sorted(got[q])] == [(k + 1, i) for k, (_, i) in enumerate(best)]
 
 
+def test_bm25_matrix_is_bounded_and_changes_nothing(monkeypatch):
+    """Few documents of very many words make no matrix of them all; scores are the same numbers whichever lists are in the matrix and however it is opened."""
+    texts = rand_texts(1500, 31, 1, 60)
+    row = op3_bm25.invert(list(range(1500)), words_of(texts))
+    asked, query_ids = row["words"], np.arange(0, 1500, 15)
+    terms = [np.unique(w).view(np.int64) for w in words_of([texts[i] for i in query_ids])]
+    idf = np.log(1 + (1500 - op3_bm25.unpacked(row["dfs"]) + 0.5) / (op3_bm25.unpacked(row["dfs"]) + 0.5))
+    found = []
+    for dense, few in ((1 << 24, 1 << 30), (1 << 24, 0), (1504 * 3, 1 << 30), (0, 0)):
+        monkeypatch.setattr(op3_bm25, "DENSE", dense)
+        monkeypatch.setattr(op3_bm25, "FEW", few)
+        shard = op3_bm25.Shard(row, float(row["lens"].mean()))
+        place = shard.places(asked)
+        shard.weigh(place, idf)
+        assert shard.dense.size <= dense and (shard.dense.size > 0) == (dense > 0)
+        own = shard.places(np.concatenate(terms))
+        sizes, limit = np.array([len(t) for t in terms]), np.zeros(len(terms))
+        for _ in range(2):  # the second time with the limits known
+            found.append([x.tolist() for x in shard.top(query_ids, *shard.search(query_ids, sizes, own, limit, 10), 10)])
+    assert len(found[0][0]) > 900 and all(x == found[0] for x in found)
+    monkeypatch.undo()
+    long = op3_bm25.invert([1, 2, 3], [np.arange(i, i + 50_000, dtype=np.uint64) for i in range(3)])
+    shard = op3_bm25.Shard(long, 50_000.0)
+    shard.weigh(shard.places(long["words"]), np.ones(len(long["words"])))
+    assert shard.dense.size < 50_000
+
+
 def test_bm25_empty(spark, none):
     docs = spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string")
     ask = docs.withColumnRenamed("doc_id", "query_id")
