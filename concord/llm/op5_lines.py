@@ -28,29 +28,42 @@ MIN_WORDS = 8
 _SALTS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xA3B195354A39B70D))
 
 
-def _placed(w: np.ndarray, first: int, salt: np.uint64) -> np.ndarray:
-    """The hashes of words that stand at places first, first + 1 and so on of a line; a line's hash is their sum."""
-    return mix64(w ^ mix64(np.arange(first, first + len(w), dtype=np.int64).astype(np.uint64) + salt))
+def _placed(w: np.ndarray, places: np.ndarray, salt: np.uint64) -> np.ndarray:
+    """The hashes of words that stand at these places of a line; a line's hash is their sum."""
+    return mix64(w ^ mix64(places.astype(np.uint64) + salt))
 
 
-def _sized(n: int, salt: np.uint64) -> np.uint64:
-    return np.uint64(int(salt) * n % (1 << 64))
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Of the numbers before each place, and of all."""
+    out = np.zeros(len(x) + 1, dtype=np.uint64)
+    np.cumsum(x, out=out[1:])
+    return out
+
+
+def hashes_and_variants(w: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of lines of n words each, which stand in w one after another, for each half of a 128-bit hash: (the lines' hashes, for each word that of its line without it).
+
+    Sums of hashes of word and place: no pattern of words makes them equal, but chance.
+    """
+    end = np.cumsum(n)
+    first, line = end - n, np.repeat(np.arange(len(n)), n)
+    place, size = np.arange(len(w)) - first[line], n.astype(np.uint64)
+    out = []
+    for salt in _SALTS:
+        here, moved = _sums(_placed(w, place, salt)), _sums(_placed(w, place - 1, salt))
+        rest = here[:-1] - here[first][line] + moved[end][line] - moved[1:] + ((size - np.uint64(1)) * salt)[line]
+        out.append(((here[end] - here[first] + size * salt).view(np.int64), rest.view(np.int64)))
+    return out
 
 
 def line_hash(w: np.ndarray) -> list[int]:
-    """Two 64-bit hashes of a line's words. Sums of hashes of word and place: no pattern of words makes them equal, but chance."""
-    return [np.add(_placed(w, 0, s).sum(dtype=np.uint64), np.array([_sized(len(w), s)]))[0].view(np.int64).item() for s in _SALTS]
+    """The two halves of the hash of one line's words."""
+    return [h.item() for h, _ in hashes_and_variants(w, np.array([len(w)]))]
 
 
 def variants(w: np.ndarray) -> list[np.ndarray]:
     """line_hash of the line without each one of its words."""
-    out = []
-    for s in _SALTS:
-        before, after = np.zeros(len(w) + 1, dtype=np.uint64), np.zeros(len(w) + 1, dtype=np.uint64)
-        np.cumsum(_placed(w, 0, s), out=before[1:])
-        np.cumsum(_placed(w, -1, s)[::-1], out=after[1:])
-        out.append((before[:-1] + after[:-1][::-1] + _sized(len(w) - 1, s)).view(np.int64))
-    return out
+    return [rest for _, rest in hashes_and_variants(w, np.array([len(w)]))]
 
 
 class Lines:
@@ -117,17 +130,23 @@ SUSPECTS = "doc_id long, t long, line int, n int, h1 long, h2 long, x long, y lo
 
 
 def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    for batch in batches:
-        for doc_id, t, text, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found, lines, out = Lines(text), (text or "").split("\n"), []
-            for k in sorted(set(at)):
-                w = found.words[found.first[k] : found.end[k]]
-                own = b" ".join(lines[k].encode().split())
-                h1, h2 = np.frombuffer(xxhash.xxh3_128_digest(own), dtype="<i8").tolist()
-                out.append((doc_id, t, k, len(w), h1, h2, *line_hash(w), own.decode(), *variants(w)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], _names(SUSPECTS))
+    for batch in (x for whole in batches for x in slices(whole, column=2)):
+        rows, numbers, own = [], [], []
+        for i, (text, at) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            lines, at = (text or "").split("\n"), sorted(set(at))
+            rows += [i] * len(at)
+            numbers += at
+            own += [b" ".join(lines[k].encode().split()) for k in at]
+        if not rows:
+            continue
+        n = np.array([x.count(b" ") + 1 for x in own])
+        own_words = words(b"\n".join(own).decode(), lower=False)[0]  # the lines' words together, not document by document
+        h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, own)), dtype="<i8").reshape(-1, 2)
+        (x, vx), (y, vy) = hashes_and_variants(own_words, n)
+        offsets, at = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(rows)
+        columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(n, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(x), pa.array(y), pa.array([x.decode() for x in own], pa.string())]
+        columns += [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (vx, vy)]
+        yield pa.RecordBatch.from_arrays(columns, _names(SUSPECTS))
 
 
 def within_one(a: list[str], b: list[str]) -> bool:

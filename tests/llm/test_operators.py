@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -435,6 +436,23 @@ def test_line_variants_are_hashes_of_the_rest():
     assert [[a, b] for a, b in zip(x.tolist(), y.tolist(), strict=True)] == [op5_lines.line_hash(np.delete(w, i)) for i in range(40)]
 
 
+def test_suspect_lines_are_hashed_together():
+    """The lines of many documents make one batch; each line has the numbers it has alone, a line asked for twice comes once."""
+    texts = ["a b c\n\n  d  e\tf g ", "é w" + " x" * 70, "only", "p q\n" + "long" * 30 + " r"]
+    at = [[2, 0, 2], [0], [0], [1, 0]]
+    batch = pa.RecordBatch.from_arrays([pa.array([4, 5, 6, 7]), pa.array([1, 2, 3, 4]), pa.array(texts), pa.array(at)], ["doc_id", "t", "text", "at"])
+    out = list(op5_lines._suspects(iter([batch])))
+    assert len(out) == 1
+    got = [(r["doc_id"], r["line"], r["words"], r["n"], [r["x"], r["y"]], r["vx"], r["vy"]) for r in out[0].to_pylist()]
+    want = []
+    for i, (text, lines) in enumerate(zip(texts, at, strict=True)):
+        for k in sorted(set(lines)):
+            w = words_of([text.split("\n")[k]], lower=False)[0]
+            x, y = op5_lines.variants(w)
+            want.append((4 + i, k, " ".join(text.split("\n")[k].split()), len(w), op5_lines.line_hash(w), x.tolist(), y.tolist()))
+    assert got == want
+
+
 # 6 ---------------------------------------------------------------------------
 
 
