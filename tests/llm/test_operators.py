@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from concord.llm import op1_mix, op2_tokens, op3_bm25, op4_html, op5_lines, op6_jaccard, op7_warc, op8_pack, op9_quality, op10_embed
+from concord.llm.batches import small_batches
 from concord.llm.tokens import encode_ids, tokenizer
 from concord.llm.words import words_of
 from concord.plans.shared import new_path
@@ -715,3 +716,21 @@ def test_op10_sends_a_vector_a_bounded_number_of_times(spark, monkeypatch):
         tiles.setdefault((r.i, r.j), []).append((r.id, r.part))
     met = [(min(x, y), max(x, y)) for (i, j), rows in tiles.items() for x, a in rows for y, b in rows if a == i and b == j and (i != j or x < y)]
     assert len(met) == len(set(met)) == 200 * 199 // 2  # each pair in one tile
+
+
+def test_batches_to_workers_are_small(spark):
+    """Of 24 MB of text a worker is sent about a megabyte at a time: the executor's copies of larger batches stay with it."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        small_batches(spark)
+        texts = spark.range(120, numPartitions=1).selectExpr("id", "repeat('x', 200000) AS text")
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+        found = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+        assert sum(found) == 120 and max(found) * 200000 <= 2 << 20
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
