@@ -734,3 +734,17 @@ def test_batches_to_workers_are_small(spark):
         assert sum(found) == 120 and max(found) * 200000 <= 2 << 20
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+
+
+def test_bm25_postings_are_whole_lists():
+    """Lists put together, few or more than are counted beforehand, are each word's postings in turn."""
+    rng = np.random.default_rng(5)
+    row = op3_bm25.invert(list(range(900)), [rng.integers(0, 300, 40).astype(np.uint64) for _ in range(900)])
+    shard = op3_bm25.Shard(row, float(row["lens"].mean()))
+    shard.weigh(np.arange(len(shard.df)), np.linspace(1, 9, len(shard.df)))
+    for count in (np.arange(10), shard.count):
+        shard.count = count
+        for t in (np.array([7]), np.array([3, 250, 3, 0, len(shard.df) - 1]), np.arange(len(shard.df))):
+            docs, parts = shard._postings(t)
+            want = np.concatenate([shard.lists[shard.starts[w] : shard.starts[w + 1]] for w in t])
+            assert np.array_equal(parts << op3_bm25.BITS | docs, want)
